@@ -8,7 +8,7 @@ from sparkbrief.functions.jsontext import (
     json_object,
     truthy,
 )
-from sparkbrief.functions.numbers import round2
+from sparkbrief.functions.numbers import round2, with_rounded
 from sparkbrief.functions.retry import backoff_bounds, backoff_delay, is_retryable
 from sparkbrief.functions.text import breaker_key, not_blank, search_error_text, strip, tokens
 
@@ -28,4 +28,5 @@ __all__ = [
     "strip",
     "tokens",
     "truthy",
+    "with_rounded",
 ]

@@ -1,6 +1,6 @@
 """Two-digit rounding with the result of Python's ``round(x, 2)``."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Beyond this size a double has no digits after the second decimal to round away.
@@ -9,16 +9,8 @@ _EXACT_BELOW = 4.0e13
 _SPLIT = 134217729.0
 
 
-def round2(x: Column) -> Column:
-    """Round to 2 digits on the exact binary value, ties to even.
-
-    ``x * 100`` loses its last bits in floating point. The lost part is
-    recovered by an exact product split and decides the cases where the rounded
-    product sits on a half. Infinity, NaN and null pass through.
-    """
-    x = x.cast("double")
+def _rounded(x: Column, product: Column) -> Column:
     high = x * F.lit(_SPLIT) - (x * F.lit(_SPLIT) - x)
-    product = x * F.lit(100.0)
     lost = (high * F.lit(100.0) - product) + (x - high) * F.lit(100.0)
     whole = F.floor(product).cast("double")
     part = product - whole
@@ -26,3 +18,25 @@ def round2(x: Column) -> Column:
     up = (part > 0.5) | ((part == 0.5) & ((lost > 0.0) | ((lost == 0.0) & odd)))
     rounded = (whole + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(100.0)
     return F.when(F.abs(x) < _EXACT_BELOW, rounded).otherwise(x)
+
+
+def round2(x: Column) -> Column:
+    """Round to 2 digits on the exact binary value, ties to even.
+
+    ``x * 100`` loses its last bits in floating point. The lost part is
+    recovered by an exact product split and decides the cases where the rounded
+    product sits on a half. Infinity, NaN and null pass through. ``x`` should be a
+    plain column; use ``with_rounded`` for expressions, which would be repeated here.
+    """
+    x = x.cast("double")
+    return _rounded(x, x * F.lit(100.0))
+
+
+def with_rounded(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add the rounded value of each expression, which is computed once."""
+    raw = df.withColumns({f"_x_{out}": x.cast("double") for out, x in columns.items()})
+    scaled = raw.withColumns({f"_p_{out}": F.col(f"_x_{out}") * F.lit(100.0) for out in columns})
+    told = scaled.withColumns(
+        {out: _rounded(F.col(f"_x_{out}"), F.col(f"_p_{out}")) for out in columns}
+    )
+    return told.drop(*[f"_x_{out}" for out in columns], *[f"_p_{out}" for out in columns])

@@ -71,11 +71,11 @@ def scan_runs(
 ) -> DataFrame:
     """``scan`` over the output of ``cut_runs``."""
     last, total = last or {}, total or {}
-    pick = F.min if backward else F.max
+    pick = F.min_by if backward else F.max_by
     within = _scan_whole(runs, [RUN, *keys], order, last, total, inclusive, backward)
     ends = runs.groupBy(RUN, *keys).agg(
         *[
-            pick(F.when(value.isNotNull(), F.struct(*order, value.alias("v")))).alias(f"_end_{out}")
+            pick(value, F.when(value.isNotNull(), F.struct(*order))).alias(f"_end_{out}")
             for out, value in last.items()
         ],
         *[F.sum(value).alias(f"_end_{out}") for out, value in total.items()],
@@ -89,7 +89,7 @@ def scan_runs(
         F.col(RUN).alias("_c_run"),
         *[F.col(k).alias(f"_c_{k}") for k in keys],
         *[
-            F.last(F.col(f"_end_{out}.v"), ignorenulls=True).over(before).alias(f"_c_last_{out}")
+            F.last(F.col(f"_end_{out}"), ignorenulls=True).over(before).alias(f"_c_last_{out}")
             for out in last
         ],
         *[F.sum(f"_end_{out}").over(before).alias(f"_c_sum_{out}") for out in total],

@@ -1,0 +1,5 @@
+"""Queries over the given tables, each with the SQL that must give the same rows."""
+
+from sparkbrief.plans import positions, search
+
+CATALOG = {**positions.QUERIES, **search.QUERIES}
