@@ -98,11 +98,12 @@ def synthesizer_update(threads: DataFrame, content: str = "content") -> DataFram
     )
 
 
-def query_result(states: DataFrame) -> DataFrame:
-    """The four result fields of a thread state, with empty defaults."""
+def query_result(states: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """The four result fields of a thread state, with empty defaults, and any ``extra`` columns."""
     none = F.array().cast("array<string>")
     return states.select(
         "thread_id",
+        *(extra or []),
         F.coalesce("final_answer", F.lit("")).alias("final_answer"),
         F.coalesce("agent_outputs", F.create_map().cast("map<string,string>")).alias("agent_outputs"),
         F.coalesce("errors", none).alias("errors"),

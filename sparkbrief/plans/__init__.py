@@ -1,5 +1,5 @@
 """Queries over the given tables, each with the SQL that must give the same rows."""
 
-from sparkbrief.plans import positions, search
+from sparkbrief.plans import positions, search, threads
 
-CATALOG = {**positions.QUERIES, **search.QUERIES}
+CATALOG = {**positions.QUERIES, **search.QUERIES, **threads.QUERIES}
