@@ -1,5 +1,11 @@
 """Queries over the given tables, each with the SQL that must give the same rows."""
 
-from sparkbrief.plans import positions, search, threads
+from sparkbrief.plans import positions, reliability, search, threads, traces
 
-CATALOG = {**positions.QUERIES, **search.QUERIES, **threads.QUERIES}
+CATALOG = {
+    **positions.QUERIES,
+    **search.QUERIES,
+    **threads.QUERIES,
+    **reliability.QUERIES,
+    **traces.QUERIES,
+}
