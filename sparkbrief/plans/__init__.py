@@ -1,6 +1,6 @@
 """Queries over the given tables, each with the SQL that must give the same rows."""
 
-from sparkbrief.plans import positions, reliability, search, threads, traces
+from sparkbrief.plans import positions, reliability, search, streams, threads, traces
 
 CATALOG = {
     **positions.QUERIES,
@@ -8,4 +8,5 @@ CATALOG = {
     **threads.QUERIES,
     **reliability.QUERIES,
     **traces.QUERIES,
+    **streams.QUERIES,
 }
