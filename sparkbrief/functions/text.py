@@ -30,14 +30,16 @@ def _han_pairs(token: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits; runs of Han characters become 2-grams."""
     low = F.lower(text)
-    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    words = F.array_remove(F.split(low, r"[^\p{L}\p{N}]+"), "")
     edges = F.split(
         low,
         rf"[^\p{{L}}\p{{N}}]+|(?<={_HAN})(?=[\p{{L}}\p{{N}}&&[^{_HAN}]])"
         rf"|(?<=[\p{{L}}\p{{N}}&&[^{_HAN}]])(?={_HAN})",
     )
-    mixed = F.flatten(F.transform(F.filter(edges, lambda t: t != ""), _han_pairs))
-    return F.when(low.rlike(_HAN), mixed).otherwise(words)
+    mixed = F.flatten(F.transform(F.array_remove(edges, ""), _han_pairs))
+    # ASCII text is told from its length alone.
+    has_han = (F.octet_length(low) != F.char_length(low)) & low.rlike(_HAN)
+    return F.when(has_han, mixed).otherwise(words)
 
 
 def breaker_key(query: Column) -> Column:

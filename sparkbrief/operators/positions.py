@@ -72,7 +72,9 @@ def validated_params(responses: DataFrame, content: str = "content") -> DataFram
     Status is one of blank, bad_json, not_found, missing_entry, missing_levels,
     partial_levels, bad_type, ok; the first that applies. ``user_input`` decides blank.
     """
-    doc = json_object(F.col(content))
+    # Parsed once, into a column of its own.
+    parsed = responses.withColumn("_doc", json_object(F.col(content)))
+    doc = F.col("_doc")
     no_top, no_low = ~has_key(doc, "resistance"), ~has_key(doc, "support")
     wrong = F.lit(False)
     for name in _PARAMS:
@@ -87,13 +89,14 @@ def validated_params(responses: DataFrame, content: str = "content") -> DataFram
         .when(wrong, "bad_type")
         .otherwise("ok")
     )
-    checked = responses.withColumn("status", status)
-    return checked.withColumns(
+    checked = parsed.withColumn("status", status)
+    numbers = checked.withColumns(
         {
             name: F.when(F.col("status") == "ok", json_field(doc, name, "double"))
             for name in _PARAMS
         }
     )
+    return numbers.drop("_doc")
 
 
 def chosen_params(df: DataFrame, given: str = "given", extracted: str = "extracted") -> DataFrame:

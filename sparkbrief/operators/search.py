@@ -110,15 +110,32 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int = HITS_PER_QUERY)
         .select("qid", F.when(F.col("n") == k, F.col("reach")).otherwise(F.lit(0)).alias("reach"))
     )
     weakest_first = Window.partitionBy("qid").orderBy("bound", "term")
-    bounded = weighed.join(reach, "qid").withColumns(
-        {
-            "so_far": F.sum("bound").over(
-                weakest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        }
+    bounded = weighed.join(reach, "qid").withColumn(
+        "so_far",
+        F.sum("bound").over(
+            weakest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ),
     )
     # Words whose bounds add up to less than the reach cannot make a hit by themselves.
-    leading = bounded.filter(F.col("so_far") >= F.col("reach")).select("qid", "term")
-    candidates = leading.join(by_document.select("term", "doc_id"), "term").select("qid", "doc_id")
-    hits = _top(scored(candidates.distinct()).filter(F.col("score") > 0), "qid", F.col("score"), k)
+    leads = F.col("so_far") >= F.col("reach")
+    most = F.max(F.when(~leads, F.col("so_far"))).over(Window.partitionBy("qid"))
+    leading = staged(
+        bounded.withColumn("rest", F.coalesce(most, F.lit(0)))
+        .filter(leads)
+        .select("qid", "term", "df", "rest", "reach"),
+        "leading-terms",
+    )
+    # Nor can a document whose leading words fall short even with all the others at their bounds.
+    candidates = (
+        leading.join(by_document, "term")
+        .groupBy("qid", "doc_id")
+        .agg(
+            F.sum(_weight(documents, F.col("part"))).alias("led"),
+            F.first("rest").alias("rest"),
+            F.first("reach").alias("reach"),
+        )
+        .filter(F.col("led") + F.col("rest") >= F.col("reach"))
+        .select("qid", "doc_id")
+    )
+    hits = _top(scored(candidates).filter(F.col("score") > 0), "qid", F.col("score"), k)
     return asked.join(hits, "qid").select("query", "rank", "doc_id", "score")

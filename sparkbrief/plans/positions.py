@@ -11,7 +11,7 @@ from sparkbrief.operators.positions import (
     validated_params,
 )
 from sparkbrief.operators.responses import finance_payload
-from sparkbrief.sources.tables import table
+from sparkbrief.sources.tables import spread, table
 
 
 def sql_round2(x: str) -> str:
@@ -115,7 +115,7 @@ def _responses(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(90.0).alias("support"), F.lit(10.0).alias("position_size"),
         ),
     )
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         "p_partkey", asked.alias("user_input"), content.alias("content"), given.alias("given")
     )
 

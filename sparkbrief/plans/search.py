@@ -7,7 +7,7 @@ from sparkbrief.functions import strip
 from sparkbrief.operators.requests import expand
 from sparkbrief.operators.research import research_report
 from sparkbrief.operators.search import search_topk
-from sparkbrief.sources.tables import corpus, table
+from sparkbrief.sources.tables import corpus, spread, table
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +50,7 @@ SUBQUERY_EXPANSION_SQL = f"WITH {_EXPANDED_SQL} SELECT item_id, pos, query FROM
 
 def search_topk_query(spark: SparkSession, sf: str) -> DataFrame:
     asked = expand(_requests(spark, sf)).select("item_id", "pos", "query")
-    documents = corpus(table(spark, sf, "documents"))
+    documents = corpus(spread(table(spark, sf, "documents")))
     hits = search_topk(asked, documents)
     return asked.join(hits, "query").select("item_id", "pos", "rank", "doc_id", "score")
 
@@ -97,7 +97,7 @@ def search_report(spark: SparkSession, sf: str) -> DataFrame:
     breaks = (F.col("item_id") % 3 == 0) & (F.col("pos") == 1)
     error = F.when(breaks, F.lit("network error"))
     searched = asked.filter(~breaks)
-    documents = corpus(table(spark, sf, "documents"))
+    documents = corpus(spread(table(spark, sf, "documents")))
     hits = search_topk(searched, documents)
     # Only hits meet the documents; the join is by document, not by query.
     found = hits.join(documents, "doc_id").groupBy("query").agg(

@@ -20,8 +20,9 @@ from sparkbrief.plans.threads import THREAD_STATE_ACCUMULATE_SQL, _flat, _worker
 from sparkbrief.plans.traces import _STATUS_SQL, LATEST_JOB_STATUS_SQL
 from sparkbrief.sources.tables import table
 from sparkbrief.staging import stage_root
-from sparkbrief.streaming.folds import breaker_stream, fan_in_stream, ttl_stream
+from sparkbrief.streaming.folds import breaker_stream, ttl_stream
 from sparkbrief.streaming.tables import (
+    fan_in_stream,
     job_status_table,
     rate_limit_stream,
     thread_state_table,
@@ -140,13 +141,18 @@ def stream_fan_in(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("event_id DIV 3").alias("request_id"), "ts", (F.col("event_id") % 3).cast("int").alias("pos"),
         F.lit(3).alias("expected"), F.col("event_type").alias("result"),
     )
-    come = written(fan_in_stream(results, 3600.0, _DELAY), "stream-fan-in")
+    come = written(fan_in_stream(results, "1 hour", _DELAY), "stream-fan-in")
     return come.select("request_id", F.concat_ws(",", "results").alias("results"), "complete")
 
 
-STREAM_FAN_IN_SQL = """
-SELECT event_id // 3 AS request_id, string_agg(event_type, ',' ORDER BY event_id) AS results, true AS complete
-FROM events GROUP BY 1 HAVING count(*) = 3
+STREAM_FAN_IN_SQL = f"""
+WITH results AS (
+  SELECT event_id // 3 AS request_id, event_id, ts, event_type,
+    coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_id // 3 ORDER BY ts)) >= 3600000000, true) AS starts
+  FROM events),
+sessions AS (SELECT *, sum(starts::INT) OVER (PARTITION BY request_id ORDER BY ts) AS nth FROM results)
+SELECT request_id, string_agg(event_type, ',' ORDER BY event_id) AS results, count(*) = 3 AS complete
+FROM sessions GROUP BY request_id, nth HAVING max(epoch_us(ts)) + 3600000000 <= {_PASSED_SQL}
 """
 
 QUERIES = {

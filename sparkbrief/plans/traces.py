@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparkbrief.operators.jobs import latest_status, look_up, transitions
 from sparkbrief.operators.logs import format_lines, parse_lines, trace_rollup
 from sparkbrief.operators.requests import request_id
-from sparkbrief.sources.tables import table
+from sparkbrief.sources.tables import spread, table
 
 _STATUS_SQL = """CASE event_type WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'done'
   WHEN 'error' THEN 'error' ELSE 'queued' END"""
@@ -65,7 +65,7 @@ FROM customer LEFT JOIN latest ON c_custkey = job_id
 
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events")).select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(kind == "error", "ERROR").otherwise("INFO").alias("level"),
         F.concat(F.lit("svc."), kind).alias("name"),

@@ -11,6 +11,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer parts than cores, dealt out evenly; larger scans stay as they are.
+
+    For work that costs much per row. Looks at the plan only, so pass a plain scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Requests under their fixed schema; ``operators.requests`` splits accepted from rejected."""
     return spark.read.schema(REQUEST).format(fmt).load(path)

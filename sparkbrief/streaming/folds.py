@@ -28,54 +28,53 @@ class _InOrder(StatefulProcessor):
     def init(self, handle) -> None:
         self._handle = handle
         self._waiting = handle.getListState("waiting", self.row_schema)
-        self._held = handle.getValueState("held", self.held_schema)
-        self._timer = handle.getValueState("timer", "ms long")
+        # The folded value, and the time of the key's one timer.
+        self._kept = handle.getValueState("kept", f"{self.held_schema}, timer long")
 
     def fold(self, key: tuple, held: tuple, row: tuple) -> tuple[tuple, dict]:
         raise NotImplementedError
 
-    def _wake_for(self, us: int) -> None:
-        """One timer a key: for its earliest waiting row."""
+    def _read(self) -> tuple[tuple, int | None]:
+        kept = self._kept.get()
+        return (self.start, None) if kept is None else (tuple(kept[:-1]), kept[-1])
+
+    def _timer_for(self, us: int) -> int:
+        """A timer for the key's earliest waiting row."""
         ms = (us + 999) // 1000
-        if self._timer.exists():
-            (known,) = self._timer.get()
-            if known <= ms:
-                return
-            self._handle.deleteTimer(known)
         self._handle.registerTimer(ms)
-        self._timer.update((ms,))
+        return ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        earliest = None
+        arrived = []
         for batch in rows:
-            arrived = [tuple(r) for r in batch[self.row_columns()].itertuples(index=False)]
-            arrived = [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in arrived]
-            if arrived:
-                self._waiting.appendList(arrived)
-                first = min(r[0] for r in arrived)
-                earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self._wake_for(earliest)
+            columns = [batch[c].tolist() for c in self.row_columns()]
+            arrived += zip(*columns, strict=True)
+        if arrived:
+            self._waiting.appendList(arrived)
+            held, timer = self._read()
+            earliest = min(arrived)[0]
+            if timer is None or (earliest + 999) // 1000 < timer:
+                if timer is not None:
+                    self._handle.deleteTimer(timer)
+                self._kept.update((*held, self._timer_for(earliest)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self._timer.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(tuple(r) for r in self._waiting.get())
         ready = [r for r in waiting if r[0] <= passed]
         later = waiting[len(ready):]
         if later:
             self._waiting.put(later)
-            self._wake_for(later[0][0])
         else:
             self._waiting.clear()
-        held = tuple(self._held.get()) if self._held.exists() else self.start
+        held, _ = self._read()
         out = []
         for row in ready:
             held, told = self.fold(key, held, row)
             out.append(told)
-        if ready:
-            self._held.update(held)
+        self._kept.update((*held, self._timer_for(later[0][0]) if later else None))
+        if out:
             yield pd.DataFrame(out)
 
     def row_columns(self) -> list[str]:
@@ -167,84 +166,3 @@ def ttl_stream(lookups: DataFrame, ttl_seconds: float = CACHE_SECONDS, delay: st
         "hit",
         F.timestamp_micros("stored_us").alias("stored_at"),
     )
-
-
-class _FanIn(StatefulProcessor):
-    """Collects the results of a request; passes them on when all have come or time is up."""
-
-    def __init__(self, wait_ms: int):
-        self._wait_ms = wait_ms
-
-    def init(self, handle) -> None:
-        self._handle = handle
-        self._come = handle.getListState("come", "pos int, result string")
-        self._timer = handle.getValueState("timer", "ms long, expected int")
-
-    def _told(self, key, come: list[tuple], expected: int) -> pd.DataFrame:
-        come = sorted(come)
-        return pd.DataFrame(
-            {
-                "request_id": [key[0]],
-                "results": [[r for _, r in come]],
-                "complete": [len(come) >= expected],
-            }
-        )
-
-    def handleInputRows(self, key, rows, timerValues):
-        come, expected, first = [], 0, None
-        for batch in rows:
-            come += list(zip(batch["pos"].tolist(), batch["result"].tolist(), strict=True))
-            expected = int(batch["expected"].max())
-            low = int(batch["us"].min()) // 1000
-            first = low if first is None else min(first, low)
-        held = [tuple(r) for r in self._come.get()] if self._come.exists() else []
-        # A replayed result counts once.
-        known = {pos for pos, _ in held}
-        for pos, result in come:
-            if pos not in known:
-                known.add(pos)
-                held.append((pos, result))
-        if len(held) >= expected:
-            if self._timer.exists():
-                self._handle.deleteTimer(self._timer.get()[0])
-                self._timer.clear()
-            self._come.clear()
-            yield self._told(key, held, expected)
-            return
-        self._come.put(held)
-        if not self._timer.exists():
-            ms = first + self._wait_ms
-            self._handle.registerTimer(ms)
-            self._timer.update((ms, expected))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self._timer.exists():
-            return
-        expected = self._timer.get()[1]
-        held = [tuple(r) for r in self._come.get()]
-        self._come.clear()
-        self._timer.clear()
-        yield self._told(key, held, expected)
-
-    def close(self) -> None:
-        pass
-
-
-def fan_in_stream(results: DataFrame, wait_seconds: float = 600.0, delay: str = "1 minute") -> DataFrame:
-    """One row per request once all its results have come, in ``pos`` order.
-
-    ``results`` has ``request_id, ts, pos, expected, result``; at most five to a request.
-    After ``wait_seconds`` of event time the results so far are passed on, not complete.
-    """
-    key_type = results.schema["request_id"].dataType.simpleString()
-    return (
-        results.withWatermark("ts", delay)
-        .select("request_id", "ts", F.unix_micros("ts").alias("us"), "pos", "expected", "result")
-        .groupBy("request_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_FanIn(round(wait_seconds * 1000)),
-            outputStructType=f"request_id {key_type}, results array<string>, complete boolean",
-            outputMode="append",
-            timeMode="eventTime",
-        )
-    )

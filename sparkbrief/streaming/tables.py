@@ -1,4 +1,4 @@
-"""Streams into tables: rate-limit windows, latest job status, thread state."""
+"""Streams into tables: rate-limit windows, gathered results, latest job status, thread state."""
 
 import uuid
 
@@ -33,6 +33,29 @@ def rate_limit_stream(
     )
 
 
+def fan_in_stream(results: DataFrame, gap: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
+    """Results of each request gathered in ``pos`` order: ``request_id, results, complete``.
+
+    ``results`` has ``request_id, ts, pos, expected, result``, at most five to a
+    request. Results of a request belong together while each follows the last
+    within ``gap``; they are told once the watermark has passed that wait, and
+    are ``complete`` if as many came as expected. A replayed result counts once.
+    """
+    gathered = (
+        results.withWatermark("ts", delay)
+        .groupBy("request_id", F.session_window("ts", gap).alias("w"))
+        .agg(
+            F.collect_set(F.struct("pos", "result")).alias("come"),
+            F.max("expected").alias("expected"),
+        )
+    )
+    return gathered.select(
+        "request_id",
+        F.transform(F.array_sort("come"), lambda r: r["result"]).alias("results"),
+        (F.size("come") >= F.col("expected")).alias("complete"),
+    )
+
+
 def _append_batches(stream: DataFrame, path: str, checkpoint: str, prepare) -> StreamingQuery:
     """Each micro-batch replaces its own folder, so a replayed batch writes the same rows once."""
 
