@@ -30,7 +30,7 @@ def _caller(fn, max_attempts, wait_min, wait_max, sleep):
             answers = [ask(p) for p in rows["prompt"]]
             yield pd.DataFrame(
                 {
-                    "prompt": rows["prompt"],
+                    "_digest": rows["_digest"],
                     "response": [a[0] for a in answers],
                     "error": [a[1] for a in answers],
                     "attempts": [a[2] for a in answers],
@@ -56,17 +56,24 @@ def batch_infer(
     answers are written before they are joined, as a second call may answer
     otherwise. Errors worth a retry are tried again with a growing wait.
     """
-    todo = df.select(F.col(prompt).alias("prompt")).filter(F.col("prompt").isNotNull()).distinct()
+    # Long prompts are compared and joined by digest.
+    keyed = df.withColumn("_digest", F.sha2(F.col(prompt).cast("string"), 256))
+    todo = (
+        keyed.filter(F.col(prompt).isNotNull())
+        .groupBy("_digest")
+        .agg(F.any_value(prompt).alias("prompt"))
+    )
+    known = None
     if stored is not None:
-        todo = todo.join(stored.select("prompt"), "prompt", "left_anti")
+        known = stored.groupBy(F.sha2("prompt", 256).alias("_digest")).agg(
+            F.max("response").alias("response")
+        )
+        todo = todo.join(known.select("_digest"), "_digest", "left_anti")
     asked = todo.mapInPandas(
         _caller(fn, max_attempts, wait_min, wait_max, sleep),
-        "prompt string, response string, error string, attempts int",
+        "_digest string, response string, error string, attempts int",
     )
     answers = staged(asked, "answers")
-    if stored is not None:
-        known = stored.select("prompt", "response").dropDuplicates(["prompt"])
+    if known is not None:
         answers = answers.unionByName(known, allowMissingColumns=True)
-    return df.join(answers.withColumnRenamed("prompt", "_prompt"), F.col(prompt) == F.col("_prompt"), "left").drop(
-        "_prompt"
-    )
+    return keyed.join(answers, "_digest", "left").drop("_digest")

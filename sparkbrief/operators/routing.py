@@ -51,13 +51,18 @@ def unknown_decisions(decisions: DataFrame, agent: str = "next_agent") -> DataFr
     return decisions.join(F.broadcast(edges), F.col(agent) == edges["decision"], "left_anti")
 
 
+def _once(completed: DataFrame) -> DataFrame:
+    """Each agent of a thread once, so that a long thread does not swell one side of a join."""
+    return completed.select("thread_id", "agent").distinct()
+
+
 def repeats(decisions: DataFrame, completed: DataFrame) -> DataFrame:
     """Decisions for an agent that the thread has completed; both have ``thread_id, agent``."""
-    return decisions.join(completed, ["thread_id", "agent"], "left_semi")
+    return decisions.join(_once(completed), ["thread_id", "agent"], "left_semi")
 
 
 def fresh(decisions: DataFrame, completed: DataFrame) -> DataFrame:
-    return decisions.join(completed, ["thread_id", "agent"], "left_anti")
+    return decisions.join(_once(completed), ["thread_id", "agent"], "left_anti")
 
 
 def routing_audit(log: DataFrame, max_steps: int = MAX_STEPS, hot_rows: int = HOT_ROWS) -> DataFrame:

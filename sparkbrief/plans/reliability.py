@@ -51,14 +51,16 @@ def breaker_timeline_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Held values are those after the event; a new call first lets an old opening lapse.
-_TIMELINE_SQL = """
+_CALLS_SQL = """
 numbered AS (
   SELECT user_id, event_id, ts, event_type <> 'error' AS ok,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+"""
+_LINE_SQL = """
 line AS (
   SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, true AS ok,
     true AS admitted, 'closed' AS state, 0 AS fails, 0 AS wins, 0 AS probes, CAST(NULL AS TIMESTAMP) AS last
-  FROM (SELECT DISTINCT user_id FROM events)
+  FROM (SELECT DISTINCT user_id FROM numbered)
   UNION ALL
   SELECT user_id, n, event_id, ts, ok, s <> 'open' AND NOT capped,
     CASE WHEN s = 'open' OR capped THEN s WHEN NOT ok AND (s = 'half_open' OR fails + 1 >= 2) THEN 'open'
@@ -76,6 +78,7 @@ line AS (
         CASE WHEN l.state = 'open' THEN 0 ELSE l.probes END AS p
       FROM line l JOIN numbered e ON e.user_id = l.user_id AND e.n = l.n + 1)))
 """
+_TIMELINE_SQL = _CALLS_SQL + _LINE_SQL
 
 BREAKER_TIMELINE_SQL = f"""
 WITH RECURSIVE {_TIMELINE_SQL}

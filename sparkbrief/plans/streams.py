@@ -3,8 +3,6 @@
 What the watermark has not passed yet is not told, and the SQL leaves it out too.
 """
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from sparkbrief.plans.reliability import (
 from sparkbrief.plans.threads import THREAD_STATE_ACCUMULATE_SQL, _flat, _worker
 from sparkbrief.plans.traces import _STATUS_SQL, LATEST_JOB_STATUS_SQL
 from sparkbrief.sources.tables import table
-from sparkbrief.staging import stage_root
+from sparkbrief.staging import stage_path
 from sparkbrief.streaming.folds import breaker_stream, ttl_stream
 from sparkbrief.streaming.tables import (
     fan_in_stream,
@@ -44,10 +42,6 @@ def _arriving(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{stage_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _PASSED_SQL = f"((SELECT max(epoch_us(ts)) FROM events) // 1000 - {DELAY_MS}) * 1000"
 
 
@@ -111,7 +105,7 @@ def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.expr("CASE WHEN event_type = 'error' THEN props END").alias("error_detail"),
     )
-    folder = _folder(spark, "stream-jobs")
+    folder = stage_path(spark, "stream-jobs")
     upsert_job_status(changes, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
     return job_status_table(spark, f"{folder}/rows").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -130,7 +124,7 @@ def stream_thread_state(spark: SparkSession, sf: str) -> DataFrame:
         F.when(turn == 3, F.col("text")).alias("final_answer"),
         F.when(turn % 2 == 0, F.col("worker")).alias("next_agent"),
     )
-    folder = _folder(spark, "stream-threads")
+    folder = stage_path(spark, "stream-threads")
     upsert_thread_state(updates, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
     return _flat(thread_state_table(spark, f"{folder}/rows"))
 

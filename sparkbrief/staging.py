@@ -22,8 +22,14 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder; all of an application's lie in one, which may go when the application has ended."""
+    folder = f"{stage_root(spark).rstrip('/')}/sparkbrief-{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{stage_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

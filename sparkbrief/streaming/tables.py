@@ -1,16 +1,14 @@
 """Streams into tables: rate-limit windows, gathered results, latest job status, thread state."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkbrief.operators.jobs import latest_status
 from sparkbrief.operators.limits import LIMIT, WINDOW
-from sparkbrief.operators.requests import MAX_STEPS
+from sparkbrief.operators.requests import MAX_STEPS, MAX_SUBQUERIES
 from sparkbrief.operators.state import thread_state
-from sparkbrief.staging import stage_root
+from sparkbrief.staging import stage_path
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,18 +39,18 @@ def fan_in_stream(results: DataFrame, gap: str = "10 minutes", delay: str = "1 m
     within ``gap``; they are told once the watermark has passed that wait, and
     are ``complete`` if as many came as expected. A replayed result counts once.
     """
+    # One slot for each place keeps the state of a request small, however often a result comes.
+    slots = [
+        F.min(F.when(F.col("pos") == i, F.col("result"))).alias(f"_{i}") for i in range(MAX_SUBQUERIES)
+    ]
     gathered = (
         results.withWatermark("ts", delay)
         .groupBy("request_id", F.session_window("ts", gap).alias("w"))
-        .agg(
-            F.collect_set(F.struct("pos", "result")).alias("come"),
-            F.max("expected").alias("expected"),
-        )
+        .agg(F.max("expected").alias("expected"), *slots)
     )
+    come = F.array_compact(F.array(*[F.col(f"_{i}") for i in range(MAX_SUBQUERIES)]))
     return gathered.select(
-        "request_id",
-        F.transform(F.array_sort("come"), lambda r: r["result"]).alias("results"),
-        (F.size("come") >= F.col("expected")).alias("complete"),
+        "request_id", come.alias("results"), (F.size(come) >= F.col("expected")).alias("complete")
     )
 
 
@@ -93,7 +91,7 @@ def thread_state_table(
 def written(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now, and read back the table it wrote."""
     spark = stream.sparkSession
-    root = f"{stage_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = stage_path(spark, name)
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
