@@ -24,7 +24,7 @@ def split_hot(
     """Rows of ordinary keys, rows of hot keys (None if there are none), and the hot row count."""
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
     hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_rows")
-    hot = staged(hot.coalesce(1), "hot-keys")
+    hot = staged(hot, "hot-keys")
     hot_total = hot.agg(F.sum("_rows")).first()[0]
     if hot_total is None:
         return df, None, 0
@@ -121,7 +121,8 @@ def scan(
 
     ``last`` gives the latest non-null value, ``total`` the running sum, up to the
     row itself (``inclusive``) or the row before it. ``backward`` runs from the end.
-    (keys, order) must tell rows apart.
+    (keys, order) must tell rows apart. Counting the keys reads ``df`` once more, so
+    stage a ``df`` that is costly to compute and whose unused columns cannot be pruned.
     """
     last, total = last or {}, total or {}
     cold, hot, hot_total = split_hot(df, keys, hot_rows)

@@ -42,7 +42,8 @@ def guarded_search(spark: SparkSession, sf: str) -> DataFrame:
     """Searches of every request at the report time; an open breaker makes one fail unsearched."""
     asked = _subqueries(spark, sf)
     # Read twice below: what is searched, and what is told.
-    met = staged(guard_searches(asked, breaker_timeline(_past_calls(spark, sf), RULE), RULE), "met")
+    line = staged(breaker_timeline(_past_calls(spark, sf), RULE), "timeline")
+    met = staged(guard_searches(asked, line, RULE), "met")
     hits = search_topk(met.filter(F.col("state") != OPEN), corpus(spread(table(spark, sf, "documents"))))
     found = hits.groupBy("query").agg(
         F.transform(

@@ -1,6 +1,6 @@
 """Calls of users, read from events: failures, breakers, caches, limits and retries."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkbrief.functions import breaker_key, is_retryable
@@ -15,6 +15,7 @@ from sparkbrief.operators.limits import admit, window_counts
 from sparkbrief.operators.outcomes import failure_streaks
 from sparkbrief.operators.retries import retry_audit
 from sparkbrief.sources.tables import outcomes_of_events, table
+from sparkbrief.staging import staged
 
 # A user's events lie hours apart, so rules measured in seconds would hardly apply.
 RULE = BreakerRule(failure_threshold=2, recovery_seconds=43_200, half_open_max_calls=3, success_threshold=2)
@@ -97,7 +98,7 @@ def _noon_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def breaker_asof(spark: SparkSession, sf: str) -> DataFrame:
-    line = breaker_timeline(outcomes_of_events(table(spark, sf, "events")), RULE)
+    line = staged(breaker_timeline(outcomes_of_events(table(spark, sf, "events")), RULE), "timeline")
     met = guard_searches(_noon_requests(spark, sf), line, RULE)
     return met.select(F.col("key").alias("user_id"), _plain("ts"), "state", "error")
 
@@ -235,21 +236,28 @@ SELECT event_id, {_ERROR_SQL} AS error, event_id % 6 <> 3 AS retryable FROM even
 
 
 def retry_audit_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Four events in a row are the attempts of one call."""
-    attempts = table(spark, sf, "events").select(
-        F.expr("CAST(event_id DIV 4 AS STRING)").alias("call_id"),
-        (F.col("event_id") % 4 + 1).cast("int").alias("attempt"),
-        (~F.col("event_type").isin("error", "view", "click")).alias("ok"),
-        F.expr(_ERROR_SQL).alias("error"),
+    """The events of every third user among six in a row are the attempts of one call."""
+    call = F.concat_ws("-", F.expr("event_id DIV 6"), F.col("user_id") % 3)
+    nth = F.row_number().over(Window.partitionBy("call_id").orderBy("event_id"))
+    attempts = (
+        table(spark, sf, "events")
+        .select(
+            call.alias("call_id"),
+            "event_id",
+            (~F.col("event_type").isin("error", "view", "click")).alias("ok"),
+            F.expr(_ERROR_SQL).alias("error"),
+        )
+        .withColumn("attempt", nth)
     )
-    return retry_audit(attempts.filter((F.col("call_id") % 3 != 0) | (F.col("attempt") < 3)))
+    return retry_audit(attempts)
 
 
 RETRY_AUDIT_SQL = f"""
 WITH attempts AS (
-  SELECT CAST(event_id // 4 AS VARCHAR) AS call_id, CAST(event_id % 4 + 1 AS INTEGER) AS attempt,
-    event_type NOT IN ('error', 'view', 'click') AS ok, {_ERROR_SQL} AS error,
-    event_id % 6 <> 3 AS again FROM events WHERE (event_id // 4) % 3 <> 0 OR event_id % 4 < 2),
+  SELECT concat_ws('-', event_id // 6, user_id % 3) AS call_id,
+    CAST(row_number() OVER (PARTITION BY event_id // 6, user_id % 3 ORDER BY event_id) AS INTEGER) AS attempt,
+    event_type NOT IN ('error', 'view', 'click') AS ok, {_ERROR_SQL} AS error, event_id % 6 <> 3 AS again
+  FROM events),
 calls AS (
   SELECT call_id, max(attempt) AS attempts, arg_max(ok, attempt) AS ok, arg_max(error, attempt) AS error,
     arg_max(again, attempt) AS again,

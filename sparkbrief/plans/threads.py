@@ -43,7 +43,7 @@ def _worker():
 def _order_requests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(
         "o_orderkey",
-        F.expr("CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END").alias("user_input"),
+        F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("user_input"),
         F.expr("CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 't' || o_custkey END").alias("thread_id"),
         F.expr("CAST(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN -1 ELSE 3 END AS INT)").alias("max_steps"),
     )
@@ -70,7 +70,7 @@ SELECT o_orderkey, o_orderpriority AS user_input,
   CASE WHEN o_orderkey % 3 = 2 THEN 't' || o_custkey END AS given,
   CAST(CASE o_orderkey % 4 WHEN 2 THEN -1 WHEN 3 THEN 3 ELSE 8 END AS INTEGER) AS max_steps,
   true AS thread_id_good, true AS job_id_good
-FROM orders WHERE o_orderkey % 7 <> 0
+FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'
 """
 
 
@@ -81,7 +81,7 @@ def rejected_requests(spark: SparkSession, sf: str) -> DataFrame:
 REJECTED_REQUESTS_SQL = """
 SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 't' || o_custkey END AS thread_id,
   CAST(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN -1 ELSE 3 END AS INTEGER) AS max_steps
-FROM orders WHERE o_orderkey % 7 = 0
+FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'
 """
 
 
@@ -329,13 +329,11 @@ UNION ALL SELECT conv_id, seq, 'unknown', proposal FROM audit WHERE proposal = '
 
 
 def completed_guard(spark: SparkSession, sf: str) -> DataFrame:
-    """Proposals of odd turns against the agents that the even turns completed."""
-    said = table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("thread_id"), "turn", (F.col("conv_id") + F.col("turn") * F.col("turn")) % 3
-    ).toDF("thread_id", "turn", "k")
-    said = said.withColumn("agent", F.expr("CASE k WHEN 0 THEN 'research' WHEN 1 THEN 'finance' ELSE 'document' END"))
-    done = said.filter(F.col("turn") % 2 == 0).select("thread_id", "agent")
-    proposed = said.filter(F.col("turn") % 2 == 1).select("thread_id", "turn", "agent")
+    """What the assistant's turns propose, against the agents that the other turns completed."""
+    agent = F.expr(_AGENT_SQL).alias("agent")
+    said = table(spark, sf, "conversations").select(F.col("conv_id").alias("thread_id"), "turn", "role", agent)
+    done = said.filter(F.col("role") != "assistant").select("thread_id", "agent")
+    proposed = said.filter(F.col("role") == "assistant").select("thread_id", "turn", "agent")
     again = repeats(proposed, done).withColumn("repeated", F.lit(True))
     return (
         again.unionByName(fresh(proposed, done).withColumn("repeated", F.lit(False)))
@@ -343,13 +341,13 @@ def completed_guard(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-COMPLETED_GUARD_SQL = """
-WITH said AS (
-  SELECT conv_id, turn, CASE (conv_id + turn * turn) % 3 WHEN 0 THEN 'research' WHEN 1 THEN 'finance' ELSE 'document' END AS agent
-  FROM conversations)
+_AGENT_SQL = """CASE (conv_id + turn * turn) % 3 WHEN 0 THEN 'research' WHEN 1 THEN 'finance' ELSE 'document' END"""
+
+COMPLETED_GUARD_SQL = f"""
+WITH said AS (SELECT conv_id, turn, role, {_AGENT_SQL} AS agent FROM conversations)
 SELECT conv_id, turn, agent, EXISTS (
-  SELECT 1 FROM said d WHERE d.conv_id = said.conv_id AND d.agent = said.agent AND d.turn % 2 = 0) AS repeated
-FROM said WHERE turn % 2 = 1
+  SELECT 1 FROM said d WHERE d.conv_id = said.conv_id AND d.agent = said.agent AND d.role <> 'assistant') AS repeated
+FROM said WHERE role = 'assistant'
 """
 
 
@@ -453,19 +451,22 @@ FROM s JOIN firsts USING (conv_id)
 
 
 def batch_infer_query(spark: SparkSession, sf: str) -> DataFrame:
-    """A stand-in model that counts characters, asked once per distinct text."""
+    """A stand-in model that counts characters; labelled texts have been answered before."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
-    stored = documents.filter(F.col("doc_id") % 10 == 0).select(
-        F.col("text").alias("prompt"), F.lit("stored").alias("response")
+    answer = F.concat(F.lit("quality "), F.col("quality").cast("string"))
+    stored = documents.join(table(spark, sf, "labels"), "doc_id").select(
+        F.col("text").alias("prompt"), answer.alias("response")
     )
     answered = batch_infer(documents, "text", lambda prompt: str(len(prompt)), stored)
     return answered.select("doc_id", "response", "error", F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
 BATCH_INFER_SQL = """
-SELECT doc_id, CASE WHEN known THEN 'stored' ELSE CAST(length(text) AS VARCHAR) END AS response,
-  CAST(NULL AS VARCHAR) AS error, CAST(CASE WHEN known THEN 0 ELSE 1 END AS INTEGER) AS attempts
-FROM (SELECT doc_id, text, text IN (SELECT text FROM documents WHERE doc_id % 10 = 0) AS known FROM documents)
+WITH stored AS (
+  SELECT text, 'quality ' || max(quality) AS response FROM documents JOIN labels USING (doc_id) GROUP BY text)
+SELECT doc_id, coalesce(response, CAST(length(text) AS VARCHAR)) AS response, CAST(NULL AS VARCHAR) AS error,
+  CAST(CASE WHEN response IS NULL THEN 1 ELSE 0 END AS INTEGER) AS attempts
+FROM documents LEFT JOIN stored USING (text)
 """
 
 QUERIES = {

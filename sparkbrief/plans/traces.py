@@ -70,7 +70,7 @@ def _logs(spark: SparkSession, sf: str) -> DataFrame:
         F.when(kind == "error", "ERROR").otherwise("INFO").alias("level"),
         F.concat(F.lit("svc."), kind).alias("name"),
         F.concat(F.lit("事件 "), kind, F.lit(' "'), F.col("props"), F.lit('"')).alias("msg"),
-        F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("r"), F.col("user_id").cast("string"))).alias("request_id"),
+        F.when(kind != "signup", F.concat(F.lit("r"), F.col("user_id").cast("string"))).alias("request_id"),
         F.when(F.col("event_id") % 2 == 0, F.lit("")).otherwise(F.lit("t1")).alias("thread_id"),
         F.create_map(
             F.lit("event_id"), F.col("event_id").cast("string"),
@@ -81,10 +81,11 @@ def _logs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Events written as JSON log lines and read back; every seventh line is broken."""
+    """Events written as JSON log lines and read back; the lines of purchases are broken."""
     lines = format_lines(_logs(spark, sf))
     number = F.get_json_object("value", "$.event_id").cast("long")
-    broken = F.when(number % 7 == 0, F.concat(F.lit("Traceback "), number.cast("string"))).otherwise(F.col("value"))
+    purchase = F.get_json_object("value", "$.name") == "svc.purchase"
+    broken = F.when(purchase, F.concat(F.lit("Traceback "), number.cast("string"))).otherwise(F.col("value"))
     read = parse_lines(lines.select(broken.alias("value")))
     return read.select(
         F.coalesce(
@@ -107,11 +108,11 @@ SELECT event_id, CASE WHEN good THEN CAST(date_trunc('milliseconds', ts) AS TIME
   CASE WHEN good THEN CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END END AS level,
   CASE WHEN good THEN 'svc.' || event_type END AS name,
   CASE WHEN good THEN '事件 ' || event_type || ' "' || props || '"' END AS msg,
-  CASE WHEN good AND user_id % 5 <> 0 THEN 'r' || user_id END AS request_id,
+  CASE WHEN good AND event_type <> 'signup' THEN 'r' || user_id END AS request_id,
   CASE WHEN good AND event_id % 2 = 1 THEN 't1' END AS thread_id,
   CASE WHEN good THEN value END AS price, CAST(CASE WHEN good THEN 2 END AS INTEGER) AS n_extras,
   CASE WHEN NOT good THEN 'Traceback ' || event_id END AS bad_line
-FROM (SELECT *, event_id % 7 <> 0 AS good FROM events)
+FROM (SELECT *, event_type <> 'purchase' AS good FROM events)
 """
 
 
@@ -128,7 +129,7 @@ def trace_rollup_query(spark: SparkSession, sf: str) -> DataFrame:
 TRACE_ROLLUP_SQL = """
 SELECT 'r' || user_id AS request_id, count(*) AS lines, count(*) FILTER (WHERE event_type = 'error') AS errors,
   min(ts) AS first_ts, max(ts) AS last_ts, string_agg(DISTINCT 'svc.' || event_type, ',' ORDER BY 'svc.' || event_type) AS names
-FROM events WHERE user_id % 5 <> 0 GROUP BY user_id
+FROM events WHERE event_type <> 'signup' GROUP BY user_id
 """
 
 _UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[0-9a-f]{4}-[0-9a-f]{12}$"
