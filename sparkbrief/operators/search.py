@@ -22,20 +22,20 @@ WEIGHT_UNIT = 1_000_000
 
 # Stands for "this document exists" among the words of a document; no word is empty.
 _MARK = ""
+_MARK_ID = -1
 
 
 def _postings(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc_id, length, term, tf) for the words asked for, and a marker row per document."""
+    """(doc_id, length, tid, tf) for the words asked for, and a marker row per document."""
     words = corpus.select("doc_id", F.coalesce(tokens(F.col("body")), F.array()).alias("words"))
     terms = words.select(
         "doc_id",
         F.size("words").alias("length"),
         F.explode(F.array_append("words", F.lit(_MARK))).alias("term"),
     )
-    asked = vocabulary.union(vocabulary.sparkSession.createDataFrame([(_MARK,)], "term string"))
     return (
-        terms.join(asked, "term", "left_semi")
-        .groupBy("doc_id", "length", "term")
+        terms.join(vocabulary, "term")
+        .groupBy("doc_id", "length", "tid")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -64,52 +64,62 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int = HITS_PER_QUERY)
         queries.select("query").distinct().withColumn("qid", F.monotonically_increasing_id()),
         "queries",
     )
-    query_terms = staged(
+    spoken = staged(
         asked.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")),
-        "query-terms",
+        "query-words",
     )
-    postings = staged(_postings(corpus, query_terms.select("term").distinct()), "postings")
-    whole = postings.filter(F.col("term") == _MARK)
+    mark = queries.sparkSession.range(1).select(
+        F.lit(_MARK).alias("term"), F.lit(_MARK_ID).cast("long").alias("tid")
+    )
+    numbered = spoken.select("term").distinct().withColumn("tid", F.monotonically_increasing_id())
+    vocabulary = staged(numbered.union(mark), "vocabulary")
+    postings = staged(_postings(corpus, vocabulary), "postings")
+    whole = postings.filter(F.col("tid") == _MARK_ID)
     counted = whole.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("words")).first()
     if not counted["words"]:
+        nothing = F.lit(None).cast(corpus.schema["doc_id"].dataType)
         return asked.select(
-            "query", F.lit(1).alias("rank"), F.lit(None).cast(corpus.schema["doc_id"].dataType).alias("doc_id"),
-            F.lit(0).cast("long").alias("score"),
+            "query", F.lit(1).alias("rank"), nothing.alias("doc_id"), F.lit(0).cast("long").alias("score")
         ).filter(F.lit(False))
     documents, average = counted["n"], counted["words"] / counted["n"]
-    matched = postings.filter(F.col("term") != _MARK).withColumn("part", _saturation(average))
+    by_document = postings.filter(F.col("tid") != _MARK_ID).select(
+        "doc_id", "tid", _saturation(average).alias("part")
+    )
 
-    frequency = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = by_document.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
     # The k best documents of each word: k rows a word, whatever its frequency.
-    heads = _top(matched, "term", F.col("part"), k).groupBy("term").agg(
+    heads = _top(by_document, "tid", F.col("part"), k).groupBy("tid").agg(
         F.max("part").alias("best"), F.collect_list("doc_id").alias("head")
     )
-    terms = frequency.join(heads, "term")
+    known = vocabulary.join(frequency, "tid").join(heads, "tid")
     weighed = staged(
-        query_terms.join(terms, "term").select(
-            "qid", "term", "df", "head", _weight(documents, F.col("best")).alias("bound")
+        spoken.join(known, "term").select(
+            "qid", "tid", "df", "head", _weight(documents, F.col("best")).alias("bound")
         ),
-        "weighed-terms",
+        "weighed-words",
     )
-    by_document = matched.select("doc_id", "term", "part")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        """Exact scores of (qid, doc_id) pairs over all words of the query."""
-        words = pairs.join(weighed.select("qid", "term", "df"), "qid")
+        """Add to ``start`` of (qid, doc_id, start, words) what those words of the query weigh."""
+        probes = pairs.select("qid", "doc_id", "start", F.explode_outer("words").alias("w"))
+        probes = probes.select("qid", "doc_id", "start", "w.tid", "w.df")
         return (
-            words.join(by_document, ["doc_id", "term"])
+            probes.join(by_document, ["doc_id", "tid"], "left")
             .groupBy("qid", "doc_id")
-            .agg(F.sum(_weight(documents, F.col("part"))).alias("score"))
+            .agg((F.first("start") + F.coalesce(F.sum(_weight(documents, F.col("part"))), F.lit(0))).alias("score"))
         )
 
+    word = F.struct("tid", "df")
+    every = weighed.groupBy("qid").agg(F.collect_list(word).alias("words"))
     seeds = weighed.select("qid", F.explode("head").alias("doc_id")).distinct()
+    seeds = seeds.join(every, "qid").withColumn("start", F.lit(0).cast("long"))
     reach = (
         _top(scored(seeds), "qid", F.col("score"), k)
         .groupBy("qid")
         .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("reach"))
         .select("qid", F.when(F.col("n") == k, F.col("reach")).otherwise(F.lit(0)).alias("reach"))
     )
-    weakest_first = Window.partitionBy("qid").orderBy("bound", "term")
+    weakest_first = Window.partitionBy("qid").orderBy("bound", "tid")
     bounded = weighed.join(reach, "qid").withColumn(
         "so_far",
         F.sum("bound").over(
@@ -118,24 +128,25 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int = HITS_PER_QUERY)
     )
     # Words whose bounds add up to less than the reach cannot make a hit by themselves.
     leads = F.col("so_far") >= F.col("reach")
-    most = F.max(F.when(~leads, F.col("so_far"))).over(Window.partitionBy("qid"))
-    leading = staged(
-        bounded.withColumn("rest", F.coalesce(most, F.lit(0)))
-        .filter(leads)
-        .select("qid", "term", "df", "rest", "reach"),
-        "leading-terms",
+    split = staged(
+        bounded.groupBy("qid").agg(
+            F.first("reach").alias("reach"),
+            F.coalesce(F.max(F.when(~leads, F.col("so_far"))), F.lit(0)).alias("rest"),
+            F.collect_list(F.when(leads, word)).alias("leading"),
+            F.collect_list(F.when(~leads, word)).alias("words"),
+        ),
+        "split-words",
     )
+    leading = split.select("qid", "reach", "rest", F.explode("leading").alias("w"))
     # Nor can a document whose leading words fall short even with all the others at their bounds.
     candidates = (
-        leading.join(by_document, "term")
-        .groupBy("qid", "doc_id")
-        .agg(
-            F.sum(_weight(documents, F.col("part"))).alias("led"),
-            F.first("rest").alias("rest"),
-            F.first("reach").alias("reach"),
-        )
-        .filter(F.col("led") + F.col("rest") >= F.col("reach"))
-        .select("qid", "doc_id")
+        leading.select("qid", "reach", "rest", "w.tid", "w.df")
+        .join(by_document, "tid")
+        .groupBy("qid", "doc_id", "reach", "rest")
+        .agg(F.sum(_weight(documents, F.col("part"))).alias("start"))
+        .filter(F.col("start") + F.col("rest") >= F.col("reach"))
+        .select("qid", "doc_id", "start")
+        .join(split.select("qid", "words"), "qid")
     )
     hits = _top(scored(candidates).filter(F.col("score") > 0), "qid", F.col("score"), k)
     return asked.join(hits, "qid").select("query", "rank", "doc_id", "score")
