@@ -12,12 +12,10 @@ _SPLIT = 134217729.0
 def _rounded(x: Column, product: Column) -> Column:
     high = x * F.lit(_SPLIT) - (x * F.lit(_SPLIT) - x)
     lost = (high * F.lit(100.0) - product) + (x - high) * F.lit(100.0)
-    whole = F.floor(product).cast("double")
-    part = product - whole
-    odd = F.pmod(whole, F.lit(2.0)) == 1.0
-    up = (part > 0.5) | ((part == 0.5) & ((lost > 0.0) | ((lost == 0.0) & odd)))
-    rounded = (whole + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(100.0)
-    return F.when(F.abs(x) < _EXACT_BELOW, rounded).otherwise(x)
+    # A product on a half moves to the side where the exact value lies; rint sends true ties to even.
+    on_half = product - F.floor(product) == 0.5
+    moved = product + F.when(on_half, F.signum(lost) * 0.5).otherwise(F.lit(0.0))
+    return F.when(F.abs(x) < _EXACT_BELOW, F.rint(moved) / F.lit(100.0) + F.lit(0.0)).otherwise(x)
 
 
 def round2(x: Column) -> Column:

@@ -240,12 +240,19 @@ def guard_searches(
     )
 
 
-def status_report(timeline: DataFrame, at, rule: BreakerRule = BreakerRule()) -> DataFrame:
-    """State of every key as read at time ``at`` (a TIMESTAMP column or literal)."""
+def status_report(
+    timeline: DataFrame, at, rule: BreakerRule = BreakerRule(), registered: DataFrame | None = None
+) -> DataFrame:
+    """State of every key as read at time ``at`` (a TIMESTAMP column or literal).
+
+    A key of ``registered`` (``key``) without calls so far is closed.
+    """
     latest = (
         timeline.filter(F.col("ts") <= at)
         .groupBy("key")
         .agg(F.max_by(F.struct("state", "opened_at"), F.struct("ts", "event_id")).alias("s"))
         .select("key", "s.state", "s.opened_at")
     )
+    if registered is not None:
+        latest = registered.select("key").distinct().join(latest, "key", "full")
     return latest.select("key", _state_at(at, rule).alias("state"))

@@ -52,6 +52,7 @@ def batch_infer(
 ) -> DataFrame:
     """Add ``response``, ``error`` and ``attempts`` of ``fn`` to each row.
 
+    ``df`` is read twice, for its prompts and for its rows; stage it if it is costly.
     Prompts answered in ``stored`` (``prompt, response``) are not asked again. The
     answers are written before they are joined, as a second call may answer
     otherwise. Errors worth a retry are tried again with a growing wait.

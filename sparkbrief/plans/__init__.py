@@ -1,6 +1,6 @@
 """Queries over the given tables, each with the SQL that must give the same rows."""
 
-from sparkbrief.plans import guarded, positions, reliability, search, streams, threads, traces
+from sparkbrief.plans import answers, guarded, positions, reliability, search, streams, threads, traces
 
 CATALOG = {
     **positions.QUERIES,
@@ -9,5 +9,6 @@ CATALOG = {
     **reliability.QUERIES,
     **traces.QUERIES,
     **guarded.QUERIES,
+    **answers.QUERIES,
     **streams.QUERIES,
 }

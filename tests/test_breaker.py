@@ -147,6 +147,9 @@ def test_status_report_and_guard(spark):
 
     assert report(10) == {"a": "open", "b": "closed"}
     assert report(30) == {"a": "half_open", "b": "closed"}
+    names = spark.createDataFrame([("a",), ("tool_a",), ("tool_a",)], "key string")
+    full = status_report(line, F.lit(T0), rule, names)
+    assert {r.key: r.state for r in full.collect()} == {"a": "open", "b": "closed", "tool_a": "closed"}
     asked = spark.createDataFrame(
         [("r1", "a", T0 + timedelta(seconds=10)), ("r2", "a", T0 + timedelta(seconds=31)),
          ("r3", "new", T0), ("r4", "a", T0 - timedelta(seconds=1))],
