@@ -5,6 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkbrief.llm.cutting_stock import pack
+from sparkbrief.llm.decontaminate import contamination
+from sparkbrief.llm.language_id import language_id
+from sparkbrief.llm.sharding import shard
+from sparkbrief.llm.simhash_bk import simhash_groups
 from sparkbrief.llm.token_counts import token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -14,11 +19,60 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id(table(spark, folder, "documents"))
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard(table(spark, folder, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_groups(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
+    "op3_packing": op3_packing,
+    "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
+    "op7_simhash": op7_simhash,
 }
-ORACLES: dict[str, str] = {}
+ITEM_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({ITEM_WORDS}, []) AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {ITEM_WORDS} AS w FROM benchmark),
+v AS (
+    SELECT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+        lambda s: array_to_string(w[s:s + 9], ' '))) AS g
+    FROM i WHERE len(w) > 0
+),
+sizes AS (SELECT DISTINCT n FROM v),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d, sizes WHERE len(w) >= n),
+o AS (
+    SELECT p.doc_id, p.s, p.n, v.item FROM (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM p) p
+    JOIN v ON v.n = p.n AND v.g = p.g
+),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM o) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(l.n_items, 0) AS n_items,
+       sha256(coalesce(l.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL}
