@@ -118,13 +118,13 @@ def patterns(histogram: dict[int, int], room: int) -> list[tuple[int, dict[int,
         return []
     need = np.array([histogram[s] for s in sizes.tolist()], dtype=float)
     whole = np.diag((room // sizes).astype(float))
-    inverse, columns, amount = np.linalg.inv(whole), [whole[:, i] for i in range(len(sizes))], need / (room // sizes)
+    inverse, columns, amount = np.diag(1.0 / (room // sizes)), [whole[:, i] for i in range(len(sizes))], need / (room // sizes)
     for _ in range(40 * len(sizes) + 100):  # ends far earlier; any basis is a valid packing
         worth = inverse.sum(axis=0)
         value, column = knapsack(sizes, np.maximum(worth, 0), room)
         if value <= 1 + 1e-9 or 1 - 1 / value < GAP:
             break
-        step = inverse @ column
+        step = (inverse * column).sum(axis=1)
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
