@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkbrief.llm.cutting_stock import pack
 from sparkbrief.llm.decontaminate import contamination
 from sparkbrief.llm.language_id import language_id
+from sparkbrief.llm.repeats import repeated_spans
 from sparkbrief.llm.sharding import shard
 from sparkbrief.llm.simhash_bk import simhash_groups
 from sparkbrief.llm.token_counts import token_counts
@@ -43,6 +44,11 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"))
 
 
+def op8_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_spans(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -50,6 +56,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
+    "op8_suffix_repeats": op8_suffix_repeats,
 }
 ITEM_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
