@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkbrief.llm.cutting_stock import pack
 from sparkbrief.llm.decontaminate import contamination
 from sparkbrief.llm.language_id import language_id
+from sparkbrief.llm.metric_join import near_vectors
 from sparkbrief.llm.repeats import repeated_spans
 from sparkbrief.llm.sharding import shard
 from sparkbrief.llm.simhash_bk import simhash_groups
 from sparkbrief.llm.token_counts import token_counts
+from sparkbrief.llm.warc import archive_pages
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -32,6 +34,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_pages(spark, table(spark, folder, "pages"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(table(spark, folder, "documents"))
 
@@ -49,14 +55,20 @@ def op8_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_suffix_repeats": op8_suffix_repeats,
+    "op10_near_vectors": op10_near_vectors,
 }
 ITEM_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -82,4 +94,38 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(l.
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL}
+OP4_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+)
+SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN strlen(html) >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM p
+"""
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+    FROM embeddings
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+),
+reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM v
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+),
+component AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(counts.n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN component USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op4_warc": OP4_SQL,
+    "op10_near_vectors": OP10_SQL,
+}
