@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkbrief.llm.cutting_stock import pack
 from sparkbrief.llm.decontaminate import contamination
 from sparkbrief.llm.language_id import language_id
+from sparkbrief.llm.maxent import lm_scores
 from sparkbrief.llm.metric_join import near_vectors
 from sparkbrief.llm.repeats import repeated_spans
 from sparkbrief.llm.sharding import shard
@@ -31,7 +32,7 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
+    return pack(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE)).drop("text_key")
 
 
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +48,8 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash_groups(table(spark, folder, "documents"))
+    found = simhash_groups(table(spark, folder, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op8_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,6 +57,10 @@ def op8_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(table(spark, folder, "documents"))
+
+
 def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_suffix_repeats": op8_suffix_repeats,
+    "op9_lm_scores": op9_lm_scores,
     "op10_near_vectors": op10_near_vectors,
 }
 ITEM_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

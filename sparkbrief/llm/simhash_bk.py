@@ -49,14 +49,17 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of each row."""
+    """``doc_id, text_key, fp`` (the fingerprint as a signed long) of each row."""
 
     def make(part: pa.RecordBatch) -> dict[str, list]:
         found = [fingerprint((t or "").encode(), words) for t in part.column("text").to_pylist()]
-        return {"doc_id": part.column("doc_id"), "fp": np.array(found, np.uint64).view(np.int64)}
+        kept = {n: part.column(n) for n in ("doc_id", "text_key")}
+        return kept | {"fp": np.array(found, np.uint64).view(np.int64)}
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return arrow_map(rows, make, "doc_id long, fp long")
+    rows = docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key")
+    )
+    return arrow_map(rows, make, "doc_id long, text_key long, fp long")
 
 
 def block_choices(radius: int, blocks: int, bits: int = BITS) -> list[list[tuple[int, int]]]:
@@ -223,7 +226,7 @@ def near_links(fps: DataFrame, radius: int = 3, hot_shard: int = HOT_SHARD) -> D
 
 
 def simhash_groups(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row of ``docs(doc_id, text)``.
+    """``doc_id, fingerprint, component_id, text_key`` of every row of ``docs(doc_id, text)``.
 
     Null and empty texts have fingerprint zero and link like any other. Equal fingerprints
     are one node, however many rows share them. ``component_id`` is the least non-null
@@ -238,17 +241,29 @@ def simhash_groups(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFram
     )
     named = staged(named, "nodes")
     lowest = named.groupBy("_component").agg(F.min("_least").alias("component_id"))
-    named = named.join(lowest, "_component").select("fp", "component_id")
+    named = named.join(lowest, "_component").select("fp", "component_id", "_component")
     return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key", "_component"
     )
 
 
 def near_duplicates_removed(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
-    """``docs`` with one document of each connected set: the one with the least ``doc_id``.
+    """``docs``, all columns, with one row of each connected set.
 
-    All columns stay. A set without ids, and rows that repeat the least id, keep all those rows.
+    It is the row with the least ``doc_id`` (a null id comes last, equal ids go by a hash of the
+    text); of rows that repeat that id and text one stays.
     """
-    groups = simhash_groups(docs, radius, words)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    groups = staged(simhash_groups(docs, radius, words), "groups")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    best = groups.groupBy("_component").agg(F.min(key).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = staged(best.filter("n > 1").select("_component", "best"), "kept")
+    judged = groups.join(best, "_component").select("doc_id", "text_key", (key == F.col("best")).alias("stays"))
+    judged = judged.groupBy("doc_id", "text_key").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    judged = staged(judged.filter(~F.col("stays") | (F.col("n") > 1)), "judged")
+    judged = judged.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key"), "stays")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_gone_key"))
+    left = docs.join(judged.select("_gone", "_gone_key"), same, "left_anti")
+    repeated = judged.filter("stays").select("_gone", "_gone_key")
+    if repeated.isEmpty():
+        return left
+    return left.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
