@@ -6,8 +6,9 @@ containment needs every shingle, so the prefix that must be joined is the rarest
 shingle fixes where the window would begin; the length bound drops what would stick out of the
 document, and the words between are then compared one by one.
 
-Tokenised documents are exploded once, against the set of item shingles; only the matches, each
-with the few words around it, are written. Rarity is counted on them, over all documents.
+Documents are read once. A row keeps the places of the shingles that may be an item's, by a
+bitmap of fixed size over the hashes of all item shingles, each with the few words around it:
+only these are exploded and joined. Rarity is counted on them, over all documents.
 """
 
 from __future__ import annotations
@@ -15,27 +16,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkbrief.llm.common import fold_case
+from sparkbrief.llm.common import UPPER, doc_key
 from sparkbrief.staging import staged
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 5
-BROADCAST_ROWS = 1_000_000  # item shingles up to which their set (16 bytes a row) is sent to executors
+MOST_WORDS = 1 << 17  # longs in the bitmap at most (1 MB); more item shingles only let more rows through
+BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(fold_case(text), F.lit(WORD), F.lit(0))
+    """Words of letters, digits and all beyond ASCII, with A-Z lower-cased; none for null."""
+    plain = F.translate(text.cast("string"), UPPER + BREAKS, UPPER.lower() + " " * len(BREAKS))
+    return F.coalesce(F.array_remove(F.split(plain, " "), ""), F.array().cast("array<string>"))
 
 
-def n_words(text: Column) -> Column:
-    """Number of words; the class also takes A-Z here, so nothing has to be lower-cased."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-
-
-def _shingle(words: str, at: Column, size: int) -> Column:
-    """Hash of ``size`` words from place ``at`` (from 0); past the end it is of fewer words."""
-    return F.xxhash64(F.lit(size), *[F.get(F.col(words), at + k) for k in range(size)])
+def _shingle(hashes: str, at: Column, size: int) -> Column:
+    """Hash of ``size`` word hashes from place ``at`` (from 0)."""
+    return F.xxhash64(F.lit(size), *[F.get(F.col(hashes), at + k) for k in range(size)])
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -49,53 +47,90 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """``_doc, _text, begin, len, item``: verified places of windows in ``docs(_doc, _text, text)``."""
+def item_marks(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """``words, len, items, offset, size, hash``: every shingle of every distinct window."""
     windows = item_windows(items, window).groupBy("words", "len").agg(F.collect_set("item").alias("items"))
-    windows = staged(windows.withColumn("window", F.xxhash64("words")), "windows")
-    sizes = [r[0] for r in windows.select(F.least("len", F.lit(shingle)).alias("s")).distinct().collect()]  # 1..shingle
-    marks = windows.select(
-        "words", "len", "items", F.explode(F.sequence(F.lit(0), F.col("len") - F.least("len", F.lit(shingle)))).alias("offset")
+    windows = windows.select(
+        "*", F.least("len", F.lit(shingle)).alias("size"), F.transform("words", lambda w: F.xxhash64(w)).alias("_h")
     )
-    marks = marks.withColumn(
-        "hash",
-        F.coalesce(*[F.when(F.least("len", F.lit(shingle)) == s, _shingle("words", F.col("offset"), s)) for s in sizes])
-        if sizes
-        else F.lit(0).cast("long"),
+    marks = windows.select("*", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("size"))).alias("offset"))
+    sized = F.coalesce(*[F.when(F.col("size") == s, _shingle("_h", F.col("offset"), s)) for s in range(1, shingle + 1)])
+    return staged(marks.withColumn("hash", sized).drop("_h"), "marks")
+
+
+def _bitmap(marks: DataFrame) -> tuple[Column, int]:
+    """A bit for each item shingle, as a literal array of longs, and the bits that choose the long."""
+    hashes = marks.select("hash").distinct()
+    longs = 1 << 10
+    while longs < min(MOST_WORDS, hashes.count() * 8):
+        longs *= 2
+    top = longs.bit_length() - 1
+    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
+    place = F.shiftrightunsigned("hash", 64 - top).cast("int").alias("at")
+    rows = hashes.select(place, bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
+    held = {r["at"]: str(r["bits"]) for r in rows}
+    text = ",".join(held.get(i, "0") for i in range(longs))
+    return F.split(F.lit(text), ",").cast("array<bigint>"), top
+
+
+def scan(docs: DataFrame, marks: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, _doc, _text, n_words, found`` of ``docs(doc_id, _doc, _text, text)``; found: (pos, hash, near)."""
+    sizes = sorted(r["size"] for r in marks.select("size").distinct().collect())  # within 1..shingle
+    bits, top = _bitmap(marks)
+    split = docs.select("doc_id", "_doc", "_text", words_of(F.col("text")).alias("_w"))
+    rows = split.select("*", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    reach = window - 1  # the words around a match: enough for any window that holds the shingle
+
+    def starts(size: int) -> Column:
+        return F.when(F.size("_h") >= size, F.sequence(F.lit(0), F.size("_h") - size)).otherwise(F.array().cast("array<int>"))
+
+    def set_bit(code: Column) -> Column:
+        return F.getbit(F.get(bits, F.shiftrightunsigned(code, 64 - top).cast("int")), code.bitwiseAND(63).cast("int")) == 1
+
+    def shingles(size: int) -> Column:
+        return F.transform(starts(size), lambda i: _shingle("_h", i, size))
+
+    def hits(size: int) -> Column:
+        return F.filter(starts(size), lambda i: set_bit(F.get(F.col(f"_g{size}"), i)))
+
+    def around(size: int) -> Column:
+        def one(i: Column) -> Column:
+            near = F.slice("_w", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
+            return F.struct(i.alias("pos"), F.get(F.col(f"_g{size}"), i).alias("hash"), near.alias("near"))
+
+        return F.transform(f"_p{size}", one)
+
+    # Each step uses the columns of the one before more than once, so each is computed once.
+    rows = rows.select("*", *[shingles(size).alias(f"_g{size}") for size in sizes])
+    rows = rows.select("*", *[hits(size).alias(f"_p{size}") for size in sizes])
+    found = [around(size) for size in sizes]
+    none = F.array().cast("array<struct<pos:int,hash:bigint,near:array<string>>>")
+    return rows.select(
+        "doc_id", "_doc", "_text", F.size("_w").cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("found")
     )
-    marks = staged(marks, "marks")
-    wanted = marks.select("hash").distinct()
-    few = wanted.count() <= BROADCAST_ROWS
-    split = docs.select("_doc", "_text", words_of(F.col("text").cast("string")).alias("_w")).filter(F.size("_w") > 0)
-
-    def exploded(size: int) -> DataFrame:
-        hashes = F.transform("_w", lambda _, i: _shingle("_w", i, size))
-        return split.select("_doc", "_text", "_w", F.posexplode(hashes).alias("pos", "hash"))
-
-    # The words around a match: enough for any window that holds the shingle.
-    reach = window - 1
-    around = F.slice("_w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
-    found = None
-    for size in sorted(sizes):
-        rows = exploded(size)
-        if few:
-            near = rows.join(F.broadcast(wanted), "hash", "left_semi")
-            near = near.select("_doc", "_text", "pos", "hash", around.alias("near"))
-        else:
-            near = rows.select("_doc", "_text", "pos", "hash", around.alias("near")).join(wanted, "hash", "left_semi")
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        found = split.select("_doc", "_text", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"), F.col("_w").alias("near")).limit(0)
-    found = staged(found, "matches")
+
+
+def occurrences(scanned: DataFrame, marks: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``_doc, _text, begin, len, item``: verified places of windows in the (written) scan."""
+    found = scanned.select("_doc", "_text", F.explode("found").alias("f")).select("_doc", "_text", "f.*")
     rarity = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    ranked = marks.join(rarity, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    first = F.min(F.struct("n", "hash", "offset"))
-    rarest = ranked.groupBy("words", "len", "items").agg(first.alias("rarest")).filter(F.col("rarest.n") > 0)
+    ranked = marks.join(rarity, "hash")
+    # A window with a shingle that no document has is nowhere.
+    rarest = ranked.groupBy("words", "len", "items", "size").agg(
+        F.min(F.struct("n", "hash", "offset")).alias("rarest"), F.countDistinct("offset").alias("shingles")
+    )
+    rarest = rarest.filter(F.col("shingles") == F.col("len") - F.col("size") + 1)
     prefix = rarest.select("words", "len", "items", F.col("rarest.hash").alias("hash"), F.col("rarest.offset").alias("offset"))
-    back = F.col("offset") - F.least("pos", F.lit(reach))  # the window's begin, from the context's first word
-    joined = found.join(prefix, "hash").filter((back <= 0) & (F.size("near") + back >= F.col("len")))
+    back = F.col("offset") - F.least("pos", F.lit(window - 1))  # the window's begin, from the context's first word
+    joined = found.join(staged(prefix, "prefix"), "hash").filter((back <= 0) & (F.size("near") + back >= F.col("len")))
     same = joined.filter(F.slice("near", 1 - back, F.col("len")) == F.col("words"))
-    return same.select("_doc", "_text", (F.col("pos") - F.col("offset")).alias("begin"), "len", F.explode("items").alias("item"))
+    return same.select("_doc", "_text", (F.col("pos") - F.col("offset")).alias("begin"), "len", F.explode_outer("items").alias("item"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    keys = dict(zip(("_doc", "_text"), doc_key(), strict=True))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.withColumns(keys)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -105,10 +140,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     no windows. Items without id count in ``n_hit`` but are not listed. Equal item ids count once.
     Repeated rows each give a row; a null id stays null. Other columns are not looked at.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"), F.col("text").cast("string").alias("text")
-    )
-    places = staged(occurrences(rows, items, window, shingle), "places")
+    marks = item_marks(items, window, shingle)
+    scanned = staged(scan(_rows(docs), marks, window, shingle), "scan")
+    places = staged(occurrences(scanned, marks, window), "places")
     listed = places.groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("item")).alias("items"))
     spans = places.groupBy("_doc", "_text", "begin").agg(F.max("len").alias("len"))
     # At most one span per word of the document.
@@ -122,12 +156,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         ),
         lambda a: a["n"],
     )
-    hit = ordered.select("_doc", "_text", covered.alias("n_hit")).join(listed, ["_doc", "_text"], "left")
-    hit = hit.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "n_hit", "items")
-    base = rows.select("_doc", "_text", n_words(F.col("text")).alias("n_words"))
-    joined = base.join(hit, base["_doc"].eqNullSafe(hit["_d"]) & (base["_text"] == hit["_t"]), "left")
+    hit = ordered.select("_doc", "_text", covered.alias("n_hit")).join(listed, ["_doc", "_text"])
+    joined = scanned.drop("found").join(hit, ["_doc", "_text"], "left")
     return joined.select(
-        F.col("_doc").alias("doc_id"),
+        "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -138,9 +170,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """``docs``, all columns, without the documents that hold a window of an item."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"), F.col("text").cast("string").alias("text")
-    )
-    dirty = occurrences(rows, items, window, shingle).select("_doc", "_text").distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_text"))
-    return docs.join(dirty, same, "left_anti")
+    marks = item_marks(items, window, shingle)
+    scanned = staged(scan(_rows(docs), marks, window, shingle), "scan")
+    dirty = occurrences(scanned, marks, window).select("_doc", "_text").distinct()
+    keyed = docs.withColumns({f"_{n}_of": c for n, c in zip(("doc", "text"), doc_key(), strict=True)})
+    same = (keyed["_doc_of"] == dirty["_doc"]) & (keyed["_text_of"] == dirty["_text"])
+    return keyed.join(dirty, same, "left_anti").drop("_doc_of", "_text_of")
