@@ -26,6 +26,7 @@ from sparkbrief.staging import stage_path, staged
 
 ARCHIVE_BYTES = 32 << 20  # of records before compression; a new archive begins beyond it
 ARCHIVE_RECORDS = 20_000
+MOST_TASKS = 20_000
 CHUNK = 1 << 20
 REVISIT_BYTES = 100  # smaller payloads are never revisits
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time
@@ -248,5 +249,7 @@ def archive_pages(spark: SparkSession, pages: DataFrame, root: str | None = None
     root = root or stage_path(spark, "archives")
     written = staged(write_archives(pages, root), "written")
     lists = revisits(written).groupBy("archive").agg(F.collect_list(F.struct("number", "refers_to")).alias("revisits"))
-    paths = written.select("archive").distinct().join(lists, "archive", "left").repartition("archive")
-    return read_archives(staged(normalise(paths), "normal").repartition("archive"))
+    paths = staged(written.select("archive").distinct().join(lists, "archive", "left"), "archive-lists")
+    # A given number of parts: rows this small would otherwise be merged into one task.
+    parts = max(1, min(MOST_TASKS, paths.count()))
+    return read_archives(staged(normalise(paths.repartition(parts, "archive")), "normal").repartition(parts, "archive"))
