@@ -2,10 +2,12 @@
 
 from sparkbrief.functions.jsontext import (
     has_key,
+    is_list,
     is_number,
     is_string,
     json_field,
     json_object,
+    json_value,
     truthy,
 )
 from sparkbrief.functions.numbers import round2, with_rounded
@@ -17,11 +19,13 @@ __all__ = [
     "backoff_delay",
     "breaker_key",
     "has_key",
+    "is_list",
     "is_number",
     "is_retryable",
     "is_string",
     "json_field",
     "json_object",
+    "json_value",
     "not_blank",
     "round2",
     "search_error_text",

@@ -10,11 +10,31 @@ from pyspark.sql import functions as F
 from sparkbrief.functions.text import strip
 
 
+_MARK = "#end#"
+
+
+def json_value(content: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else; null otherwise.
+
+    A parser by itself stops behind the first value and lets any text follow it. Read as a list
+    that a mark closes, the text must fill exactly the place before the mark.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), content, F.lit(f',"{_MARK}"]')))
+    marked = F.try_variant_get(listed, "$[1]", "string") == _MARK
+    alone = marked & F.try_variant_get(listed, "$[2]", "variant").isNull() & ~content.contains(_MARK)
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def json_object(content: Column) -> Column:
-    """VARIANT of a JSON object; null for bad JSON, lists and plain values."""
+    """VARIANT of a JSON object; null for bad JSON, lists, plain values and objects with text behind them."""
+    text = strip(content)
+    return F.when(text.startswith("{"), json_value(text))
+
+
+def is_list(content: Column) -> Column:
+    """Whether a text is one JSON list and nothing else."""
     text = strip(content)
-    closed = text.startswith("{") & text.endswith("}")
-    return F.when(closed, F.try_parse_json(text))
+    return F.coalesce(text.startswith("[") & json_value(text).isNotNull(), F.lit(False))
 
 
 def json_field(doc: Column, name: str, as_type: str = "string") -> Column:

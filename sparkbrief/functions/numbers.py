@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Beyond this size a double has no digits after the second decimal to round away.
-_EXACT_BELOW = 4.0e13
+# From here on the next double is more than half a hundredth away, so every value rounds to itself.
+_EXACT_BELOW = float(1 << 46)
 # 2**27 + 1 splits a double into two halves of 26 bits.
 _SPLIT = 134217729.0
 
@@ -12,10 +12,17 @@ _SPLIT = 134217729.0
 def _rounded(x: Column, product: Column) -> Column:
     high = x * F.lit(_SPLIT) - (x * F.lit(_SPLIT) - x)
     lost = (high * F.lit(100.0) - product) + (x - high) * F.lit(100.0)
-    # A product on a half moves to the side where the exact value lies; rint sends true ties to even.
-    on_half = product - F.floor(product) == 0.5
-    moved = product + F.when(on_half, F.signum(lost) * 0.5).otherwise(F.lit(0.0))
-    return F.when(F.abs(x) < _EXACT_BELOW, F.rint(moved) / F.lit(100.0) + F.lit(0.0)).otherwise(x)
+    # The exact value is whole + part + lost; whole is even where the product sits on a half.
+    whole = F.rint(product)
+    part = product - whole
+    side = F.signum(part)
+    # On a half the lost bits decide; without any it is a true tie and stays even.
+    beyond = (F.abs(part) == 0.5) & (F.signum(lost) == side)
+    # Among the largest products all are whole, and the lost bits alone may reach a half.
+    odd = F.pmod(whole, F.lit(2.0)) == 1.0
+    apart = (part == 0.0) & ((F.abs(lost) > 0.5) | ((F.abs(lost) == 0.5) & odd))
+    moved = whole + F.when(beyond, side).when(apart, F.signum(lost)).otherwise(F.lit(0.0))
+    return F.when(F.abs(x) < _EXACT_BELOW, moved / F.lit(100.0) + F.lit(0.0)).otherwise(x)
 
 
 def round2(x: Column) -> Column:

@@ -4,7 +4,7 @@ import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,19 +62,22 @@ def advance(held: tuple, us: int, ok: bool, rule: BreakerRule) -> tuple[tuple, b
 
 
 def _fold(rule: BreakerRule):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = object(), START
         for rows in batches:
             admitted, states, opened = [], [], []
-            for row_key, us, ok in zip(rows["key"], rows["us"].tolist(), rows["ok"].tolist(), strict=True):
+            columns = [rows.column(n).to_pylist() for n in ("key", "us", "_good")]
+            for row_key, us, good in zip(*columns, strict=True):
                 if row_key != key:
                     key, held = row_key, START
-                held, passed = advance(held, us, ok, rule)
+                held, passed = advance(held, us, good, rule)
                 admitted.append(passed)
                 states.append(held[0])
                 opened.append(held[4] if held[0] == OPEN else None)
-            yield rows.assign(
-                admitted=admitted, state=states, opened_us=pd.array(opened, dtype="Int64")
+            told = [pa.array(admitted, pa.bool_()), pa.array(states, pa.string()), pa.array(opened, pa.int64())]
+            # The given columns pass through untouched, whatever their type.
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, *told], names=[*rows.schema.names, "admitted", "state", "opened_us"]
             )
 
     return run
@@ -90,7 +93,7 @@ def _whole_keys(calls: DataFrame, rule: BreakerRule) -> DataFrame:
         ]
     )
     ordered = calls.repartition("key").sortWithinPartitions("key", "us", "event_id")
-    return ordered.mapInPandas(_fold(rule), schema)
+    return ordered.mapInArrow(_fold(rule), schema)
 
 
 def _hot_keys(calls: DataFrame, rows: int, rule: BreakerRule, run_rows: int) -> DataFrame:
@@ -103,10 +106,13 @@ def _hot_keys(calls: DataFrame, rows: int, rule: BreakerRule, run_rows: int) ->
     follows from its distance to the opening before it.
     """
     order, keys = ["us", "event_id"], ["key"]
+    # Event ids tell apart the calls of one key only, so pointers carry the key with them.
+    columns = calls.columns
+    calls = calls.withColumn("node", F.struct("key", "event_id"))
     runs = cut_runs(calls, keys, order, rows, run_rows)
-    fail = ~F.col("ok")
+    fail = ~F.col("_good")
     numbered = scan_runs(runs, keys, order, total={"pos": F.lit(1)})
-    numbered = scan_runs(numbered, keys, order, last={"last_ok": F.when(F.col("ok"), F.col("pos"))})
+    numbered = scan_runs(numbered, keys, order, last={"last_ok": F.when(F.col("_good"), F.col("pos"))})
     streak = F.col("pos") - F.coalesce(F.col("last_ok"), F.lit(0))
     numbered = numbered.withColumn("full", fail & (streak >= rule.failure_threshold))
     ahead = scan_runs(
@@ -114,8 +120,8 @@ def _hot_keys(calls: DataFrame, rows: int, rule: BreakerRule, run_rows: int) ->
         keys,
         order,
         last={
-            "next_fail": F.when(fail, F.struct("pos", F.col("event_id").alias("id"))),
-            "next_full": F.when(F.col("full"), F.col("event_id")),
+            "next_fail": F.when(fail, F.struct("pos", F.col("node").alias("id"))),
+            "next_full": F.when(F.col("full"), F.col("node")),
         },
         backward=True,
     )
@@ -123,16 +129,16 @@ def _hot_keys(calls: DataFrame, rows: int, rule: BreakerRule, run_rows: int) ->
     after_close = (
         F.col("next_full")
         if rule.half_open_max_calls >= rule.success_threshold
-        else F.lit(None).cast("long")
+        else F.lit(None).cast(calls.schema["node"].dataType)
     )
     # Which opening follows if this call is the first probe.
     leads_to = F.when(
         F.col("next_fail.pos") < F.col("pos") + probes, F.col("next_fail.id")
     ).otherwise(after_close)
-    calls_seen = ahead.select("key", "us", F.lit(1).alias("side"), "event_id",
+    calls_seen = ahead.select("key", "us", F.lit(1).alias("side"), "event_id", "node",
                               F.struct("pos", leads_to.alias("opening")).alias("probe"))
     waits = ahead.filter(fail).select("key", (F.col("us") + rule.recovery_us).alias("us"),
-                                      F.lit(0).alias("side"), "event_id")
+                                      F.lit(0).alias("side"), "event_id", "node")
     both = calls_seen.unionByName(waits, allowMissingColumns=True)
     lookup_order = ["us", "side", "event_id"]
     pointers = scan_runs(
@@ -143,17 +149,17 @@ def _hot_keys(calls: DataFrame, rows: int, rule: BreakerRule, run_rows: int) ->
         backward=True,
     ).filter(F.col("side") == 0)
     pointers = pointers.select(
-        F.col("event_id").alias("id"),
+        F.col("node").alias("id"),
         F.col("found.opening").alias("next"),
         F.col("found.pos").alias("probe_pos"),
     )
-    first = numbered.filter("full").groupBy("key").agg(F.min_by("event_id", "pos").alias("id"))
+    first = numbered.filter("full").groupBy("key").agg(F.min_by("node", "pos").alias("id"))
     span = calls.agg((F.max("us") - F.min("us")).alias("span")).first()["span"]
     opened = reached_from(first, pointers, span // rule.recovery_us + 1)
     openings = opened.join(pointers, "id").select(
-        F.col("id").alias("event_id"), F.struct("probe_pos").alias("opening")
+        F.col("id").alias("node"), F.struct("probe_pos").alias("opening")
     )
-    marked = numbered.join(openings, "event_id", "left").withColumn(
+    marked = numbered.join(openings, "node", "left").withColumn(
         "opening",
         F.when(
             F.col("opening").isNotNull(),
@@ -171,7 +177,7 @@ def _hot_keys(calls: DataFrame, rows: int, rule: BreakerRule, run_rows: int) ->
         half_open = F.lit(True)
         refused = nth_probe >= rule.half_open_max_calls
     return told.select(
-        *calls.columns,
+        *columns,
         F.when(F.col("since").isNull() | opens_now, True)
         .when(is_open, False)
         .otherwise(~refused)
@@ -191,10 +197,12 @@ def breaker_timeline(
     """Decision and state after each call.
 
     ``calls`` has ``key, ts, event_id, ok``; a key's calls follow each other by
-    (ts, event_id). ``opened_at`` is the time of the failure that opened the
+    (ts, event_id), and ids need be unique only within a key. A null key is a key
+    like any other, a null ``ok`` a failure. ``opened_at`` is the time of the failure that opened the
     breaker while it is open.
     """
-    slim = calls.select("key", F.unix_micros("ts").alias("us"), "event_id", "ok")
+    good = F.coalesce(F.col("ok"), F.lit(False))
+    slim = calls.select("key", F.unix_micros("ts").alias("us"), "event_id", "ok", good.alias("_good"))
     cold, hot, hot_total = split_hot(slim, ["key"], hot_rows)
     folded = _whole_keys(cold, rule)
     if hot is not None:
@@ -231,7 +239,7 @@ def guard_searches(
     ``requests`` has ``request_id, key, ts``. An open breaker gives the fixed
     error and the search is left out.
     """
-    met = asof(requests, timeline, ["key"], "ts", "request_id", "event_id", ["state", "opened_at"], hot_rows)
+    met = asof(requests, timeline, ["key"], "ts", "event_id", ["state", "opened_at"], hot_rows)
     state = _state_at(F.col("ts"), rule)
     return met.select(
         *requests.columns,

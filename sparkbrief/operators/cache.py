@@ -2,7 +2,7 @@
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,17 +24,19 @@ def look_up(stored: int | None, us: int, ttl_us: int) -> tuple[int, bool]:
 
 
 def _fold(ttl_us: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, stored = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stored = object(), None
         for rows in batches:
             hits, since = [], []
-            for query, n, us in zip(rows["query"], rows["num_results"], rows["us"].tolist(), strict=True):
+            columns = [rows.column(n).to_pylist() for n in ("query", "num_results", "us")]
+            for query, n, us in zip(*columns, strict=True):
                 if (query, n) != key:
                     key, stored = (query, n), None
                 stored, hit = look_up(stored, us, ttl_us)
                 hits.append(hit)
                 since.append(stored)
-            yield rows.assign(hit=hits, stored_us=since)
+            told = [pa.array(hits, pa.bool_()), pa.array(since, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *told], names=[*rows.schema.names, "hit", "stored_us"])
 
     return run
 
@@ -45,13 +47,16 @@ def _whole_keys(lookups: DataFrame, ttl_us: int) -> DataFrame:
         + [T.StructField("hit", T.BooleanType()), T.StructField("stored_us", T.LongType())]
     )
     ordered = lookups.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "us", "lookup_id")
-    return ordered.mapInPandas(_fold(ttl_us), schema)
+    return ordered.mapInArrow(_fold(ttl_us), schema)
 
 
 def _hot_keys(lookups: DataFrame, rows: int, ttl_us: int, run_rows: int) -> DataFrame:
     """Misses of a hot key: each points to the first lookup after its entry's life."""
     order = ["us", "side", "lookup_id"]
-    seen = lookups.withColumns({"side": F.lit(1), "target": F.col("lookup_id")})
+    # Lookup ids tell apart the lookups of one key only, so pointers carry the key with them.
+    columns = lookups.columns
+    lookups = lookups.withColumn("node", F.struct(*_KEYS, "lookup_id"))
+    seen = lookups.withColumns({"side": F.lit(1), "target": F.col("node")})
     ends = lookups.withColumns({"us": F.col("us") + ttl_us, "side": F.lit(0)})
     both = seen.unionByName(ends, allowMissingColumns=True)
     pointers = scan_runs(
@@ -61,25 +66,22 @@ def _hot_keys(lookups: DataFrame, rows: int, ttl_us: int, run_rows: int) -> Data
         last={"next": F.col("target")},
         backward=True,
     ).filter(F.col("side") == 0)
-    pointers = pointers.select(F.col("lookup_id").alias("id"), "next")
-    first = lookups.groupBy(*_KEYS).agg(
-        F.min_by("lookup_id", F.struct("us", "lookup_id")).alias("id")
-    )
+    pointers = pointers.select(F.col("node").alias("id"), "next")
+    first = lookups.groupBy(*_KEYS).agg(F.min_by("node", F.struct("us", "lookup_id")).alias("id"))
     span = lookups.agg((F.max("us") - F.min("us")).alias("span")).first()["span"]
     misses = reached_from(first, pointers, span // ttl_us + 1)
-    marked = lookups.join(misses.withColumnRenamed("id", "lookup_id").withColumn("miss", F.lit(True)),
-                          "lookup_id", "left")
+    marked = lookups.join(misses.withColumnRenamed("id", "node").withColumn("miss", F.lit(True)), "node", "left")
     runs = cut_runs(marked, _KEYS, ["us", "lookup_id"], rows, run_rows)
     told = scan_runs(
         runs, _KEYS, ["us", "lookup_id"], last={"stored_us": F.when(F.col("miss"), F.col("us"))}
     )
-    return told.select(*lookups.columns, F.col("miss").isNull().alias("hit"), "stored_us")
+    return told.select(*columns, F.col("miss").isNull().alias("hit"), "stored_us")
 
 
 def ttl_lookups(
     lookups: DataFrame, ttl_seconds: float = CACHE_SECONDS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Hit or miss of each lookup (``query, num_results, ts, lookup_id``).
+    """Hit or miss of each lookup (``query, num_results, ts, lookup_id``); ids are unique within a key.
 
     The first lookup of a key misses and stores; its entry serves lookups for
     ``ttl_seconds`` from storing, and a hit does not extend it.
@@ -112,7 +114,7 @@ def serve_from_cache(
     one, so only the latest can serve. An empty result list is served too.
     """
     known = entries.withColumn("stored_at", F.col("ts"))
-    found = asof(requests, known, _KEYS, "ts", "request_id", "entry_id",
+    found = asof(requests, known, _KEYS, "ts", "entry_id",
                  ["entry_id", "stored_at", "results"], hot_rows)
     age = F.unix_micros("ts") - F.unix_micros("stored_at")
     alive = F.coalesce(age < round(ttl_seconds * 1_000_000), F.lit(False))

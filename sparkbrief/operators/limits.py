@@ -25,7 +25,7 @@ def window_counts(accesses: DataFrame, limit: int = LIMIT, window: str = WINDOW)
 def admit(
     accesses: DataFrame, limit: int = LIMIT, window: str = WINDOW, request: str = "request_key"
 ) -> DataFrame:
-    """Add ``admitted``: the first ``limit`` requests of a client in each window, by (ts, request).
+    """Add ``admitted`` (a null client is a client like any other): the first ``limit`` requests of a client in each window, by (ts, request).
 
     Only the last admitted request of a full window is looked for, which takes
     ``limit`` rows a window; all rows then compare themselves with it, so no task
@@ -38,11 +38,11 @@ def admit(
         .withColumn("nth", F.row_number().over(first))
         .filter(F.col("nth") <= limit)
         .filter(F.col("nth") == limit)
-        .select("client", "window_start", F.struct("ts", request).alias("last_admitted"))
+        .select(F.col("client").alias("_client"), F.col("window_start").alias("_start"), F.struct("ts", request).alias("last_admitted"))
     )
     admitted = F.coalesce(F.struct("ts", request) <= F.col("last_admitted"), F.lit(True))
     return (
-        windowed.join(full, ["client", "window_start"], "left")
+        windowed.join(full, F.col("client").eqNullSafe(F.col("_client")) & (F.col("window_start") == F.col("_start")), "left")
         .withColumn("admitted", admitted)
-        .drop("last_admitted")
+        .drop("last_admitted", "_client", "_start")
     )

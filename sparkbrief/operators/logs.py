@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkbrief.functions import json_object
+
 # Fixed values.
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
 LINE_KEYS = ("ts", "level", "name", "msg", "request_id", "thread_id")
@@ -16,7 +18,8 @@ RESERVED = (
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Six known fields and a map of extras; ``bad_line`` keeps a line that is no JSON object."""
-    keyed = lines.withColumn("_keys", F.from_json(value, "map<string,string>"))
+    whole = json_object(F.col(value)).isNotNull()
+    keyed = lines.withColumn("_keys", F.when(whole, F.from_json(value, "map<string,string>")))
     field = {k: F.element_at("_keys", F.lit(k)) for k in LINE_KEYS}
     extras = F.map_filter("_keys", lambda k, _: ~k.isin(*LINE_KEYS))
     return keyed.select(

@@ -28,11 +28,10 @@ def split_hot(
     hot_total = hot.agg(F.sum("_rows")).first()[0]
     if hot_total is None:
         return df, None, 0
-    # A hot key has more than hot_rows rows, so at most rows / hot_rows keys are broadcast.
     same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys])
     return (
-        df.join(F.broadcast(hot), same, "left_anti"),
-        df.join(F.broadcast(hot), same, "left_semi"),
+        df.join(hot, same, "left_anti"),
+        df.join(hot, same, "left_semi"),
         int(hot_total),
     )
 
@@ -94,12 +93,13 @@ def scan_runs(
         ],
         *[F.sum(f"_end_{out}").over(before).alias(f"_c_sum_{out}") for out in total],
     )
-    # One row per run and hot key in it: at most twice the number of runs.
+    # One row per run and hot key in it; written, so that the planner sees how small it is.
+    carry = staged(carry, "carried")
     same = reduce(
         lambda a, b: a & b,
         [within[RUN] == carry["_c_run"]] + [within[k].eqNullSafe(carry[f"_c_{k}"]) for k in keys],
     )
-    joined = within.join(F.broadcast(carry), same, "left")
+    joined = within.join(carry, same, "left")
     joined = joined.withColumns(
         {out: F.coalesce(F.col(out), F.col(f"_c_last_{out}")) for out in last}
         | {out: F.col(out) + F.coalesce(F.col(f"_c_sum_{out}"), F.lit(0)) for out in total}
@@ -140,26 +140,28 @@ def asof(
     right: DataFrame,
     keys: list[str],
     ts: str,
-    left_id: str,
     right_id: str,
     values: list[str],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Each left row with ``values`` of the latest right row of its key at or before its time."""
+    """Each left row with ``values`` of the latest right row of its key at or before its time.
+
+    Right rows of one time are ordered by ``right_id`` in its own type (text as text, numbers as numbers).
+    """
     left_columns = left.columns
+    id_type = right.schema[right_id].dataType
     probes = left.select(
         *keys,
         F.col(ts).alias("_ts"),
         F.lit(1).alias("_side"),
-        F.col(left_id).cast("string").alias("_id"),
+        F.lit(None).cast(id_type).alias("_id"),
         F.struct(*left_columns).alias("_left"),
     )
     facts = right.select(
         *keys,
         F.col(ts).alias("_ts"),
         F.lit(0).alias("_side"),
-        # Zero-padded, so that text order is the order of non-negative numbers.
-        F.lpad(F.col(right_id).cast("string"), 20, "0").alias("_id"),
+        F.col(right_id).alias("_id"),
         F.struct(*values).alias("_right"),
     )
     both = probes.unionByName(facts, allowMissingColumns=True)

@@ -20,6 +20,7 @@ _PARAMS = ["entry_price", "resistance", "support", "position_size"]
 ENTRY_WORDS = "進場價|成本價|買進價"
 RESISTANCE_WORDS = "壓力|阻力|目標價"
 SUPPORT_WORDS = "支撐|停損價"
+SIZE_WORDS = "持股數量|持股|股數"
 
 
 def position_levels(positions: DataFrame) -> DataFrame:
@@ -112,40 +113,53 @@ def chosen_params(df: DataFrame, given: str = "given", extracted: str = "extract
 def numbers_json(df: DataFrame) -> DataFrame:
     """Add ``numbers``: JSON of the levels, an ``error`` object, or ``{}`` if nothing was calculated.
 
-    Reads the columns of ``position_levels`` plus ``has_params``.
+    Reads the columns of ``position_levels`` plus ``has_params``, and ``param_status`` if it is there:
+    parameters of a wrong type were to be calculated with, so they give an error like a zero entry.
     """
     levels = F.struct(
         "entry_price", "resistance", "support", "upside_pct", "downside_pct",
         "risk_reward_ratio", "exit_tiers", "position_value",
     )
-    error = F.concat(F.lit("參數錯誤: "), F.col("status"))
+    wrong = F.lit(False)
+    if "param_status" in df.columns:
+        wrong = ~F.col("has_params") & F.coalesce(F.col("param_status") == "bad_type", F.lit(False))
+
+    def error(status) -> Column:
+        return F.to_json(F.struct(F.concat(F.lit("參數錯誤: "), status).alias("error")))
+
     return df.withColumn(
         "numbers",
-        F.when(~F.col("has_params"), "{}")
+        F.when(wrong, error(F.lit("bad_type")))
+        .when(~F.col("has_params"), "{}")
         .when(F.col("status") == "ok", F.to_json(levels))
-        .otherwise(F.to_json(F.struct(error.alias("error")))),
+        .otherwise(error(F.col("status"))),
     )
 
 
+# Full-width forms of what a number is written with.
+_WIDE, _NARROW = "０１２３４５６７８９．－", "0123456789.-"
+_NUMBER = r"-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
+# What a keyword and its number may have between them: no digit, no end of a clause, no other keyword.
+_GAP = rf"(?:(?!{ENTRY_WORDS}|{RESISTANCE_WORDS}|{SUPPORT_WORDS}|{SIZE_WORDS})[^0-9\-，。；,;！？!?\n])*"
+
+
 def _number_after(text: Column, words: str) -> Column:
-    found = F.regexp_extract(text, rf"(?:{words})[^0-9\-]{{0,6}}(-?[0-9]+(?:\.[0-9]+)?)", 1)
-    return F.when(found != "", found).cast("double")
+    found = F.regexp_extract(F.translate(text, _WIDE, _NARROW), rf"(?:{words}){_GAP}({_NUMBER})", 1)
+    return F.when(found != "", F.replace(found, F.lit(","), F.lit(""))).cast("double")
 
 
 def params_from_text(requests: DataFrame, text: str = "user_input") -> DataFrame:
-    """Read the numbers that a request names outright.
+    """Read the numbers that a request names outright: a keyword and the number behind it.
 
-    ``found`` needs an entry price and at least one level; ``status`` follows
-    the checks of ``validated_params``.
+    ``found`` needs an entry price and at least one level; ``status`` follows the checks of
+    ``validated_params``. ``position_size`` is read too and may be absent. Thousands separators
+    and full-width digits are understood; a number before its keyword is not.
     """
     body = strip(F.col(text))
-    read = requests.withColumns(
-        {
-            "entry_price": _number_after(body, ENTRY_WORDS),
-            "resistance": _number_after(body, RESISTANCE_WORDS),
-            "support": _number_after(body, SUPPORT_WORDS),
-        }
-    )
+    words = {
+        "entry_price": ENTRY_WORDS, "resistance": RESISTANCE_WORDS, "support": SUPPORT_WORDS, "position_size": SIZE_WORDS,
+    }
+    read = requests.withColumns({name: _number_after(body, known) for name, known in words.items()})
     entry, top, low = F.col("entry_price"), F.col("resistance"), F.col("support")
     found = entry.isNotNull() & (top.isNotNull() | low.isNotNull())
     return read.withColumns(

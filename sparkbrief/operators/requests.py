@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkbrief.functions import not_blank, strip
+from sparkbrief.functions import is_list, not_blank, strip
 
 # Fixed values.
 MAX_STEPS = 8
@@ -46,7 +46,7 @@ def subqueries(user_input: Column, response: Column) -> Column:
     At most five, as text; the stripped input if the response is no array;
     none for a blank request.
     """
-    parsed = F.from_json(strip(response), T.ArrayType(T.StringType()))
+    parsed = F.when(is_list(response), F.from_json(strip(response), T.ArrayType(T.StringType())))
     listed = F.filter(F.slice(parsed, 1, MAX_SUBQUERIES), lambda q: q.isNotNull())
     return F.when(
         not_blank(user_input), F.coalesce(listed, F.array(strip(user_input)))

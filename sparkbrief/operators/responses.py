@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkbrief.functions import has_key, json_field, json_object, strip
+from sparkbrief.functions import has_key, json_field, json_object, json_value, strip
 from sparkbrief.schemas import DOCUMENT_OUTPUT
 
 # Fixed values.
@@ -28,7 +28,7 @@ def routing_payload(user_input: Column, completed: Column, outputs: Column) -> C
 
 def _as_json(text: Column) -> Column:
     """JSON text as a value; other text as a string."""
-    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+    return F.coalesce(json_value(text), text.cast("variant"))
 
 
 def synthesis_payload(user_input: Column, outputs: Column, errors: Column) -> Column:

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkbrief.operators.ordered import HOT_ROWS, scan
-from sparkbrief.operators.requests import MAX_STEPS
 
 FIELDS = [
     "user_input", "completed_agents", "agent_outputs", "errors",
@@ -32,100 +31,133 @@ def _fields(updates: DataFrame) -> list[str]:
     return [c for c in FIELDS if c in updates.columns]
 
 
-def _merged(maps: Column) -> Column:
-    """One map of a list of maps; a later value of a key replaces an earlier one."""
-    entries = F.flatten(F.transform(maps, F.map_entries))
-    return F.aggregate(
-        entries,
-        F.create_map().cast("map<string,string>"),
-        lambda held, e: F.map_concat(
-            F.map_filter(held, lambda k, _: k != e["key"]), F.map_from_entries(F.array(e))
+def _parts(growing: list[str]) -> Column:
+    """What an update adds, as (kind, key, at, value): agents by name, outputs by agent, errors by place."""
+    kinds = []
+    if "completed_agents" in growing:
+        agents = F.coalesce("completed_agents", F.array().cast("array<string>"))
+        kinds.append(
+            F.transform(
+                agents,
+                lambda a, i: F.struct(
+                    F.lit("agent").alias("kind"), a.alias("key"), F.struct("step", i.alias("place")).alias("at"),
+                    F.lit(None).cast("string").alias("value"),
+                ),
+            )
+        )
+    if "agent_outputs" in growing:
+        outputs = F.coalesce(F.map_entries("agent_outputs"), F.array().cast("array<struct<key:string,value:string>>"))
+        kinds.append(
+            F.transform(
+                outputs,
+                lambda e, i: F.struct(
+                    F.lit("output").alias("kind"), e["key"].alias("key"),
+                    F.struct("step", i.alias("place")).alias("at"), e["value"].alias("value"),
+                ),
+            )
+        )
+    if "errors" in growing:
+        errors = F.coalesce("errors", F.array().cast("array<string>"))
+        kinds.append(
+            F.transform(
+                errors,
+                lambda e, i: F.struct(
+                    F.lit("error").alias("kind"),
+                    F.concat_ws(":", F.col("step").cast("string"), i.cast("string")).alias("key"),
+                    F.struct("step", i.alias("place")).alias("at"), e.alias("value"),
+                ),
+            )
+        )
+    return F.concat(*kinds)
+
+
+def _grown(parts: DataFrame, by: list[str], growing: list[str]) -> DataFrame:
+    """Lists and maps per ``by`` from rows (by, kind, key, first, last, value); one row a key."""
+
+    def listed(kind: str, value: Column, at: str) -> Column:
+        rows = F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col(at).alias("at"), value.alias("v"))))
+        return F.transform(F.array_sort(rows), lambda r: r["v"])
+
+    made = {
+        "completed_agents": listed("agent", F.col("key"), "first"),
+        "agent_outputs": F.map_from_entries(
+            F.array_sort(F.collect_list(F.when(F.col("kind") == "output", F.struct("key", "value"))))
         ),
-    )
-
-
-def _grown(name: str, listed: Column) -> Column:
-    if name == "agent_outputs":
-        return _merged(listed)
-    return F.array_distinct(F.flatten(listed)) if name == "completed_agents" else F.flatten(listed)
+        "errors": listed("error", F.col("value"), "first"),
+    }
+    return parts.groupBy(*by).agg(*[made[c].alias(c) for c in growing])
 
 
-def thread_state(updates: DataFrame, mode: str = "accumulate", max_steps: int = MAX_STEPS) -> DataFrame:
+def thread_state(updates: DataFrame, mode: str = "accumulate") -> DataFrame:
     """Final state per thread from ``thread_id, step`` and any state fields.
 
-    ``overwrite``: each field keeps its latest non-null value. ``accumulate``:
-    agents, outputs and errors grow instead. The step limit ends a thread, so an
-    update at or beyond it cannot have happened and is not merged; this bounds
-    what a thread can accumulate.
+    ``overwrite``: each field keeps its latest non-null value. ``accumulate``: agents are listed by
+    the step that first completed them, an agent's latest output counts, and errors are listed in
+    order. Every update is merged; a step limit ends the routing, not what was told. Agents and outputs are reduced
+    per (thread, agent) before a thread's row is made, so a thread costs what its result holds.
     """
     fields = _fields(updates)
-    latest = {
-        c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("step"))).alias(c) for c in fields
-    }
-    if mode == "overwrite":
-        return updates.groupBy("thread_id").agg(*latest.values())
-    limit = F.coalesce("max_steps", F.lit(max_steps)) if "max_steps" in fields else F.lit(max_steps)
-    growing = [c for c in fields if c in _GROWING]
-    listed = {
-        c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("step", _comparable(c)))))
-        for c in growing
-    }
-    merged = (
-        updates.filter(F.col("step") < limit)
-        .groupBy("thread_id")
-        .agg(
-            *[latest[c] for c in fields if c not in growing],
-            *[column.alias(c) for c, column in listed.items()],
+    growing = [] if mode == "overwrite" else [c for c in fields if c in _GROWING]
+    latest = [
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("step"))).alias(c) for c in fields if c not in growing
+    ]
+    held = updates.groupBy("thread_id").agg(F.count(F.lit(1)).alias("_updates"), *latest)
+    if growing:
+        told = updates.select("thread_id", F.explode(_parts(growing)).alias("p")).select("thread_id", "p.*")
+        reduced = told.groupBy("thread_id", "kind", "key").agg(
+            F.min("at").alias("first"), F.max_by("value", "at").alias("value")
         )
-    )
-    return merged.select(
-        "thread_id",
-        *[_grown(c, _values(c)).alias(c) if c in growing else c for c in fields],
-    )
-
-
-def _comparable(name: str) -> Column:
-    """Maps have no order; their entries do."""
-    value = F.map_entries(name) if name == "agent_outputs" else F.col(name)
-    return value.alias("v")
+        grown = _grown(reduced, ["thread_id"], growing).withColumnRenamed("thread_id", "_thread")
+        held = held.join(grown, F.col("thread_id").eqNullSafe(F.col("_thread")), "left").withColumns(
+            {c: F.coalesce(c, _none(c)) for c in growing}
+        )
+    return held.select("thread_id", *fields)
 
 
-def _values(name: str) -> Column:
+def _none(name: str) -> Column:
     if name == "agent_outputs":
-        return F.transform(name, lambda e: F.map_from_entries(e["v"]))
-    return F.transform(name, lambda e: e["v"])
+        return F.create_map().cast("map<string,string>")
+    return F.array().cast("array<string>")
 
 
-def running_state(
-    updates: DataFrame, mode: str = "accumulate", max_steps: int = MAX_STEPS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """State of each thread after each of its updates; modes as in ``thread_state``."""
+def running_state(updates: DataFrame, mode: str = "accumulate", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """State of each thread after each of its updates; modes as in ``thread_state``.
+
+    Each row holds all its thread has gathered, so the result itself grows with a thread's agents and errors.
+    """
     fields = _fields(updates)
-    plain = [c for c in fields if mode == "overwrite" or c not in _GROWING]
-    if mode == "accumulate":
-        limit = F.coalesce("max_steps", F.lit(max_steps)) if "max_steps" in fields else F.lit(max_steps)
-        updates = updates.filter(F.col("step") < limit)
+    growing = [] if mode == "overwrite" else [c for c in fields if c in _GROWING]
     held = scan(
-        updates, ["thread_id"], ["step"], last={f"_{c}": F.col(c) for c in plain}, hot_rows=hot_rows
+        updates, ["thread_id"], ["step"], last={f"_{c}": F.col(c) for c in fields if c not in growing}, hot_rows=hot_rows
     )
-    if mode == "overwrite":
+    if not growing:
         return held.select("thread_id", "step", *[F.col(f"_{c}").alias(c) for c in fields])
-    # Below the step limit a thread has few rows.
     so_far = (
         Window.partitionBy("thread_id")
         .orderBy("step")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    growing = [c for c in fields if c in _GROWING]
-    listed = held.withColumns({f"_{c}": F.collect_list(c).over(so_far) for c in growing})
-    return listed.select(
-        "thread_id",
-        "step",
-        *[
-            (_grown(c, F.col(f"_{c}")) if c in growing else F.col(f"_{c}")).alias(c)
-            for c in fields
-        ],
-    )
+    # Only what changes the state is gathered: an agent's first completion, its outputs, errors.
+    seen = held.withColumn("_parts", _parts(growing)).withColumn("_all", F.flatten(F.collect_list("_parts").over(so_far)))
+
+    def of(kind: str) -> Column:
+        return F.filter("_all", lambda p: p["kind"] == kind)
+
+    def merged(entries: Column) -> Column:
+        return F.aggregate(
+            entries,
+            F.create_map().cast("map<string,string>"),
+            lambda kept, e: F.map_concat(
+                F.map_filter(kept, lambda k, _: k != e["key"]), F.map_from_entries(F.array(F.struct(e["key"], e["value"])))
+            ),
+        )
+
+    made = {
+        "completed_agents": F.array_distinct(F.transform(of("agent"), lambda p: p["key"])),
+        "agent_outputs": merged(of("output")),
+        "errors": F.transform(of("error"), lambda p: p["value"]),
+    }
+    return seen.select("thread_id", "step", *[(made[c].alias(c) if c in growing else F.col(f"_{c}").alias(c)) for c in fields])
 
 
 def outputs_map(outputs: DataFrame) -> DataFrame:

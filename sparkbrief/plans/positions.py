@@ -154,10 +154,11 @@ chosen AS (
   FROM checked),
 mids AS (SELECT *, entry_price + (top - entry_price) * 0.5::DOUBLE AS mid, entry_price * size AS worth FROM chosen)
 SELECT p_partkey, param_status, entry_price,
-  CASE WHEN entry_price = 0 THEN '參數錯誤: zero_entry' END AS error,
+  CASE WHEN entry_price = 0 THEN '參數錯誤: zero_entry'
+    WHEN param_status = 'bad_type' AND NOT given THEN '參數錯誤: bad_type' END AS error,
   CASE WHEN entry_price <> 0 THEN {sql_round2("mid")} END AS tier_1_exit,
   CASE WHEN entry_price <> 0 THEN {sql_round2("worth")} END AS position_value,
-  entry_price IS NULL AS no_numbers
+  entry_price IS NULL AND param_status <> 'bad_type' AS no_numbers
 FROM mids
 """
 
@@ -165,28 +166,36 @@ FROM mids
 def position_text_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers read from a sentence about each part."""
     price = F.col("p_retailprice").cast("string")
-    kind = F.col("p_partkey") % 5
+    kind = F.col("p_partkey") % 10
+    thousands = F.format_number(F.col("p_retailprice"), 2)
     text = (
         F.when(kind == 0, F.concat(F.lit("我的成本價是 "), price, F.lit("，壓力 280，支撐 243")))
         .when(kind == 1, F.concat(F.lit("進場價："), price, F.lit("，目標價 300 元")))
         .when(kind == 2, F.concat(F.col("p_name"), F.lit(" 怎麼看？")))
         .when(kind == 3, F.lit("  "))
-        .otherwise(F.concat(F.lit("買進價"), price, F.lit("，阻力：2000.5，停損價 -1")))
+        .when(kind == 4, F.concat(F.lit("買進價"), price, F.lit("，阻力：2000.5，停損價 -1")))
+        .when(kind == 5, F.concat(F.lit("成本價大約是每股新台幣 "), thousands, F.lit(" 元；壓力在 1,280，支撐 ９５．５，持股數量 2,000 股")))
+        .when(kind == 6, F.concat(F.lit("我以 "), price, F.lit(" 作為成本價，壓力 280")))
+        .when(kind == 7, F.concat(F.lit("成本價和壓力：300，支撐 "), price))
+        .when(kind == 8, F.concat(F.lit("持股 50，進場價是 "), price, F.lit("，目標價 1,234,567.25")))
+        .otherwise(F.lit("成本價，壓力 280，支撐 243"))
     )
     asked = table(spark, sf, "part").select("p_partkey", text.alias("user_input"))
     return params_from_text(asked).select(
-        "p_partkey", "entry_price", "resistance", "support", "found", "status"
+        "p_partkey", "entry_price", "resistance", "support", "position_size", "found", "status"
     )
 
 
 POSITION_TEXT_EXTRACT_SQL = """
 SELECT p_partkey,
-  CASE WHEN k IN (0, 1, 4) THEN price END AS entry_price,
-  CASE k WHEN 0 THEN 280.0 WHEN 1 THEN 300.0 WHEN 4 THEN 2000.5 END::DOUBLE AS resistance,
-  CASE k WHEN 0 THEN 243.0 WHEN 4 THEN -1.0 END::DOUBLE AS support,
-  k IN (0, 1, 4) AS found,
-  CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'partial_levels' WHEN 2 THEN 'not_found' WHEN 3 THEN 'blank' ELSE 'ok' END AS status
-FROM (SELECT p_partkey, p_partkey % 5 AS k, p_retailprice AS price FROM part)
+  CASE WHEN k IN (0, 1, 4, 5, 8) THEN price END AS entry_price,
+  CASE k WHEN 0 THEN 280.0 WHEN 1 THEN 300.0 WHEN 4 THEN 2000.5 WHEN 5 THEN 1280.0 WHEN 6 THEN 280.0
+    WHEN 7 THEN 300.0 WHEN 8 THEN 1234567.25 WHEN 9 THEN 280.0 END::DOUBLE AS resistance,
+  CASE k WHEN 0 THEN 243.0 WHEN 4 THEN -1.0 WHEN 5 THEN 95.5 WHEN 7 THEN price WHEN 9 THEN 243.0 END::DOUBLE AS support,
+  CASE k WHEN 5 THEN 2000.0 WHEN 8 THEN 50.0 END::DOUBLE AS position_size,
+  k IN (0, 1, 4, 5, 8) AS found,
+  CASE WHEN k = 3 THEN 'blank' WHEN k IN (1, 8) THEN 'partial_levels' WHEN k IN (0, 4, 5) THEN 'ok' ELSE 'not_found' END AS status
+FROM (SELECT p_partkey, p_partkey % 10 AS k, p_retailprice AS price FROM part)
 """
 
 

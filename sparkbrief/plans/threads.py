@@ -432,8 +432,8 @@ s AS (
   SELECT conv_id, arg_min(text, turn) AS user_input, CAST(max(turn) + 1 AS INTEGER) AS step_count,
     arg_max(worker, turn) FILTER (WHERE turn % 2 = 0) AS next_agent,
     coalesce(max(text) FILTER (WHERE turn = 3), '') AS final_answer
-  FROM steps WHERE turn < 8 GROUP BY conv_id)
-SELECT conv_id, user_input, step_count, next_agent, final_answer, {_merged_sql("u.turn < 8")} FROM s
+  FROM steps GROUP BY conv_id)
+SELECT conv_id, user_input, step_count, next_agent, final_answer, {_merged_sql("true")} FROM s
 """
 
 RUNNING_THREAD_STATE_SQL = f"""

@@ -5,21 +5,26 @@ lineage, outlives lost executors, and gives the planner real file sizes, so
 that it broadcasts a side only when that side is small enough.
 """
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def stage_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="sparkbrief-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    # One process: its temporary folder is shared by all there is. Session settings stay as they are.
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="sparkbrief-")
+    return _LOCAL[application]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

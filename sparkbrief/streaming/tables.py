@@ -6,7 +6,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkbrief.operators.jobs import latest_status
 from sparkbrief.operators.limits import LIMIT, WINDOW
-from sparkbrief.operators.requests import MAX_STEPS, MAX_SUBQUERIES
 from sparkbrief.operators.state import thread_state
 from sparkbrief.staging import stage_path
 
@@ -34,23 +33,27 @@ def rate_limit_stream(
 def fan_in_stream(results: DataFrame, gap: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
     """Results of each request gathered in ``pos`` order: ``request_id, results, complete``.
 
-    ``results`` has ``request_id, ts, pos, expected, result``, at most five to a
-    request. Results of a request belong together while each follows the last
-    within ``gap``; they are told once the watermark has passed that wait, and
-    are ``complete`` if as many came as expected. A replayed result counts once.
+    ``results`` has ``request_id, ts, pos, expected, result``. Results of a request belong together
+    while each follows the last within ``gap``; they are told once the watermark has passed that
+    wait, and are ``complete`` if as many places arrived as expected. A null result is a failed
+    search: it has arrived, and keeps its place. A replayed result counts once, whatever its place.
     """
-    # One slot for each place keeps the state of a request small, however often a result comes.
-    slots = [
-        F.min(F.when(F.col("pos") == i, F.col("result"))).alias(f"_{i}") for i in range(MAX_SUBQUERIES)
-    ]
     gathered = (
         results.withWatermark("ts", delay)
         .groupBy("request_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.max("expected").alias("expected"), *slots)
+        .agg(
+            F.max("expected").alias("expected"),
+            F.collect_set(F.struct("pos", "result")).alias("come"),  # one entry per different result
+        )
+    )
+    places = F.array_distinct(F.transform("come", lambda r: r["pos"]))
+    # Of different results for one place the least counts, so order of arrival does not.
+    first = F.transform(
+        F.array_sort(places),
+        lambda p: F.array_min(F.transform(F.filter("come", lambda r: r["pos"] == p), lambda r: r["result"])),
     )
-    come = F.array_compact(F.array(*[F.col(f"_{i}") for i in range(MAX_SUBQUERIES)]))
     return gathered.select(
-        "request_id", come.alias("results"), (F.size(come) >= F.col("expected")).alias("complete")
+        "request_id", first.alias("results"), (F.size(places) >= F.col("expected")).alias("complete")
     )
 
 
@@ -82,10 +85,8 @@ def upsert_thread_state(updates: DataFrame, path: str, checkpoint: str) -> Strea
     return _append_batches(updates, path, checkpoint, lambda batch: batch)
 
 
-def thread_state_table(
-    spark: SparkSession, path: str, mode: str = "accumulate", max_steps: int = MAX_STEPS
-) -> DataFrame:
-    return thread_state(spark.read.parquet(path).drop("batch"), mode, max_steps)
+def thread_state_table(spark: SparkSession, path: str, mode: str = "accumulate") -> DataFrame:
+    return thread_state(spark.read.parquet(path).drop("batch"), mode)
 
 
 def written(stream: DataFrame, name: str) -> DataFrame:

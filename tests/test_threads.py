@@ -197,8 +197,17 @@ def test_thread_state_modes(spark):
     assert grown["t"].agent_outputs == {"research": "r2", "finance": "f"}
     assert grown["t"].errors == ["e1", "e1", "e2"]
     assert (grown["u"].completed_agents, grown["u"].errors, grown["u"].next_agent) == ([], [], "research")
-    capped = thread_state(updates, "accumulate", max_steps=2).filter("thread_id = 't'").first()
-    assert capped.errors == ["e1"] and capped.final_answer is None
+
+
+def test_updates_beyond_the_step_limit_are_merged(spark):
+    start = initial_state(spark.createDataFrame([("t", "q", 2)], "thread_id string, user_input string, max_steps int"))
+    told = [("t", i, [f"a{i % 3}"], {f"a{i % 3}": str(i)}, [f"e{i}"], "answer" if i == 11 else None, None) for i in range(12)]
+    updates = start.unionByName(spark.createDataFrame(told, UPDATE), allowMissingColumns=True)
+    merged = thread_state(updates, "accumulate").first()
+    assert merged.completed_agents == ["a0", "a1", "a2"] and merged.final_answer == "answer"
+    assert merged.agent_outputs == {"a0": "9", "a1": "10", "a2": "11"} and merged.errors == [f"e{i}" for i in range(12)]
+    last = running_state(updates, "accumulate").filter("step = 11").first()
+    assert (last.completed_agents, last.agent_outputs, last.errors) == (merged.completed_agents, merged.agent_outputs, merged.errors)
 
 
 @pytest.mark.parametrize("hot_rows", [100, 1])
