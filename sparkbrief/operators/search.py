@@ -20,19 +20,11 @@ B = 0.75
 # Word weights are whole millionths, so that a sum does not depend on its order.
 WEIGHT_UNIT = 1_000_000
 
-# Stands for "this document exists" among the words of a document; no word is empty.
-_MARK = ""
-_MARK_ID = -1
-
 
 def _postings(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc_id, length, tid, tf) for the words asked for, and a marker row per document."""
-    words = corpus.select("doc_id", F.coalesce(tokens(F.col("body")), F.array()).alias("words"))
-    terms = words.select(
-        "doc_id",
-        F.size("words").alias("length"),
-        F.explode(F.array_append("words", F.lit(_MARK))).alias("term"),
-    )
+    """(doc_id, length, tid, tf) for the words asked for; counted in the scan's tasks before any shuffle."""
+    words = corpus.select("doc_id", tokens(F.col("body")).alias("words"))
+    terms = words.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term"))
     return (
         terms.join(vocabulary, "term")
         .groupBy("doc_id", "length", "tid")
@@ -68,23 +60,18 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int = HITS_PER_QUERY)
         asked.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")),
         "query-words",
     )
-    mark = queries.sparkSession.range(1).select(
-        F.lit(_MARK).alias("term"), F.lit(_MARK_ID).cast("long").alias("tid")
-    )
     numbered = spoken.select("term").distinct().withColumn("tid", F.monotonically_increasing_id())
-    vocabulary = staged(numbered.union(mark), "vocabulary")
+    vocabulary = staged(numbered, "vocabulary")
     postings = staged(_postings(corpus, vocabulary), "postings")
-    whole = postings.filter(F.col("tid") == _MARK_ID)
-    counted = whole.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("words")).first()
+    length = F.coalesce(F.size(tokens(F.col("body"))), F.lit(0))
+    counted = corpus.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("words")).first()
     if not counted["words"]:
         nothing = F.lit(None).cast(corpus.schema["doc_id"].dataType)
         return asked.select(
             "query", F.lit(1).alias("rank"), nothing.alias("doc_id"), F.lit(0).cast("long").alias("score")
         ).filter(F.lit(False))
     documents, average = counted["n"], counted["words"] / counted["n"]
-    by_document = postings.filter(F.col("tid") != _MARK_ID).select(
-        "doc_id", "tid", _saturation(average).alias("part")
-    )
+    by_document = postings.select("doc_id", "tid", _saturation(average).alias("part"))
 
     frequency = by_document.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
     # The k best documents of each word: k rows a word, whatever its frequency.

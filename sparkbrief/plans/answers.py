@@ -29,7 +29,8 @@ Model = Callable[[str], str]
 
 def search_results(asked: DataFrame, documents: DataFrame) -> DataFrame:
     """Add the hits of each ``query`` as ``results``, best first; none are an empty list."""
-    hits = search_topk(asked, documents).join(documents, "doc_id")
+    # Written, so that the planner sees how few rows meet the documents and moves those, not the bodies.
+    hits = staged(search_topk(asked, documents), "hits").join(documents, "doc_id")
     listed = hits.groupBy("query").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", F.struct("title", "href", "body").alias("hit")))),
@@ -58,7 +59,7 @@ def research(requests: DataFrame, documents: DataFrame, split: Model, summarize:
 def finance(requests: DataFrame, interpret: Model) -> DataFrame:
     """Numbers that a request names, their levels, and what the model says about them."""
     read = params_from_text(requests).withColumnRenamed("status", "param_status")
-    leveled = position_levels(read.withColumn("position_size", F.lit(None).cast("double")))
+    leveled = position_levels(read)
     numbers = numbers_json(leveled.withColumn("has_params", F.col("param_status") == "ok"))
     asked = numbers.select(
         "request_id", "numbers", finance_payload(F.col("user_input"), F.col("numbers")).alias("payload")

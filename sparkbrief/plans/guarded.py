@@ -1,6 +1,6 @@
 """Searches behind breakers: what the breakers let through, searched and gathered."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkbrief.functions import breaker_key
@@ -26,11 +26,14 @@ def _subqueries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _past_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """A user's events are past searches of the first subquery of the item with their number."""
-    firsts = _subqueries(spark, sf).filter(F.col("pos") == 0).select("item_id", "key")
+    """Every event is a past search of some subquery: the breakers' keys are dealt out over the events."""
+    # A row per key of the benchmark; numbered on one task.
+    keys = _subqueries(spark, sf).select("key").distinct().withColumn("nth", F.row_number().over(Window.orderBy("key")) - 1)
+    keys = staged(keys, "keys")
+    count = max(1, keys.count())
     return (
         table(spark, sf, "events")
-        .join(firsts, F.col("user_id") == F.col("item_id"))
+        .join(keys, F.col("event_id") % count == F.col("nth"))
         .select(
             "key", F.col("ts").cast("timestamp").alias("ts"), "event_id",
             (F.col("event_type") != "error").alias("ok"),
@@ -78,7 +81,8 @@ keyed AS (SELECT *, 'ddg_search:' || substring(query, 1, 20) AS key FROM expande
 numbered AS (
   SELECT key AS user_id, event_id, ts, event_type <> 'error' AS ok,
     row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n
-  FROM events JOIN keyed ON user_id = item_id AND pos = 0),
+  FROM events JOIN (
+    SELECT key, row_number() OVER (ORDER BY encode(key)) - 1 AS nth FROM (SELECT DISTINCT key FROM keyed)) ON event_id % (SELECT count(DISTINCT key) FROM keyed) = nth),
 {_LINE_SQL},
 newest AS (
   SELECT user_id AS key, arg_max(state, n) AS state, arg_max(last, n) FILTER (WHERE last IS NOT NULL) AS last

@@ -88,6 +88,36 @@ FROM line WHERE n > 0
 """
 
 
+def breaker_local_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls numbered anew for each user, some without an outcome; users with many calls are cut into runs."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf, "events").withColumn("n", F.row_number().over(order))
+    calls = events.select(
+        F.when(F.col("user_id") > 0, F.col("user_id")).alias("key"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("n").cast("string").alias("event_id"),
+        F.when(F.col("event_type") != "signup", F.col("event_type") != "error").alias("ok"),
+    )
+    # Text ids, of ever more digits: their order is that of text, so times alone must tell calls apart.
+    calls = calls.withColumn("event_id", F.lpad("event_id", 30, "0"))
+    line = breaker_timeline(staged(calls, "calls"), RULE, hot_rows=12)
+    return line.select(
+        F.col("key").alias("user_id"), F.col("event_id").cast("long").alias("n"), "ok", "admitted", "state", _plain("opened_at")
+    )
+
+
+BREAKER_LOCAL_IDS_SQL = f"""
+WITH RECURSIVE numbered AS (
+  SELECT user_id, event_id, ts, event_type NOT IN ('error', 'signup') AS ok,
+    CASE WHEN event_type <> 'signup' THEN event_type <> 'error' END AS told,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+{_LINE_SQL}
+SELECT CASE WHEN l.user_id > 0 THEN l.user_id END AS user_id, n, told AS ok, admitted, state,
+  CASE WHEN state = 'open' THEN last END AS opened_at
+FROM line l JOIN numbered USING (user_id, n) WHERE n > 0
+"""
+
+
 def _noon_requests(spark: SparkSession, sf: str) -> DataFrame:
     """One request per user and active day, at noon."""
     noon = F.date_trunc("day", F.col("ts").cast("timestamp")) + F.expr("INTERVAL 12 HOURS")
@@ -286,6 +316,7 @@ FROM documents GROUP BY 1
 
 QUERIES = {
     "failure_streaks": (failure_streaks_query, FAILURE_STREAKS_SQL),
+    "breaker_local_ids": (breaker_local_ids, BREAKER_LOCAL_IDS_SQL),
     "breaker_timeline": (breaker_timeline_query, BREAKER_TIMELINE_SQL),
     "breaker_asof": (breaker_asof, BREAKER_ASOF_SQL),
     "breaker_status": (breaker_status, BREAKER_STATUS_SQL),

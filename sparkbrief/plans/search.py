@@ -8,6 +8,7 @@ from sparkbrief.operators.requests import expand
 from sparkbrief.operators.research import research_report
 from sparkbrief.operators.search import search_topk
 from sparkbrief.sources.tables import corpus, spread, table
+from sparkbrief.staging import staged
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +99,8 @@ def search_report(spark: SparkSession, sf: str) -> DataFrame:
     error = F.when(breaks, F.lit("network error"))
     searched = asked.filter(~breaks)
     documents = corpus(spread(table(spark, sf, "documents")))
-    hits = search_topk(searched, documents)
+    # Written, so that the planner sees how few rows meet the documents and moves those, not the bodies.
+    hits = staged(search_topk(searched, documents), "hits")
     # Only hits meet the documents; the join is by document, not by query.
     found = hits.join(documents, "doc_id").groupBy("query").agg(
         F.transform(

@@ -1,9 +1,10 @@
 """Threads of work, read from conversations: each turn is a step of its conversation."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkbrief.operators.infer import batch_infer
+from sparkbrief.operators.jobs import latest_status
 from sparkbrief.operators.requests import accepted, rejected, with_defaults
 from sparkbrief.operators.research import research_summary
 from sparkbrief.operators.responses import (
@@ -30,7 +31,9 @@ from sparkbrief.operators.state import (
     running_state,
     thread_state,
 )
-from sparkbrief.sources.tables import table
+from sparkbrief.sources.sinks import append_job_changes, finished, queued, running, write_thread_states
+from sparkbrief.sources.tables import read_job_changes, table
+from sparkbrief.staging import stage_path
 
 _UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[0-9a-f]{4}-[0-9a-f]{12}$"
 _WORKER_SQL = "CASE role WHEN 'user' THEN 'research' WHEN 'assistant' THEN 'finance' ELSE 'document' END"
@@ -450,6 +453,121 @@ FROM s JOIN firsts USING (conv_id)
 """
 
 
+_EVENT_STEPS_SQL = """
+steps AS (
+  SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step
+  FROM events)
+"""
+
+
+def _event_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's events as the updates of one thread, most of them beyond its step limit of 4."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf, "events").withColumn("step", (F.row_number().over(order) - 1).cast("long"))
+    starts = initial_state(
+        events.select(F.col("user_id").alias("thread_id"), F.lit("q").alias("user_input"), F.lit(4).alias("max_steps"))
+        .distinct()
+    )
+    step = F.col("step").cast("string")
+    updates = events.select(
+        F.col("user_id").alias("thread_id"),
+        "step",
+        F.array("event_type").alias("completed_agents"),
+        F.create_map("event_type", F.col("event_id").cast("string")).alias("agent_outputs"),
+        F.when(F.col("event_type") == "error", F.array(F.concat(F.lit("e"), step), F.concat(F.lit("f"), step))).alias("errors"),
+        (F.col("step") + 1).cast("int").alias("step_count"),
+        F.when(F.col("step") == 11, F.concat(F.lit("answer "), F.col("event_id").cast("string"))).alias("final_answer"),
+        F.when(F.col("step") % 2 == 0, F.col("event_type")).alias("next_agent"),
+    )
+    return starts.unionByName(updates, allowMissingColumns=True)
+
+
+def thread_state_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Threads that went on beyond their step limit: nothing of what was told is lost."""
+    return _flat(thread_state(_event_updates(spark, sf), "accumulate")).withColumnRenamed("conv_id", "user_id")
+
+
+THREAD_STATE_LONG_SQL = f"""
+WITH {_EVENT_STEPS_SQL},
+agents AS (
+  SELECT user_id, event_type, min(step) AS first, max_by(event_id, step) AS last FROM steps GROUP BY user_id, event_type)
+SELECT user_id, 'q' AS user_input, CAST(max(step) + 1 AS INTEGER) AS step_count,
+  arg_max(event_type, step) FILTER (WHERE step % 2 = 0) AS next_agent,
+  (SELECT string_agg(event_type, ',' ORDER BY first) FROM agents a WHERE a.user_id = s.user_id) AS completed,
+  (SELECT string_agg(event_type || '=' || last, ',' ORDER BY event_type) FROM agents a WHERE a.user_id = s.user_id) AS outputs,
+  coalesce(string_agg('e' || step || ',f' || step, ',' ORDER BY step) FILTER (WHERE event_type = 'error'), '') AS errors,
+  coalesce(max('answer ' || event_id) FILTER (WHERE step = 11), '') AS final_answer
+FROM steps s GROUP BY user_id
+"""
+
+
+def running_state_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+    """State after every event, each field with its latest value."""
+    return _flat(running_state(_event_updates(spark, sf), "overwrite")).withColumnRenamed("conv_id", "user_id")
+
+
+RUNNING_STATE_OVERWRITE_SQL = f"""
+WITH {_EVENT_STEPS_SQL}
+SELECT user_id, -1 AS step, 'q' AS user_input, CAST(0 AS INTEGER) AS step_count, CAST(NULL AS VARCHAR) AS next_agent,
+  '' AS completed, '' AS outputs, '' AS errors, '' AS final_answer
+FROM (SELECT DISTINCT user_id FROM steps)
+UNION ALL
+SELECT user_id, step, 'q', CAST(step + 1 AS INTEGER),
+  last_value(CASE WHEN step % 2 = 0 THEN event_type END IGNORE NULLS) OVER w,
+  event_type, event_type || '=' || event_id,
+  coalesce(last_value(CASE WHEN event_type = 'error' THEN 'e' || step || ',f' || step END IGNORE NULLS) OVER w, ''),
+  coalesce(last_value(CASE WHEN step = 11 THEN 'answer ' || event_id END IGNORE NULLS) OVER w, '')
+FROM steps WINDOW w AS (PARTITION BY user_id ORDER BY step)
+"""
+
+
+def state_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """States after two turns, written; then the even threads' last states, written over them; read back."""
+    updates = _updates(spark, sf)
+    path = stage_path(spark, "state-sink")
+    write_thread_states(thread_state(updates.filter(F.col("step") < 2)), path)
+    write_thread_states(thread_state(updates.filter(F.col("thread_id") % 2 == 0)), path)
+    return _flat(spark.read.parquet(path))
+
+
+STATE_SINK_SQL = f"""
+WITH {_STEPS_SQL},
+s AS (
+  SELECT conv_id, arg_min(text, turn) AS user_input,
+    CAST(coalesce(max(turn) FILTER (WHERE conv_id % 2 = 0 OR turn < 2) + 1, 0) AS INTEGER) AS step_count,
+    arg_max(worker, turn) FILTER (WHERE turn % 2 = 0 AND (conv_id % 2 = 0 OR turn < 2)) AS next_agent,
+    coalesce(max(text) FILTER (WHERE turn = 3 AND conv_id % 2 = 0), '') AS final_answer
+  FROM steps GROUP BY conv_id)
+SELECT conv_id, user_input, step_count, next_agent, final_answer, {_merged_sql("(u.conv_id % 2 = 0 OR u.turn < 2)")} FROM s
+"""
+
+
+def job_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as jobs: their changes appended in three writes, and the newest of each read back."""
+    orders = table(spark, sf, "orders").select(
+        F.concat(F.lit("job-"), F.col("o_orderkey").cast("string")).alias("job_id"),
+        F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("thread_id"),
+        "o_orderkey",
+        "o_orderstatus",
+    )
+    path = stage_path(spark, "job-sink")
+    append_job_changes(queued(orders), path)
+    append_job_changes(running(orders.filter(F.col("o_orderstatus") != "P")), path)
+    ended = orders.filter(F.col("o_orderstatus") == "F")
+    ended = ended.withColumn("error_detail", F.when(F.col("o_orderkey") % 7 == 0, F.lit("timeout")))
+    append_job_changes(finished(ended), path)
+    return latest_status(read_job_changes(spark, path)).select("job_id", "thread_id", "status", "error_detail")
+
+
+JOB_SINK_SQL = """
+SELECT 'job-' || o_orderkey AS job_id, 't' || o_custkey AS thread_id,
+  CASE o_orderstatus WHEN 'P' THEN 'queued' WHEN 'O' THEN 'running'
+    ELSE CASE WHEN o_orderkey % 7 = 0 THEN 'error' ELSE 'done' END END AS status,
+  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 7 = 0 THEN 'timeout' END AS error_detail
+FROM orders
+"""
+
+
 def batch_infer_query(spark: SparkSession, sf: str) -> DataFrame:
     """A stand-in model that counts characters; labelled texts have been answered before."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
@@ -482,5 +600,9 @@ QUERIES = {
     "thread_state_overwrite": (thread_state_overwrite, THREAD_STATE_OVERWRITE_SQL),
     "thread_state_accumulate": (thread_state_accumulate, THREAD_STATE_ACCUMULATE_SQL),
     "running_thread_state": (running_thread_state, RUNNING_THREAD_STATE_SQL),
+    "thread_state_long": (thread_state_long, THREAD_STATE_LONG_SQL),
+    "running_state_overwrite": (running_state_overwrite, RUNNING_STATE_OVERWRITE_SQL),
+    "state_sink": (state_sink, STATE_SINK_SQL),
+    "job_sink": (job_sink, JOB_SINK_SQL),
     "batch_infer": (batch_infer_query, BATCH_INFER_SQL),
 }
