@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from sparkbrief.operators.breaker import OPEN, START, BreakerRule, advance
+from sparkbrief.operators.breaker import CLOSED, OPEN, START, BreakerRule, advance
 from sparkbrief.operators.cache import CACHE_SECONDS, look_up
 
 
+FRAME_ROWS = 10_000
+
+
 class _InOrder(StatefulProcessor):
     """Holds rows until the watermark has passed them; subclasses fold one row at a time."""
 
@@ -34,6 +37,10 @@ class _InOrder(StatefulProcessor):
     def fold(self, key: tuple, held: tuple, row: tuple) -> tuple[tuple, dict]:
         raise NotImplementedError
 
+    def ends(self, held: tuple) -> int | None:
+        """From what time on a key's folded value means no more than a fresh start; None: not by time alone."""
+        raise NotImplementedError
+
     def _read(self) -> tuple[tuple, int | None]:
         kept = self._kept.get()
         return (self.start, None) if kept is None else (tuple(kept[:-1]), kept[-1])
@@ -73,9 +80,17 @@ class _InOrder(StatefulProcessor):
         for row in ready:
             held, told = self.fold(key, held, row)
             out.append(told)
-        self._kept.update((*held, self._timer_for(later[0][0]) if later else None))
-        if out:
-            yield pd.DataFrame(out)
+        ends = None if later else self.ends(held)
+        if later:
+            self._kept.update((*held, self._timer_for(later[0][0])))
+        elif ends is None:
+            self._kept.update((*held, None))
+        elif ends <= passed:
+            self._kept.clear()  # the key leaves the state; its next row starts anew
+        else:
+            self._kept.update((*held, self._timer_for(ends)))
+        for start in range(0, len(out), FRAME_ROWS):
+            yield pd.DataFrame(out[start : start + FRAME_ROWS])
 
     def row_columns(self) -> list[str]:
         return [part.split()[0] for part in self.row_schema.split(", ")]
@@ -92,6 +107,10 @@ class _Breaker(_InOrder):
     def __init__(self, rule: BreakerRule):
         self._rule = rule
 
+    def ends(self, held):
+        state, failures, *_ = held
+        return 0 if state == CLOSED and failures == 0 else None
+
     def fold(self, key, held, row):
         us, event_id, ok = row
         held, admitted = advance(held, us, ok, self._rule)
@@ -136,6 +155,9 @@ class _Cache(_InOrder):
     def __init__(self, ttl_us: int):
         self._ttl_us = ttl_us
 
+    def ends(self, held):
+        return held[0] + self._ttl_us
+
     def fold(self, key, held, row):
         us, lookup_id = row
         stored, hit = look_up(held[0], us, self._ttl_us)

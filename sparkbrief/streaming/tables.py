@@ -1,5 +1,6 @@
 """Streams into tables: rate-limit windows, gathered results, latest job status, thread state."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -71,13 +72,47 @@ def _append_batches(stream: DataFrame, path: str, checkpoint: str, prepare) -> S
     )
 
 
-def upsert_job_status(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest change of each job; ``job_status_table`` reads the result."""
-    return _append_batches(changes, path, checkpoint, latest_status)
+def upsert_job_status(changes: DataFrame, path: str, checkpoint: str, every: int = 16) -> StreamingQuery:
+    """Keep the newest change of each job; ``job_status_table`` reads the result.
+
+    A micro-batch writes its own newest changes under ``deltas``. Every ``every``-th one also writes
+    the newest change of all jobs so far under ``bases``, so a reader meets one base and few deltas.
+    A replayed batch writes the same folders again.
+    """
+    spark = changes.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest_status(batch).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
+        if number % every == every - 1:
+            # An earlier try of this batch may have left its base: only older ones are read.
+            whole = _jobs(spark, path, before=number)
+            whole.write.mode("overwrite").parquet(f"{path}/bases/base={number}")
+
+    return (
+        changes.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+
+
+def _jobs(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    deltas = spark.read.parquet(f"{path}/deltas")
+    newest = None
+    try:
+        bases = spark.read.parquet(f"{path}/bases")
+        older = bases if before is None else bases.filter(F.col("base") < before)
+        newest = older.agg(F.max("base")).first()[0]
+    except AnalysisException:
+        pass  # no base has been written yet
+    if newest is None:
+        return latest_status(deltas.drop("batch"))
+    held = bases.filter(F.col("base") == newest).drop("base")
+    return latest_status(held.unionByName(deltas.filter(F.col("batch") > newest).drop("batch")))
 
 
 def job_status_table(spark: SparkSession, path: str) -> DataFrame:
-    return latest_status(spark.read.parquet(path).drop("batch"))
+    return _jobs(spark, path)
 
 
 def upsert_thread_state(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

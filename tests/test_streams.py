@@ -116,6 +116,16 @@ def test_fan_in(spark, arriving):
     }
 
 
+def test_fan_in_without_slots(spark, arriving):
+    """Six results, of which one failed: all keep their place, and the request is complete."""
+    schema = "request_id string, ts timestamp, pos int, expected int, result string"
+    rows = [("r", T0 + timedelta(seconds=i), p, 6, None if p == 4 else f"x{p}") for i, p in enumerate([5, 3, 4, 0, 2, 1])]
+    rows += [("short", T0, 7, 2, "late place")]
+    told = written(fan_in_stream(arriving([rows[:3], rows[3:], [("end", FAR, 0, 1, "x")]], schema)), "t")
+    got = {r.request_id: (r.results, r.complete) for r in told.filter("request_id <> 'end'").collect()}
+    assert got == {"r": (["x0", "x1", "x2", "x3", None, "x5"], True), "short": (["late place"], False)}
+
+
 def test_job_status_upsert(spark, arriving, tmp_path):
     schema = "job_id string, status string, ts timestamp, seq long"
     rows = [
@@ -130,6 +140,31 @@ def test_job_status_upsert(spark, arriving, tmp_path):
     assert same_rows(job_status_table(spark, path), latest_status(spark.createDataFrame(rows, schema))) == 5
 
 
+def test_job_status_bases(spark, arriving, tmp_path):
+    """Many micro-batches, a base after every third: the reader needs the newest base and what follows it."""
+    schema = "job_id string, status string, ts timestamp, seq long"
+    rows = [(f"j{i % 4}", f"s{i}", T0 + timedelta(seconds=i), i) for i in range(24)]
+    stream = arriving([rows[i : i + 3] for i in range(0, 24, 3)], schema)
+    path = str(tmp_path / "jobs")
+    upsert_job_status(stream, path, str(tmp_path / "checkpoint"), every=3).awaitTermination()
+    assert {r.base for r in spark.read.parquet(f"{path}/bases").select("base").distinct().collect()} == {2, 5}
+    assert same_rows(job_status_table(spark, path), latest_status(spark.createDataFrame(rows, schema))) == 4
+
+
+def test_idle_keys_leave_the_state_and_come_back(spark, arriving):
+    """Keys that fall silent, and return much later, give the rows of the batch form."""
+    schema = "query string, num_results int, ts timestamp, lookup_id long"
+    rows = [("q", 5, T0 + timedelta(seconds=s), i) for i, s in enumerate([0, 10, 30, 900, 905, 2000])]
+    batches = [[r] for r in rows] + [[("end", 5, FAR, 99)]]
+    told = written(ttl_stream(arriving(batches, schema), 25), "t").filter("query <> 'end'")
+    assert same_rows(told, ttl_lookups(spark.createDataFrame(rows, schema), 25)) == 6
+    schema = "key string, ts timestamp, event_id long, ok boolean"
+    calls = [("k", T0 + timedelta(seconds=s), i, ok) for i, (s, ok) in enumerate([(0, True), (600, False), (1300, False), (1301, True), (2500, True), (2600, True)])]
+    rule = BreakerRule(2, 30)
+    told = written(breaker_stream(arriving([[c] for c in calls] + [[("end", FAR, 9, True)]], schema), rule), "t")
+    assert same_rows(told.filter("key <> 'end'"), breaker_timeline(spark.createDataFrame(calls, schema), rule)) == 6
+
+
 def test_thread_state_upsert(spark, arriving, tmp_path):
     schema = "thread_id string, step long, completed_agents array<string>, errors array<string>, next_agent string"
     rows = [
