@@ -190,19 +190,20 @@ SELECT event_id, query, hit, stored_at FROM line
 
 
 def ttl_cache_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Clicks served by what the user's latest purchase stored; the others are searched anew."""
+    """All other events served by what the user's latest purchase stored; the rest is searched anew."""
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     query = F.col("user_id").cast("string").alias("query")
     entries = events.filter(F.col("event_type") == "purchase").select(
-        query, F.lit(5).alias("num_results"), "ts", F.col("event_id").alias("entry_id"),
+        query, F.lit(5).alias("num_results"), "ts",
+        F.lpad(F.col("event_id").cast("string"), 30, "0").alias("entry_id"),
         F.array(F.col("value").cast("string")).alias("results"),
     )
-    clicks = events.filter(F.col("event_type") == "click")
-    asked = clicks.select(
+    others = events.filter(F.col("event_type") != "purchase")
+    asked = others.select(
         F.col("event_id").alias("request_id"), query, F.lit(5).alias("num_results"), "ts"
     )
     served = serve_from_cache(asked, entries, TTL_SECONDS)
-    searched = clicks.select(F.col("event_id").alias("request_id"), F.array("props").alias("results"))
+    searched = others.select(F.col("event_id").alias("request_id"), F.array("props").alias("results"))
     return with_fresh_results(served, searched).select(
         F.col("request_id").alias("event_id"), "query", F.concat_ws(",", "results").alias("results"), "cached"
     )
@@ -214,7 +215,7 @@ SELECT c.event_id, CAST(c.user_id AS VARCHAR) AS query,
 FROM (
   SELECT a.event_id, a.user_id, a.props, p.value AS stored,
     coalesce(epoch_us(a.ts) - epoch_us(p.ts) < 172800000000, false) AS alive
-  FROM (SELECT * FROM events WHERE event_type = 'click') a
+  FROM (SELECT * FROM events WHERE event_type <> 'purchase') a
   ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON a.user_id = p.user_id AND a.ts >= p.ts) c
 """
 

@@ -33,7 +33,7 @@ from sparkbrief.operators.state import (
 )
 from sparkbrief.sources.sinks import append_job_changes, finished, queued, running, write_thread_states
 from sparkbrief.sources.tables import read_job_changes, table
-from sparkbrief.staging import stage_path
+from sparkbrief.staging import stage_path, staged
 
 _UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[0-9a-f]{4}-[0-9a-f]{12}$"
 _WORKER_SQL = "CASE role WHEN 'user' THEN 'research' WHEN 'assistant' THEN 'finance' ELSE 'document' END"
@@ -271,7 +271,8 @@ FROM told
 
 _DECISION_SQL = """CASE WHEN turn >= 6 THEN '{"next_agent": "synthesizer"}'
   WHEN k <= 3 THEN '{"next_agent": "research", "reason": "r"}' WHEN k <= 6 THEN '{"next_agent": "document"}'
-  WHEN k <= 9 THEN '{"next_agent": "finance"}' WHEN k = 10 THEN '這不是 JSON' WHEN k = 11 THEN '{"reason": "r"}'
+  WHEN k <= 9 THEN '{"next_agent": "finance"}' WHEN k = 10 AND turn % 2 = 0 THEN '{"next_agent": "finance"} thanks}'
+  WHEN k = 10 THEN '這不是 JSON' WHEN k = 11 THEN '{"reason": "r"}'
   ELSE '{"next_agent": "planner"}' END"""
 
 
@@ -314,7 +315,7 @@ ROUTING_AUDIT_SQL = f"WITH {_AUDIT_SQL} SELECT conv_id, seq, step, proposal, rul
 
 def route_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     """Where every reached step goes, and where that leads; and the proposals no edge knows."""
-    audit = routing_audit(_decision_log(spark, sf), max_steps=4)
+    audit = staged(routing_audit(_decision_log(spark, sf), max_steps=4), "audit")  # read twice below
     reached = audit.filter(F.col("rule") != "unreached").withColumn("next_agent", routed(F.col("next_agent")))
     known = dispatch(reached).select("thread_id", "seq", "node", "after")
     odd = unknown_decisions(audit.filter(F.col("proposal").isNotNull()), "proposal").select(
