@@ -27,10 +27,20 @@ def stage_root(spark: SparkSession) -> str:
     return _LOCAL[application]
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The one folder that holds all an application stages."""
+    return f"{stage_root(spark).rstrip('/')}/sparkbrief-{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A new folder; all of an application's lie in one, which may go when the application has ended."""
-    folder = f"{stage_root(spark).rstrip('/')}/sparkbrief-{spark.sparkContext.applicationId}"
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all the application has staged. For when results that read it have been written or fetched."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
