@@ -162,6 +162,38 @@ SELECT user_id, {_READ_SQL.format(at=f"TIMESTAMP '{REPORT_AT}'")} AS state FROM
 """
 
 
+def breaker_registered(spark: SparkSession, sf: str) -> DataFrame:
+    """State of every customer's breaker: those without calls are closed, callers who are no customers are told too."""
+    line = breaker_timeline(outcomes_of_events(table(spark, sf, "events")), RULE)
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("key"))
+    report = status_report(line, F.lit(REPORT_AT).cast("timestamp"), RULE, customers)
+    return report.withColumnRenamed("key", "user_id")
+
+
+BREAKER_REGISTERED_SQL = f"""
+WITH RECURSIVE {_TIMELINE_SQL},
+newest AS (
+  SELECT user_id, arg_max(state, n) AS state, arg_max(last, n) FILTER (WHERE last IS NOT NULL) AS last
+  FROM line WHERE n > 0 AND ts <= TIMESTAMP '{REPORT_AT}' GROUP BY user_id)
+SELECT coalesce(user_id, c_custkey) AS user_id, {_READ_SQL.format(at=f"TIMESTAMP '{REPORT_AT}'")} AS state
+FROM newest FULL JOIN (SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer) ON user_id = c_custkey
+"""
+
+# One probe, two successes needed: a half-open breaker admits one call and then stays as it is.
+STUCK_RULE = dict(failure_threshold=2, recovery_seconds=43_200, half_open_max_calls=1, success_threshold=2)
+
+
+def breaker_probe_cap(spark: SparkSession, sf: str) -> DataFrame:
+    line = breaker_timeline(outcomes_of_events(table(spark, sf, "events")), BreakerRule(**STUCK_RULE))
+    return line.select(F.col("key").alias("user_id"), "event_id", "ok", "admitted", "state")
+
+
+BREAKER_PROBE_CAP_SQL = f"""
+WITH RECURSIVE {_TIMELINE_SQL.replace("p >= 3", "p >= 1")}
+SELECT user_id, event_id, ok, admitted, state FROM line WHERE n > 0
+"""
+
+
 def _lookups(spark: SparkSession, sf: str) -> DataFrame:
     query = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
     return table(spark, sf, "events").select(
@@ -317,6 +349,8 @@ FROM documents GROUP BY 1
 
 QUERIES = {
     "failure_streaks": (failure_streaks_query, FAILURE_STREAKS_SQL),
+    "breaker_registered": (breaker_registered, BREAKER_REGISTERED_SQL),
+    "breaker_probe_cap": (breaker_probe_cap, BREAKER_PROBE_CAP_SQL),
     "breaker_local_ids": (breaker_local_ids, BREAKER_LOCAL_IDS_SQL),
     "breaker_timeline": (breaker_timeline_query, BREAKER_TIMELINE_SQL),
     "breaker_asof": (breaker_asof, BREAKER_ASOF_SQL),

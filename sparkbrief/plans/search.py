@@ -18,7 +18,7 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
     )
     kind = F.col("item_id") % 10
     response = (
-        F.when(kind == 8, F.lit("no list"))
+        F.when(kind == 8, F.lit('["x"] here you are'))
         .when(kind == 9, F.lit("[]"))
         .otherwise(F.to_json(sentences))
     )
@@ -123,7 +123,8 @@ def search_report(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.to_json(F.struct(about.alias("summary"), F.array(F.lit("s")).alias("sources"))))
         .alias("response"),
     )
-    report = research_report(requests.select("request_id", "user_input"), searches, responses)
+    earlier = F.when(kind == 1, F.array(F.lit("earlier"))).otherwise(F.array().cast("array<string>"))
+    report = research_report(requests.select("request_id", "user_input", earlier.alias("errors")), searches, responses)
     return report.select(
         F.col("request_id").cast("long").alias("item_id"),
         "summary",
@@ -154,7 +155,7 @@ SELECT item_id,
     WHEN item_id % 4 = 1 THEN '無摘要' ELSE 'about ' || item_id END AS summary,
   CASE WHEN blank OR n_hits IS NULL OR item_id % 4 = 0 THEN '' WHEN item_id % 4 = 1 THEN 'a,b' ELSE 's' END AS sources,
   coalesce(subqueries, '') AS subqueries,
-  CASE WHEN NOT blank THEN coalesce(errors, '') END AS errors,
+  CASE WHEN NOT blank THEN concat_ws(chr(10), CASE WHEN item_id % 4 = 1 THEN 'earlier' END, nullif(errors, '')) END AS errors,
   CAST(coalesce(n_hits, 0) AS INTEGER) AS n_hits, coalesce(titles, '') AS titles,
   CAST(coalesce(body_chars, 0) AS BIGINT) AS body_chars
 FROM listed LEFT JOIN gathered USING (item_id) LEFT JOIN flat USING (item_id)
