@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 4_000_000
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def slices(batch: pa.RecordBatch, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -27,6 +29,10 @@ def arrow_map(
     most_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``mapInArrow`` by slices of bounded bytes; ``make`` returns columns (name to values)."""
+    # Batches are counted in rows, and texts are long: few rows keep what lies on both sides of the pipe small.
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
     target = _arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from sparkbrief.staging import staged
 SPAN = 400
 GRAM = 128
 BLOCK = 16
-SEGMENT = 1 << 20  # bytes of text whose names a task holds at once; longer texts are cut with overlap
+SEGMENT = 1 << 18  # bytes of text whose names a task holds at once; longer texts are cut with overlap
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _PLACE = 22  # bits for a place in a segment
 
@@ -149,7 +149,7 @@ def _runs(docs: DataFrame, span: int, gram: int) -> DataFrame:
         return ids | found
 
     fields = "_id long, _key long, lo int, hi int, at int, gram long, u1 long, u2 long"
-    return arrow_map(docs, make, fields)
+    return arrow_map(docs, make, fields, 4 * SEGMENT)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
@@ -169,7 +169,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
         return dict(zip(names, zip(*rows, strict=True), strict=True))
 
     fields = "_id long, _key long, lo int, hi int, at int, gram long, open boolean, bytes binary"
-    return arrow_map(joined, make, fields)
+    return arrow_map(joined, make, fields, 4 * SEGMENT)
 
 
 def _laid_out(part: pa.RecordBatch, span: int):
@@ -242,6 +242,8 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block:
     """
     runs = staged(_runs(docs, span, gram), "runs")
     twice = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("gram")
+    # Written first, so that the join below has plain exchanges on both sides, which can be split at hot grams.
+    twice = staged(twice, "shared-grams")
     runs = staged(runs.join(twice, "gram", "left_semi"), "shared-runs")
     same = runs.groupBy("gram", "u1", "u2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_key", "lo", "hi", "at")).alias("one")
@@ -249,7 +251,7 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block:
     same = staged(same, "run-classes")
     sure = runs.join(same.filter("n > 1").select("u1", "u2"), ["u1", "u2"], "left_semi")
     ranges = sure.select("_id", "_key", F.col("lo").alias("begin"), (F.col("hi") + span).alias("end"))
-    mixed = same.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("gram")
+    mixed = staged(same.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("gram"), "mixed")
     wanted = same.join(mixed, "gram", "left_semi").select("one.*", "gram", (F.col("n") == 1).alias("open"))
     contexts = staged(_contexts(docs, wanted, span), "contexts")
     blocks = staged(_blocks(contexts, span, block), "blocks")
@@ -263,6 +265,7 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block:
         equal.select("_id", "_key", F.col("first").alias("begin"), (F.col("last") + span).alias("end"))
     )
     mixed = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(*group)
+    mixed = staged(mixed, "mixed-blocks")
     going = kinds.join(mixed, group, "left_semi").select(
         F.col("one._id").alias("_id"),
         F.col("one._key").alias("_key"),
@@ -271,7 +274,7 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block:
     )
     going = going.groupBy("_id", "_key", "lo").agg(F.collect_set("b").alias("blocks"))  # a run's blocks
     windows = staged(_windows(contexts.join(going, ["_id", "_key", "lo"]), span), "windows")
-    again = windows.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*name)
+    again = staged(windows.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*name), "again")
     found = windows.filter("open").join(again, name, "left_semi")
     return ranges.union(
         found.select("_id", "_key", F.col("start").alias("begin"), (F.col("start") + span).alias("end"))
