@@ -13,6 +13,8 @@ from sparkbrief.operators.positions import numbers_json, params_from_text, posit
 from sparkbrief.operators.requests import expand
 from sparkbrief.operators.research import gather, research_report
 from sparkbrief.operators.responses import (
+    document_context,
+    document_output,
     finance_output,
     finance_payload,
     synthesis_payload,
@@ -68,11 +70,19 @@ def finance(requests: DataFrame, interpret: Model) -> DataFrame:
     return told.select("request_id", "numbers", finance_output(F.col("response")).alias("said"))
 
 
+def document(outputs: DataFrame, write: Model) -> DataFrame:
+    """Document of each request (``request_id, user_input, research, finance`` as JSON), as JSON."""
+    context = document_context(F.col("user_input"), F.col("research"), F.col("finance"))
+    asked = staged(outputs.select("request_id", context.alias("context")), "document-asked")
+    told = batch_infer(asked, "context", write)
+    return told.select("request_id", F.to_json(document_output(F.col("response"))).alias("document"))
+
+
 def answer_requests(requests: DataFrame, documents: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """Answer, outputs, errors and end status of each request (``request_id, user_input``).
+    """Answer, outputs, errors and end status of each request (``request_id, user_input``, maybe ``errors``).
 
     ``models`` has a function from prompt to response for ``subqueries``, ``research``,
-    ``finance`` and ``synthesizer``. A request fails if its closing call fails.
+    ``finance``, ``document`` and ``synthesizer``. A request fails if its closing call fails.
     """
     found = research(requests, documents, models["subqueries"], models["research"])
     found = found.select(
@@ -86,9 +96,11 @@ def answer_requests(requests: DataFrame, documents: DataFrame, models: dict[str,
         F.to_json(F.struct(F.try_parse_json("numbers").alias("numbers"), "said.summary", "said.risk_notes"))
         .alias("finance"),
     )
-    both = found.join(priced, "request_id", "left")
-    outputs = F.create_map(F.lit("research"), F.col("research"), F.lit("finance"), F.col("finance"))
-    closing = both.withColumn("agent_outputs", F.map_filter(outputs, lambda _, v: v.isNotNull()))
+    both = staged(found.join(priced, "request_id", "left"), "researched")
+    written = both.join(document(both, models["document"]), "request_id", "left")
+    agents = ("research", "finance", "document")
+    outputs = F.create_map(*[x for a in agents for x in (F.lit(a), F.col(a))])
+    closing = written.withColumn("agent_outputs", F.map_filter(outputs, lambda _, v: v.isNotNull()))
     closing = closing.withColumn(
         "payload", synthesis_payload(F.col("user_input"), F.col("agent_outputs"), F.col("errors"))
     )
@@ -117,10 +129,16 @@ def _interpret(prompt: str) -> str:
     return json.dumps({"interpretation": f"up {numbers['upside_pct']}"}) if numbers else "no numbers"
 
 
+def _write(prompt: str) -> str:
+    lines = prompt.split("\n")
+    return json.dumps({"title": lines[0][:20], "summary": f"{len(lines)} lines", "sections": []})
+
+
 def _close(prompt: str) -> str:
     seen = json.loads(prompt)
     said = [seen["agent_outputs"][agent]["summary"] for agent in ("research", "finance")]
-    return f"  {said[0]}; {said[1]}; {len(seen['errors'])} errors\n"
+    pages = seen["agent_outputs"]["document"]["summary"]
+    return f"  {said[0]}; {said[1]}; {pages.split()[1]}; {len(seen['errors'])} errors\n"
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,8 +150,9 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     requests = table(spark, sf, "benchmark").select(
         item.cast("string").alias("request_id"),
         F.when(item % 5 == 4, F.lit(" ")).when(item % 3 == 0, priced).otherwise(F.col("text")).alias("user_input"),
+        F.when(item % 4 == 1, F.array(F.lit("earlier"))).otherwise(F.array().cast("array<string>")).alias("errors"),
     )
-    models = {"subqueries": _split, "research": _summarize, "finance": _interpret, "synthesizer": _close}
+    models = {"subqueries": _split, "research": _summarize, "finance": _interpret, "document": _write, "synthesizer": _close}
     told = answer_requests(requests, corpus(spread(table(spark, sf, "documents"))), models)
     return told.select(
         F.col("request_id").cast("long").alias("item_id"), "final_answer", "status", "next_agent",
@@ -160,11 +179,11 @@ found AS (SELECT item_id, count(*) AS n FROM expanded JOIN hits USING (query) GR
 gains AS (
   SELECT *, (321.5::DOUBLE - (100 + item_id)::DOUBLE) / (100 + item_id)::DOUBLE * 100.0::DOUBLE AS up FROM asked),
 said AS (
-  SELECT item_id, CASE WHEN blank THEN '無有效查詢內容' WHEN n IS NULL THEN '無搜尋結果' ELSE n || ' hits' END AS research,
+  SELECT item_id, blank, CASE WHEN blank THEN '無有效查詢內容' WHEN n IS NULL THEN '無搜尋結果' ELSE n || ' hits' END AS research,
     CASE WHEN priced AND NOT blank THEN 'up ' || CAST({sql_round2("up")} AS VARCHAR) ELSE 'no numbers' END AS finance
   FROM gains LEFT JOIN found USING (item_id))
-SELECT item_id, research || '; ' || finance || '; 0 errors' AS final_answer, 'done' AS status, 'end' AS next_agent,
-  'finance,research' AS outputs
+SELECT item_id, research || '; ' || finance || '; lines; ' || CASE WHEN item_id % 4 = 1 AND NOT blank THEN '1' ELSE '0' END || ' errors' AS final_answer, 'done' AS status, 'end' AS next_agent,
+  'document,finance,research' AS outputs
 FROM said
 """
 
