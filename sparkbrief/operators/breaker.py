@@ -192,9 +192,9 @@ def _hot_keys(calls: DataFrame, rows: int, rule: BreakerRule, run_rows: int) ->
 
 
 def breaker_timeline(
-    calls: DataFrame, rule: BreakerRule = BreakerRule(), hot_rows: int = HOT_ROWS
+    calls: DataFrame, rule: BreakerRule = BreakerRule(), hot_rows: int = HOT_ROWS, run_rows: int | None = None
 ) -> DataFrame:
-    """Decision and state after each call.
+    """Decision and state after each call; keys above ``hot_rows`` are cut into runs of ``run_rows`` (as many by default).
 
     ``calls`` has ``key, ts, event_id, ok``; a key's calls follow each other by
     (ts, event_id), and ids need be unique only within a key. A null key is a key
@@ -206,7 +206,7 @@ def breaker_timeline(
     cold, hot, hot_total = split_hot(slim, ["key"], hot_rows)
     folded = _whole_keys(cold, rule)
     if hot is not None:
-        folded = folded.unionByName(_hot_keys(hot, hot_total, rule, hot_rows))
+        folded = folded.unionByName(_hot_keys(hot, hot_total, rule, run_rows or hot_rows))
     return folded.select(
         "key",
         F.timestamp_micros("us").alias("ts"),

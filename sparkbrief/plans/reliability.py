@@ -100,7 +100,7 @@ def breaker_local_ids(spark: SparkSession, sf: str) -> DataFrame:
     )
     # Text ids, of ever more digits: their order is that of text, so times alone must tell calls apart.
     calls = calls.withColumn("event_id", F.lpad("event_id", 30, "0"))
-    line = breaker_timeline(staged(calls, "calls"), RULE, hot_rows=12)
+    line = breaker_timeline(staged(calls, "calls"), RULE, hot_rows=12, run_rows=2_000)
     return line.select(
         F.col("key").alias("user_id"), F.col("event_id").cast("long").alias("n"), "ok", "admitted", "state", _plain("opened_at")
     )
