@@ -172,7 +172,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, shi
     """``docs``, all columns, without the documents that hold a window of an item."""
     marks = item_marks(items, window, shingle)
     scanned = staged(scan(_rows(docs), marks, window, shingle), "scan")
-    dirty = occurrences(scanned, marks, window).select("_doc", "_text").distinct()
+    # Written, so that the planner sees how few they are, and does not shuffle texts if it need not.
+    dirty = staged(occurrences(scanned, marks, window).select("_doc", "_text").distinct(), "dirty")
     keyed = docs.withColumns({f"_{n}_of": c for n, c in zip(("doc", "text"), doc_key(), strict=True)})
     same = (keyed["_doc_of"] == dirty["_doc"]) & (keyed["_text_of"] == dirty["_text"])
     return keyed.join(dirty, same, "left_anti").drop("_doc_of", "_text_of")
