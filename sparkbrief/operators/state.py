@@ -1,9 +1,10 @@
 """Thread state: partial updates merged per thread, whole or step by step."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkbrief.operators.ordered import HOT_ROWS, scan
+from sparkbrief.staging import staged
 
 FIELDS = [
     "user_input", "completed_agents", "agent_outputs", "errors",
@@ -124,6 +125,8 @@ def running_state(updates: DataFrame, mode: str = "accumulate", hot_rows: int =
     """State of each thread after each of its updates; modes as in ``thread_state``.
 
     Each row holds all its thread has gathered, so the result itself grows with a thread's agents and errors.
+    Beside it only the lists of a thread's last row are gathered; an output is carried per (thread, agent), in
+    runs for hot ones. ``thread_id`` and ``step`` tell updates apart.
     """
     fields = _fields(updates)
     growing = [] if mode == "overwrite" else [c for c in fields if c in _GROWING]
@@ -132,31 +135,37 @@ def running_state(updates: DataFrame, mode: str = "accumulate", hot_rows: int =
     )
     if not growing:
         return held.select("thread_id", "step", *[F.col(f"_{c}").alias(c) for c in fields])
-    so_far = (
-        Window.partitionBy("thread_id")
-        .orderBy("step")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = staged(held.withColumn("_row", F.monotonically_increasing_id()), "updates")  # fixed once written
+    told = held.select("_row", "thread_id", "step", F.explode(_parts(growing)).alias("p"))
+    told = told.select("_row", "thread_id", "step", "p.*")
+    # Per thread what its last row holds: each agent's first completion, and the errors.
+    agents = told.filter("kind = 'agent'").groupBy("thread_id", "key").agg(F.min("at").alias("at"))
+    errors = told.filter("kind = 'error'").select("thread_id", F.col("value").alias("key"), "at")
+    lists = agents.withColumn("kind", F.lit("agent")).unionByName(errors.withColumn("kind", F.lit("error")))
+
+    def listed(kind: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "key"))))
+
+    lists = lists.groupBy("thread_id").agg(listed("agent").alias("_agents"), listed("error").alias("_errors"))
+    lists = lists.withColumnRenamed("thread_id", "_thread")
+    seen = held.join(lists, F.col("thread_id").eqNullSafe(F.col("_thread")), "left")
+    # An output counts until its agent's next one: a row per update and agent, as the result has them.
+    outputs = told.filter("kind = 'output'")
+    names = outputs.select(F.col("thread_id").alias("_thread"), "key").distinct()
+    cells = held.select("_row", "thread_id", "step").join(names, F.col("thread_id").eqNullSafe(F.col("_thread")))
+    cells = cells.drop("_thread").join(outputs.select("_row", "key", F.struct("value").alias("_told")), ["_row", "key"], "left")
+    cells = scan(staged(cells, "cells"), ["thread_id", "key"], ["step"], last={"_now": F.col("_told")}, hot_rows=hot_rows)
+    maps = cells.filter(F.col("_now").isNotNull()).groupBy("_row").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.col("_now.value").alias("value"))))).alias("_outputs")
     )
-    # Only what changes the state is gathered: an agent's first completion, its outputs, errors.
-    seen = held.withColumn("_parts", _parts(growing)).withColumn("_all", F.flatten(F.collect_list("_parts").over(so_far)))
-
-    def of(kind: str) -> Column:
-        return F.filter("_all", lambda p: p["kind"] == kind)
-
-    def merged(entries: Column) -> Column:
-        return F.aggregate(
-            entries,
-            F.create_map().cast("map<string,string>"),
-            lambda kept, e: F.map_concat(
-                F.map_filter(kept, lambda k, _: k != e["key"]), F.map_from_entries(F.array(F.struct(e["key"], e["value"])))
-            ),
-        )
+    seen = seen.join(maps, "_row", "left")
 
-    made = {
-        "completed_agents": F.array_distinct(F.transform(of("agent"), lambda p: p["key"])),
-        "agent_outputs": merged(of("output")),
-        "errors": F.transform(of("error"), lambda p: p["value"]),
-    }
+    def of(name: str) -> Column:
+        here = F.filter(name, lambda e: e["at"]["step"].isNull() | (e["at"]["step"] <= F.col("step")))
+        return F.transform(here, lambda e: e["key"])
+
+    made = {"completed_agents": of("_agents"), "agent_outputs": F.col("_outputs"), "errors": of("_errors")}
+    made = {c: F.coalesce(value, _none(c)) for c, value in made.items()}
     return seen.select("thread_id", "step", *[(made[c].alias(c) if c in growing else F.col(f"_{c}").alias(c)) for c in fields])
 
 

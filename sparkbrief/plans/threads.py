@@ -502,6 +502,35 @@ FROM steps s GROUP BY user_id
 """
 
 
+def running_state_long(spark: SparkSession, sf: str) -> DataFrame:
+    """State after every event, with all that was told up to it."""
+    return _flat(running_state(_event_updates(spark, sf), "accumulate")).withColumnRenamed("conv_id", "user_id")
+
+
+RUNNING_STATE_LONG_SQL = f"""
+WITH {_EVENT_STEPS_SQL},
+s AS (SELECT user_id, step FROM steps UNION ALL SELECT DISTINCT user_id, -1 FROM steps),
+told AS (
+  SELECT s.user_id, s.step, u.event_type, u.event_id, u.step AS turn
+  FROM s LEFT JOIN steps u ON u.user_id = s.user_id AND u.step <= s.step),
+agents AS (
+  SELECT user_id, step, event_type, min(turn) AS first, max_by(event_id, turn) AS last
+  FROM told WHERE turn IS NOT NULL GROUP BY user_id, step, event_type),
+lists AS (
+  SELECT user_id, step, string_agg(event_type, ',' ORDER BY first) AS completed,
+    string_agg(event_type || '=' || last, ',' ORDER BY event_type) AS outputs
+  FROM agents GROUP BY user_id, step),
+rest AS (
+  SELECT user_id, step, arg_max(event_type, turn) FILTER (WHERE turn % 2 = 0) AS next_agent,
+    coalesce(string_agg('e' || turn || ',f' || turn, ',' ORDER BY turn) FILTER (WHERE event_type = 'error'), '') AS errors,
+    coalesce(max('answer ' || event_id) FILTER (WHERE turn = 11), '') AS final_answer
+  FROM told GROUP BY user_id, step)
+SELECT user_id, step, 'q' AS user_input, CAST(step + 1 AS INTEGER) AS step_count, next_agent,
+  coalesce(completed, '') AS completed, coalesce(outputs, '') AS outputs, errors, final_answer
+FROM rest LEFT JOIN lists USING (user_id, step)
+"""
+
+
 def running_state_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     """State after every event, each field with its latest value."""
     return _flat(running_state(_event_updates(spark, sf), "overwrite")).withColumnRenamed("conv_id", "user_id")
@@ -602,6 +631,7 @@ QUERIES = {
     "thread_state_accumulate": (thread_state_accumulate, THREAD_STATE_ACCUMULATE_SQL),
     "running_thread_state": (running_thread_state, RUNNING_THREAD_STATE_SQL),
     "thread_state_long": (thread_state_long, THREAD_STATE_LONG_SQL),
+    "running_state_long": (running_state_long, RUNNING_STATE_LONG_SQL),
     "running_state_overwrite": (running_state_overwrite, RUNNING_STATE_OVERWRITE_SQL),
     "state_sink": (state_sink, STATE_SINK_SQL),
     "job_sink": (job_sink, JOB_SINK_SQL),

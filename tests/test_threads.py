@@ -220,6 +220,18 @@ def test_running_state(spark, hot_rows):
     assert over["t", 1].errors == ["e1"] and over["t", 1].agent_outputs == {"finance": "f"}
 
 
+def test_running_state_gathers_no_history_over_a_window(spark):
+    told = [("t", i, [f"a{i % 2}"], {f"a{i % 2}": str(i // 4)}, [f"e{i}"] if i % 5 == 0 else None, None, None) for i in range(40)]
+    updates = spark.createDataFrame(told, UPDATE)
+    whole, cut = (running_state(updates, "accumulate", hot_rows=n) for n in (100, 7))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "collect_list" in line and "windowspecdefinition" in line]
+    rows = sorted(whole.collect(), key=lambda r: r.step)
+    assert rows == sorted(cut.collect(), key=lambda r: r.step) and len(rows) == 40
+    assert rows[7].completed_agents == ["a0", "a1"] and rows[7].agent_outputs == {"a0": "1", "a1": "1"}
+    assert rows[39].errors == [f"e{i}" for i in range(0, 40, 5)]
+
+
 def test_initial_state_and_assembly(spark):
     start = initial_state(spark.createDataFrame([("t", "q", 8)], "thread_id string, user_input string, max_steps int"))
     assert start.first().asDict() == {
