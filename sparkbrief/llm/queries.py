@@ -9,6 +9,7 @@ from sparkbrief.llm.cutting_stock import pack
 from sparkbrief.llm.decontaminate import contamination
 from sparkbrief.llm.language_id import language_id
 from sparkbrief.llm.maxent import lm_scores
+from sparkbrief.llm.merkle import merkle_manifest
 from sparkbrief.llm.metric_join import near_vectors
 from sparkbrief.llm.repeats import repeated_spans
 from sparkbrief.llm.sharding import shard
@@ -65,6 +66,10 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
 
 
+def op11_merkle_proofs(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_suffix_repeats": op8_suffix_repeats,
     "op9_lm_scores": op9_lm_scores,
     "op10_near_vectors": op10_near_vectors,
+    "op11_merkle_proofs": op11_merkle_proofs,
 }
 ITEM_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -131,8 +137,76 @@ SELECT v.vec_id, coalesce(counts.n_links, 0) AS n_links, component_id, v.vec_id
 FROM v JOIN component USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
 
+#: A value of a leaf: "-" if null, else its UTF-8 bytes' count, ":" and itself.
+_LEAF_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["doc_id", "source", "lang", n_chars, "text"]
+    return "sha256(" + " || ".join(_LEAF_FIELD.format(f) for f in fields) + ")"
+
+
+#: crc32 (reflected polynomial 0xEDB88320) of the decimal id, a byte at a time, a bit at a time.
+_CRC_SQL = """xor(list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(k AS BIGINT) for k in range(8)]),
+        lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+OP11_SQL = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("n_chars")} AS leaf,
+        CASE WHEN {_CRC_SQL} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql("n_chars")} END AS checked
+    FROM documents
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+        count(*) OVER (PARTITION BY tree) AS size
+    FROM leaves
+),
+nodes AS (
+    SELECT tree, 0 AS level, idx, leaf AS d, size FROM placed
+    UNION ALL
+    SELECT tree, level + 1, idx // 2, sha256(string_agg(d, '' ORDER BY idx)), (size + 1) // 2
+    FROM nodes WHERE size > 1 GROUP BY tree, level, idx // 2, size
+),
+subroots AS (
+    SELECT tree, level AS depth, d AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS size
+    FROM nodes WHERE size = 1
+),
+tops AS (
+    SELECT 0 AS level, place AS idx, subroot AS d, size FROM subroots
+    UNION ALL
+    SELECT level + 1, idx // 2, sha256(string_agg(d, '' ORDER BY idx)), (size + 1) // 2
+    FROM tops WHERE size > 1 GROUP BY level, idx // 2, size
+),
+walk AS (
+    SELECT doc_id, p.tree, idx, depth, place, 0 AS level, checked AS d, '' AS siblings
+    FROM placed p JOIN subroots s USING (tree)
+    UNION ALL
+    SELECT w.doc_id, w.tree, w.idx, depth, place, w.level + 1,
+        sha256(CASE WHEN n.d IS NULL THEN w.d WHEN coalesce(n.idx, 0) % 2 = 0 THEN n.d || w.d ELSE w.d || n.d END),
+        siblings || coalesce(n.d, '')
+    FROM walk w LEFT JOIN nodes n ON n.tree = w.tree AND n.level = w.level AND n.idx = xor(w.idx >> w.level, 1)
+    WHERE w.level < w.depth
+),
+climb AS (
+    SELECT doc_id, tree, idx, place, 0 AS level, d, siblings FROM walk WHERE level = depth
+    UNION ALL
+    SELECT c.doc_id, c.tree, c.idx, place, c.level + 1,
+        sha256(CASE WHEN t.d IS NULL THEN c.d WHEN coalesce(t.idx, 0) % 2 = 0 THEN t.d || c.d ELSE c.d || t.d END),
+        siblings || coalesce(t.d, '')
+    FROM climb c LEFT JOIN tops t ON t.level = c.level AND t.idx = xor(c.place >> c.level, 1)
+    WHERE c.level < (SELECT max(level) FROM tops)
+)
+SELECT p.doc_id, leaf, subroot, t.d AS root, sha256(siblings) AS proof_sha256, c.d AS folded_root, c.d = t.d AS verified
+FROM placed p JOIN subroots s USING (tree)
+JOIN climb c ON c.tree = p.tree AND c.idx = p.idx AND c.level = (SELECT max(level) FROM tops)
+JOIN tops t ON t.size = 1
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op4_warc": OP4_SQL,
     "op10_near_vectors": OP10_SQL,
+    "op11_merkle_proofs": OP11_SQL,
 }
