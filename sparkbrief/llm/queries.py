@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkbrief.llm.collocations import collocations
 from sparkbrief.llm.cutting_stock import pack
 from sparkbrief.llm.decontaminate import contamination
+from sparkbrief.llm.kernel_quality import quality_scores
 from sparkbrief.llm.language_id import language_id
 from sparkbrief.llm.maxent import lm_scores
 from sparkbrief.llm.merkle import merkle_manifest
@@ -70,6 +72,14 @@ def op11_merkle_proofs(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest(table(spark, folder, "documents"))
 
 
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -82,6 +92,8 @@ QUERIES = {
     "op9_lm_scores": op9_lm_scores,
     "op10_near_vectors": op10_near_vectors,
     "op11_merkle_proofs": op11_merkle_proofs,
+    "op12_quality": op12_quality,
+    "op13_collocations": op13_collocations,
 }
 ITEM_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -204,9 +216,43 @@ JOIN climb c ON c.tree = p.tree AND c.idx = p.idx AND c.level = (SELECT max(leve
 JOIN tops t ON t.size = 1
 """
 
+OP13_SQL = """
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+sized AS (SELECT lang, w, k FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k),
+told AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda s: w[s:s + k - 1])) AS g FROM sized),
+f AS (SELECT lang, k, g, count(*) AS f FROM told GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k >= 2 AND f >= 30),
+cuts AS (SELECT lang, g, k, a, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+    SELECT c.lang, c.g, c.a, c.k, cut, x.f AS l, y.f AS r,
+        CAST(2000000::HUGEINT * c.a // (x.f::HUGEINT + y.f::HUGEINT) AS BIGINT) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[cut + 1:]
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (
+    SELECT lang, g[s:s + m - 1] AS g, max(a) AS longest
+    FROM (SELECT c.lang, c.g, c.a, m, unnest(range(1, k - m + 2)) AS s FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k)
+    GROUP BY ALL
+),
+kept AS (
+    SELECT l.* FROM lowest l LEFT JOIN inside i ON i.lang = l.lang AND i.g = l.g
+    WHERE i.longest IS NULL OR 100::HUGEINT * i.longest < 80::HUGEINT * l.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank,
+    array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op4_warc": OP4_SQL,
     "op10_near_vectors": OP10_SQL,
     "op11_merkle_proofs": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }
