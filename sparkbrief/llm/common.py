@@ -64,9 +64,33 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
     Rows that agree in both are the same document given twice and get the same results.
     """
-    return [F.coalesce(F.col(doc_id), F.lit(0)).cast("long").alias("_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_key")]
+    number, words = F.col(doc_id).cast("long"), F.col(text).cast("string")  # alike, whatever the columns' types are
+    return [F.coalesce(number, F.lit(0).cast("long")).alias("_id"), F.xxhash64(number, words).alias("_key")]
 
 
 def crc_of_id(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text; null where the id is null."""
     return F.crc32(F.col(doc_id).cast("string"))
+
+
+def bitmap(hashes: DataFrame, most_longs: int) -> Callable[[Column], Column]:
+    """A test of whether a 64-bit hash may be among ``hashes(hash)``: true for all of them, and for few others.
+
+    A bit for each hash, in a literal array of at most ``most_longs`` longs (a power of two), which goes to every
+    task; with many more hashes than bits the test lets more through and never less.
+    """
+    distinct = hashes.select("hash").distinct()
+    longs = 1 << 10
+    while longs < min(most_longs, distinct.count() * 8):
+        longs *= 2
+    top = longs.bit_length() - 1
+    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
+    place = F.shiftrightunsigned("hash", 64 - top).cast("int").alias("at")
+    rows = distinct.select(place, bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
+    held = {r["at"]: str(r["bits"]) for r in rows}
+    bits = F.split(F.lit(",".join(held.get(i, "0") for i in range(longs))), ",").cast("array<bigint>")
+
+    def among(code: Column) -> Column:
+        return F.getbit(F.get(bits, F.shiftrightunsigned(code, 64 - top).cast("int")), code.bitwiseAND(63).cast("int")) == 1
+
+    return among

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkbrief.llm.common import UPPER, doc_key
+from sparkbrief.llm.common import UPPER, bitmap, doc_key
 from sparkbrief.staging import staged
 
 WINDOW = 10
@@ -58,25 +58,10 @@ def item_marks(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -
     return staged(marks.withColumn("hash", sized).drop("_h"), "marks")
 
 
-def _bitmap(marks: DataFrame) -> tuple[Column, int]:
-    """A bit for each item shingle, as a literal array of longs, and the bits that choose the long."""
-    hashes = marks.select("hash").distinct()
-    longs = 1 << 10
-    while longs < min(MOST_WORDS, hashes.count() * 8):
-        longs *= 2
-    top = longs.bit_length() - 1
-    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
-    place = F.shiftrightunsigned("hash", 64 - top).cast("int").alias("at")
-    rows = hashes.select(place, bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
-    held = {r["at"]: str(r["bits"]) for r in rows}
-    text = ",".join(held.get(i, "0") for i in range(longs))
-    return F.split(F.lit(text), ",").cast("array<bigint>"), top
-
-
 def scan(docs: DataFrame, marks: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, _doc, _text, n_words, found`` of ``docs(doc_id, _doc, _text, text)``; found: (pos, hash, near)."""
     sizes = sorted(r["size"] for r in marks.select("size").distinct().collect())  # within 1..shingle
-    bits, top = _bitmap(marks)
+    among = bitmap(marks, MOST_WORDS)
     split = docs.select("doc_id", "_doc", "_text", words_of(F.col("text")).alias("_w"))
     rows = split.select("*", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     reach = window - 1  # the words around a match: enough for any window that holds the shingle
@@ -84,14 +69,11 @@ def scan(docs: DataFrame, marks: DataFrame, window: int = WINDOW, shingle: int =
     def starts(size: int) -> Column:
         return F.when(F.size("_h") >= size, F.sequence(F.lit(0), F.size("_h") - size)).otherwise(F.array().cast("array<int>"))
 
-    def set_bit(code: Column) -> Column:
-        return F.getbit(F.get(bits, F.shiftrightunsigned(code, 64 - top).cast("int")), code.bitwiseAND(63).cast("int")) == 1
-
     def shingles(size: int) -> Column:
         return F.transform(starts(size), lambda i: _shingle("_h", i, size))
 
     def hits(size: int) -> Column:
-        return F.filter(starts(size), lambda i: set_bit(F.get(F.col(f"_g{size}"), i)))
+        return F.filter(starts(size), lambda i: among(F.get(F.col(f"_g{size}"), i)))
 
     def around(size: int) -> Column:
         def one(i: Column) -> Column:
@@ -169,11 +151,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """``docs``, all columns, without the documents that hold a window of an item."""
+    """``docs``, all columns, without the documents that hold a window of an item.
+
+    An id of any type counts as its whole number, as in ``contamination``; an id that is none counts as null.
+    """
     marks = item_marks(items, window, shingle)
-    scanned = staged(scan(_rows(docs), marks, window, shingle), "scan")
+    # A row travels as one value, so that no column of it can clash with those that are added here.
+    whole = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("_row"))
+    scanned = staged(scan(_rows(whole), marks, window, shingle), "scan")
     # Written, so that the planner sees how few they are, and does not shuffle texts if it need not.
     dirty = staged(occurrences(scanned, marks, window).select("_doc", "_text").distinct(), "dirty")
-    keyed = docs.withColumns({f"_{n}_of": c for n, c in zip(("doc", "text"), doc_key(), strict=True)})
-    same = (keyed["_doc_of"] == dirty["_doc"]) & (keyed["_text_of"] == dirty["_text"])
-    return keyed.join(dirty, same, "left_anti").drop("_doc_of", "_text_of")
+    keyed = whole.select(*[c.alias(n) for n, c in zip(("_doc", "_text"), doc_key(), strict=True)], "_row")
+    return keyed.join(dirty, ["_doc", "_text"], "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -57,7 +57,7 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     found = repeated_spans(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_half")
 
 
 def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:

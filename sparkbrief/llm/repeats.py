@@ -1,10 +1,14 @@
-"""Repeated byte strings by doubling over sampled suffixes.
+"""Repeated byte strings by a join of sampled fingerprints, over strings that double in length.
+
+This is not a suffix array: no suffix is sorted at every byte. It stands in for prefix doubling, which
+ranks a row per byte in each round; what it keeps of it is that only what repeats at one length is
+looked at for twice that length (``repeated_spans``: 200 bytes, then 400).
 
 A string of ``span`` bytes is repeated if it starts at two places of the corpus. Ranking the
 suffix at every byte would sort a row per byte in every round, so positions are sampled where
 content decides: a window's position is the least ``gram`` in it (window minima). Equal windows
 have their position at the same distance, and neighbours share it, so a row speaks for a *run* of
-window starts. Ranks are then sorted by Spark over strings that grow around the position:
+window starts. Names (128-bit hashes) of strings that grow around the position are then grouped by Spark:
 
 1. by the gram itself: a position whose gram is unique leaves, its windows are not repeated;
 2. by all that the run's windows cover: equal there, all of the run's windows are repeated;
@@ -12,8 +16,8 @@ window starts. Ranks are then sorted by Spark over strings that grow around the
    windows have in common (unique: none is repeated) and by all they cover (equal: all are);
 4. for blocks still open, by each window, the full ``span``.
 
-Each round ranks fewer positions by longer strings, until unique or past the threshold. Ranks
-are 128-bit names of the strings. Only one run of each equal set goes on to the next round.
+Each round names fewer positions by longer strings, until unique or past the threshold. Only one
+run of each equal set goes on to the next round.
 """
 
 from __future__ import annotations
@@ -25,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbrief.llm.common import arrow_map, doc_key
+from sparkbrief.llm.common import arrow_map, bitmap, doc_key
 from sparkbrief.staging import staged
 
 SPAN = 400
 GRAM = 128
+PASSAGE = 200  # bytes that passages of more than 50 words have, nearly always
+PASSAGE_GRAM = 32
 BLOCK = 16
+MOST_LONGS = 1 << 17  # of a bitmap of documents (1 MB); with more of them it only lets more texts be shuffled
 SEGMENT = 1 << 18  # bytes of text whose names a task holds at once; longer texts are cut with overlap
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _PLACE = 22  # bits for a place in a segment
@@ -157,7 +164,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     lists = wanted.groupBy("_id", "_key").agg(
         F.collect_list(F.struct("lo", "hi", "at", "gram", "open")).alias("runs")  # at most the document's runs
     )
-    joined = docs.join(lists, ["_id", "_key"])
+    among = bitmap(wanted.select(F.col("_key").alias("hash")), MOST_LONGS)
+    joined = docs.filter(among(F.col("_key"))).join(lists, ["_id", "_key"])
 
     def make(part: pa.RecordBatch) -> dict[str, list]:
         rows: list[tuple] = []
@@ -298,25 +306,54 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([text[b:e] for b, e in zip(begins, ends, strict=True)])
 
 
-def _with_ranges(docs: DataFrame, span: int, gram: int, block: int) -> DataFrame:
-    ranges = repeated_ranges(docs.select("_id", "_key", "text"), span, gram, block)
+def _range_lists(docs: DataFrame, span: int, gram: int, block: int) -> DataFrame:
+    """``_id, _key, _ranges, _longest``: a document's maximal repeated byte ranges, in order, and the longest's bytes."""
+    ranges = repeated_ranges(docs, span, gram, block)
     lists = ranges.groupBy("_id", "_key").agg(F.collect_set(F.struct("begin", "end")).alias("_ranges"))
-    return docs.join(lists, ["_id", "_key"], "left")
+
+    def make(part: pa.RecordBatch) -> dict[str, list]:
+        found = [_merged(r) for r in part.column("_ranges").to_pylist()]
+        return {
+            "_id": part.column("_id"),
+            "_key": part.column("_key"),
+            "_ranges": [[{"begin": b, "end": e} for b, e in r] for r in found],
+            "_longest": [max(e - b for b, e in r) for r in found],
+        }
+
+    fields = "_id long, _key long, _ranges array<struct<begin: int, end: int>>, _longest int"
+    return staged(arrow_map(lists, make, fields), "range-lists")
+
+
+def _with_ranges(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``docs`` with ``_ranges``; only texts that may have some are shuffled."""
+    among = bitmap(lists.select(F.col("_key").alias("hash")), MOST_LONGS)(F.col("_key"))
+    joined = docs.filter(among).join(lists.drop("_longest"), ["_id", "_key"], "left")
+    none = F.lit(None).cast(lists.schema["_ranges"].dataType)
+    return joined.unionByName(docs.filter(~among).withColumn("_ranges", none))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(dict(zip(("_id", "_key"), doc_key(), strict=True)))
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row of ``docs(doc_id, text)``.
+def repeated_spans(
+    docs: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK, half_gram: int = PASSAGE_GRAM
+) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_half`` of every row of ``docs(doc_id, text)``.
 
     ``spans`` are the maximal runs (begin, end) of bytes covered by a string of ``span`` bytes that
-    also starts at another place of the table, in the same document or another. A null text counts
-    as empty; texts shorter than ``span`` repeat nothing. Repeated rows are documents of their own,
-    so each is a repeat of the other. A null id stays null. An empty table gives an empty one.
+    also starts at another place of the table, in the same document or another. ``n_half`` counts the bytes
+    covered by repeated strings of half that length, which also tells passages too short to be removed: what
+    repeats at ``span`` bytes lies in such runs, so only documents that have one as long go on to the full length.
+
+    A null text counts as empty; texts shorter than ``span`` repeat nothing at that length. Repeated rows are
+    documents of their own, so each is a repeat of the other. A null id stays null. An empty table gives an empty one.
     """
     rows = _keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    texts = rows.select("_id", "_key", "text")
+    halves = _range_lists(texts, span // 2, half_gram, block)
+    long = halves.filter(F.col("_longest") >= span).select(F.col("_key").alias("hash"))
+    lists = _range_lists(texts.filter(bitmap(long, MOST_LONGS)(F.col("_key"))), span, gram, block)
 
     def make(part: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
@@ -327,13 +364,17 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block: i
             out["n_spans"].append(len(spans))
             out["kept_sha256"].append(hashlib.sha256(_kept(text, spans)).hexdigest())
             out["spans"].append([{"begin": b, "end": e} for b, e in spans])
-        return {"doc_id": part.column("doc_id")} | out
+        return {n: part.column(n) for n in ("doc_id", "_id", "_key")} | out
 
     fields = (
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+        "doc_id long, _id long, _key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<begin: int, end: int>>"
     )
-    return arrow_map(_with_ranges(rows, span, gram, block), make, fields)
+    told = arrow_map(_with_ranges(rows, lists), make, fields)
+    covered = F.aggregate("_ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    halves = halves.select("_id", "_key", covered.alias("_half"))
+    told = told.join(halves, ["_id", "_key"], "left").withColumn("n_half", F.coalesce("_half", F.lit(0).cast("long")))
+    return told.drop("_id", "_key", "_half")
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
@@ -345,6 +386,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block:
     others = [c for c in docs.columns if c != "text"]
     rows = _keyed(docs.select(F.col("doc_id"), F.col("text").cast("string"), F.struct(*others).alias("_row")))
     kind = rows.schema["_row"].dataType.simpleString()
+    lists = _range_lists(rows.select("_id", "_key", "text"), span, gram, block)
 
     def make(part: pa.RecordBatch) -> dict[str, list]:
         texts = [
@@ -355,5 +397,5 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block:
         ]
         return {"_row": part.column("_row"), "text": texts}
 
-    cut = arrow_map(_with_ranges(rows, span, gram, block), make, f"_row {kind}, text string")
+    cut = arrow_map(_with_ranges(rows, lists), make, f"_row {kind}, text string")
     return cut.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -260,10 +260,12 @@ def near_duplicates_removed(docs: DataFrame, radius: int = 3, words: int = 3) ->
     judged = groups.join(best, "_component").select("doc_id", "text_key", (key == F.col("best")).alias("stays"))
     judged = judged.groupBy("doc_id", "text_key").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     judged = staged(judged.filter(~F.col("stays") | (F.col("n") > 1)), "judged")
-    judged = judged.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key"), "stays")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_gone_key"))
-    left = docs.join(judged.select("_gone", "_gone_key"), same, "left_anti")
-    repeated = judged.filter("stays").select("_gone", "_gone_key")
-    if repeated.isEmpty():
-        return left
-    return left.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    gone = judged.select("doc_id", "text_key")
+    # A row travels as one value, so that no column of it can clash with those that are added here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), F.struct("*").alias("row"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
+    left = rows.join(gone, same, "left_anti")
+    repeated = judged.filter("stays").select("doc_id", "text_key")
+    if not repeated.isEmpty():
+        left = left.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["id", "key"]))
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

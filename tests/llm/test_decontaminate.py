@@ -79,3 +79,18 @@ def test_empty_tables(spark, messy, empty):
     assert clean_documents(messy, none).count() == messy.count()
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert contamination(empty, items).count() == 0
+
+
+def test_ids_of_any_type_and_clashing_columns(spark, messy):
+    """What a stage drops does not hang on the id's type, nor on names of other columns."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    wanted = {r["doc_id"] for r in clean_documents(messy, items).collect()}
+    assert len(wanted) < len({i for i, _ in texts_of(messy)})
+    for kind in ("int", "string", "short"):
+        docs = messy.withColumns(
+            {"doc_id": messy["doc_id"].cast(kind)}
+            | {c: messy["n_chars"] for c in ("_doc", "_text", "_doc_of", "_text_of", "_row", "_id", "hash", "found", "row")}
+        )
+        left = clean_documents(docs, items)
+        assert left.schema == docs.schema
+        assert {None if r["doc_id"] is None else int(r["doc_id"]) for r in left.collect()} == wanted

@@ -4,6 +4,8 @@ import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from check import compare, duck
 
+from sparkbrief.llm.repeats import PASSAGE
+
 from .conftest import SF, texts_of
 from .test_decontaminate import slow as slow_hits
 from .test_repeats import slow as slow_repeats
@@ -12,8 +14,8 @@ from .test_simhash import slow_fingerprint, slow_sets
 NAMES = [n for n in queries() if n.startswith("op") and n[2].isdigit()]
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11)) and "pipeline" in queries()
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14)) and "pipeline" in queries()
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in oracle_sql()])
@@ -43,7 +45,7 @@ def test_stages_against_brute_force(spark, given, tmp_path):
                 least[s] = min(least.get(s, i), i)
             expected = {i: t for i, t in before if i in set(least.values())}
         elif name == "repeats":
-            expected = {r[0]: r[6].decode(errors="ignore") for r in slow_repeats(before, 400)}
+            expected = {r[0]: r[6].decode(errors="ignore") for r in slow_repeats(before, PASSAGE)}
         else:
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             dirty = {r[0] for r in slow_hits(before, items) if r[5]}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sparkbrief.llm import repeats
-from sparkbrief.llm.repeats import Names, least_places, repeated_spans, without_repeats
+from sparkbrief.llm.repeats import PASSAGE, PASSAGE_GRAM, Names, least_places, repeated_spans, without_repeats
 
 from .conftest import plain, texts_of
 
@@ -32,7 +32,9 @@ def slow(rows, span):
 
 def same(docs, span, **options):
     rows = texts_of(docs)
-    found = plain(repeated_spans(docs, span, **options))
+    found = plain(repeated_spans(docs, span, **options, half_gram=min(32, span // 4)))
+    halves = sorted((repr(r["doc_id"]), r["n_bytes"], r["n_half"]) for r in found)
+    assert halves == sorted((repr(r[0]), r[1], r[2]) for r in slow(rows, span // 2))
     found = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], [[s["begin"], s["end"]] for s in r["spans"]]) for r in found]
     assert sorted(map(repr, found)) == sorted(repr(r[:6]) for r in slow(rows, span))
 
@@ -77,6 +79,21 @@ def test_texts_are_cut_and_columns_stay(messy):
     assert cut.filter("doc_id = 2").first()["text"] is None
 
 
+def test_passages_of_over_fifty_words_are_cut(spark, given):
+    """Planted passages of 51 words that stand in two documents go, whatever their words; other text stays."""
+    draw = random.Random(7)
+    words = sorted({w for r in given.filter("lang = 'en'").limit(50).collect() for w in r["text"].split()})
+    passages = [" ".join(draw.choices(words, k=51)) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        own = [" ".join(draw.choices(words, k=60)) for _ in range(2)]
+        rows.append((i, f"{own[0]} {i} {passages[i % 60]} {i} {own[1]}"))
+    left = dict(texts_of(without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), PASSAGE, PASSAGE_GRAM)))
+    gone = [passages[i % 60][5:-5] not in left[i] for i in range(120)]
+    assert sum(gone) >= 0.95 * len(gone)
+    assert all(left[i].startswith(t.split(f" {i} ")[0]) and left[i].endswith(t.split(f" {i} ")[-1]) for i, t in rows)
+
+
 def test_empty(empty):
     assert repeated_spans(empty).count() == 0 and without_repeats(empty).count() == 0
 

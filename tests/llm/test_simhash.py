@@ -120,3 +120,13 @@ def test_components_of_a_long_path(spark):
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in rows} == {**{i: 0 for i in range(1, 61)}, 101: 100}
     assert plain(components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_ids_of_any_type_and_clashing_columns(messy):
+    wanted = sorted(map(repr, near_duplicates_removed(messy).select("doc_id", "text").collect()))
+    for kind in ("int", "long"):
+        names = ("_gone", "_gone_key", "id", "key", "row", "stays", "n", "best", "component_id", "_component", "text_key", "fp")
+        docs = messy.withColumns({"doc_id": messy["doc_id"].cast(kind)} | {c: messy["n_chars"] for c in names})
+        left = near_duplicates_removed(docs)
+        assert left.schema == docs.schema
+        assert sorted(map(repr, left.select("doc_id", "text").collect())) == wanted
