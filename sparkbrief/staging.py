@@ -47,4 +47,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._staged_at = path
+    return held
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``staged`` gave, once all that reads them has been written."""
+    for held in tables:
+        jvm = held.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(held._staged_at)
+        folder.getFileSystem(held.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
