@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkbrief.llm.common import arrow_map, bitmap, doc_key
-from sparkbrief.staging import staged
+from sparkbrief.staging import discard, staged
 
 SPAN = 400
 GRAM = 128
@@ -243,16 +243,20 @@ def _windows(contexts: DataFrame, span: int) -> DataFrame:
     return arrow_map(contexts, make, "_id long, _key long, open boolean, start int, u1 long, u2 long", SEGMENT)
 
 
-def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """``_id, _key, begin, end``: byte ranges, overlapping, that cover all repeated strings.
+def repeated_ranges(
+    docs: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK
+) -> tuple[DataFrame, list[DataFrame]]:
+    """``_id, _key, begin, end``: byte ranges, overlapping, that cover all repeated strings; and the tables they read.
 
     ``docs(_id, _key, text)``; rows equal in ``_id`` and ``_key`` are the same text given repeatedly.
     """
-    runs = staged(_runs(docs, span, gram), "runs")
-    twice = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("gram")
+    every = staged(_runs(docs, span, gram), "runs")
+    twice = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("gram")
     # Written first, so that the join below has plain exchanges on both sides, which can be split at hot grams.
     twice = staged(twice, "shared-grams")
-    runs = staged(runs.join(twice, "gram", "left_semi"), "shared-runs")
+    among = bitmap(twice.select(F.col("gram").alias("hash")), MOST_LONGS)
+    runs = staged(every.filter(among(F.col("gram"))).join(twice, "gram", "left_semi"), "shared-runs")
+    discard(every)
     same = runs.groupBy("gram", "u1", "u2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_key", "lo", "hi", "at")).alias("one")
     )
@@ -284,9 +288,11 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block:
     windows = staged(_windows(contexts.join(going, ["_id", "_key", "lo"]), span), "windows")
     again = staged(windows.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*name), "again")
     found = windows.filter("open").join(again, name, "left_semi")
-    return ranges.union(
+    discard(contexts)
+    ranges = ranges.union(
         found.select("_id", "_key", F.col("start").alias("begin"), (F.col("start") + span).alias("end"))
     )
+    return ranges, [twice, runs, same, blocks, kinds, windows, again]
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -308,7 +314,7 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _range_lists(docs: DataFrame, span: int, gram: int, block: int) -> DataFrame:
     """``_id, _key, _ranges, _longest``: a document's maximal repeated byte ranges, in order, and the longest's bytes."""
-    ranges = repeated_ranges(docs, span, gram, block)
+    ranges, read = repeated_ranges(docs, span, gram, block)
     lists = ranges.groupBy("_id", "_key").agg(F.collect_set(F.struct("begin", "end")).alias("_ranges"))
 
     def make(part: pa.RecordBatch) -> dict[str, list]:
@@ -321,7 +327,9 @@ def _range_lists(docs: DataFrame, span: int, gram: int, block: int) -> DataFrame
         }
 
     fields = "_id long, _key long, _ranges array<struct<begin: int, end: int>>, _longest int"
-    return staged(arrow_map(lists, make, fields), "range-lists")
+    lists = staged(arrow_map(lists, make, fields), "range-lists")
+    discard(*read)
+    return lists
 
 
 def _with_ranges(docs: DataFrame, lists: DataFrame) -> DataFrame:
