@@ -254,8 +254,9 @@ def repeated_ranges(
     twice = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("gram")
     # Written first, so that the join below has plain exchanges on both sides, which can be split at hot grams.
     twice = staged(twice, "shared-grams")
-    among = bitmap(twice.select(F.col("gram").alias("hash")), MOST_LONGS)
-    runs = staged(every.filter(among(F.col("gram"))).join(twice, "gram", "left_semi"), "shared-runs")
+    # Grams are the least of their windows, so their bits are uneven: hashed once more.
+    among = bitmap(twice.select(F.xxhash64("gram").alias("hash")), MOST_LONGS)
+    runs = staged(every.filter(among(F.xxhash64("gram"))).join(twice, "gram", "left_semi"), "shared-runs")
     discard(every)
     same = runs.groupBy("gram", "u1", "u2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_key", "lo", "hi", "at")).alias("one")
