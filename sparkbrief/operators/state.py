@@ -33,7 +33,7 @@ def _fields(updates: DataFrame) -> list[str]:
 
 
 def _parts(growing: list[str]) -> Column:
-    """What an update adds, as (kind, key, at, value): agents by name, outputs by agent, errors by place."""
+    """What an update adds, as (kind, key, at, value): agents by name, outputs by agent, errors without a key."""
     kinds = []
     if "completed_agents" in growing:
         agents = F.coalesce("completed_agents", F.array().cast("array<string>"))
@@ -63,8 +63,7 @@ def _parts(growing: list[str]) -> Column:
             F.transform(
                 errors,
                 lambda e, i: F.struct(
-                    F.lit("error").alias("kind"),
-                    F.concat_ws(":", F.col("step").cast("string"), i.cast("string")).alias("key"),
+                    F.lit("error").alias("kind"), F.lit(None).cast("string").alias("key"),
                     F.struct("step", i.alias("place")).alias("at"), e.alias("value"),
                 ),
             )
@@ -72,29 +71,83 @@ def _parts(growing: list[str]) -> Column:
     return F.concat(*kinds)
 
 
-def _grown(parts: DataFrame, by: list[str], growing: list[str]) -> DataFrame:
-    """Lists and maps per ``by`` from rows (by, kind, key, first, last, value); one row a key."""
+_GROUP = ["thread_id", "kind", "key", "error"]
 
-    def listed(kind: str, value: Column, at: str) -> Column:
-        rows = F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col(at).alias("at"), value.alias("v"))))
-        return F.transform(F.array_sort(rows), lambda r: r["v"])
+
+def state_entries(updates: DataFrame, mode: str = "accumulate") -> DataFrame:
+    """What updates tell, an entry a row: ``thread_id, kind, key, error, at, value``.
+
+    Kinds: ``agent`` (a completion), ``output`` of an agent, ``error``, ``field`` (a field's new value as JSON), and
+    ``thread`` once an update. Only an error's own place and text go into ``error``, so that no two errors fall together
+    that are not equal in all of it; equal ones are counted by ``reduce_entries``.
+    """
+    fields = _fields(updates)
+    growing = [] if mode == "overwrite" else [c for c in fields if c in _GROWING]
+    at = F.struct("step", F.lit(0).alias("place")).alias("at")
+
+    def entry(kind: str, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), at, value.cast("string").alias("value"))
+
+    told = [entry("thread", F.lit(None), F.lit(None))]
+    for name in fields:
+        if name not in growing:
+            text = F.to_json(F.struct(F.col(name).alias("v")), {"ignoreNullFields": "false"})
+            told.append(F.when(F.col(name).isNotNull() & F.col("step").isNotNull(), entry("field", F.lit(name), text)))
+    every = F.filter(F.array(*told), lambda e: e.isNotNull())
+    if growing:
+        every = F.concat(every, _parts(growing))
+    rows = updates.select("thread_id", F.explode(every).alias("p")).select("thread_id", "p.*")
+    return rows.withColumn("error", F.when(F.col("kind") == "error", F.struct("at", "value")))
+
+
+def reduce_entries(entries: DataFrame) -> DataFrame:
+    """One row per thread, kind and key, an agent's or field's say, and per different error: ``first, last, n``.
+
+    Partial aggregates, in a stream kept as the state of each key: an update costs what it tells.
+    """
+    last = F.struct("at", "value")
+    return entries.groupBy(*_GROUP).agg(F.min("at").alias("first"), F.max(last).alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def merge_entries(reduced: DataFrame) -> DataFrame:
+    """The newest of several states of the same keys: as all told is kept, the widest."""
+    return reduced.groupBy(*_GROUP).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("n").alias("n"))
+
+
+def _lists(growing: list[str]) -> dict[str, Column]:
+    """Lists and maps of a thread from its reduced rows."""
+
+    def of(kind: str, *parts: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*parts))))
 
     made = {
-        "completed_agents": listed("agent", F.col("key"), "first"),
-        "agent_outputs": F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(F.col("kind") == "output", F.struct("key", "value"))))
+        "completed_agents": F.transform(of("agent", F.col("first"), F.col("key")), lambda r: r["key"]),
+        "agent_outputs": F.map_from_entries(of("output", F.col("key"), F.col("last.value").alias("value"))),
+        "errors": F.flatten(
+            F.transform(of("error", F.col("error"), F.col("n")), lambda r: F.array_repeat(r["error"]["value"], r["n"].cast("int")))
         ),
-        "errors": listed("error", F.col("value"), "first"),
     }
-    return parts.groupBy(*by).agg(*[made[c].alias(c) for c in growing])
+    return {c: made[c] for c in growing}
+
+
+def assembled_state(reduced: DataFrame, types: dict[str, str], mode: str = "accumulate") -> DataFrame:
+    """A row per thread from reduced entries; ``types`` names the fields, in order, with their SQL types."""
+    growing = [] if mode == "overwrite" else [c for c in types if c in _GROWING]
+
+    def value(name: str) -> Column:
+        text = F.max(F.when((F.col("kind") == "field") & (F.col("key") == name), F.col("last.value")))
+        return F.from_json(text, f"v {types[name]}")["v"]
+
+    lists = _lists(growing)
+    return reduced.groupBy("thread_id").agg(*[(lists[c] if c in growing else value(c)).alias(c) for c in types])
 
 
 def thread_state(updates: DataFrame, mode: str = "accumulate") -> DataFrame:
     """Final state per thread from ``thread_id, step`` and any state fields.
 
     ``overwrite``: each field keeps its latest non-null value. ``accumulate``: agents are listed by
-    the step that first completed them, an agent's latest output counts, and errors are listed in
-    order. Every update is merged; a step limit ends the routing, not what was told. Agents and outputs are reduced
+    the step that first completed them, an agent's latest output counts, and all errors are listed in
+    order, those of equal or null steps by their place and text. Every update is merged; a step limit ends the routing, not what was told. Agents and outputs are reduced
     per (thread, agent) before a thread's row is made, so a thread costs what its result holds.
     """
     fields = _fields(updates)
@@ -104,11 +157,9 @@ def thread_state(updates: DataFrame, mode: str = "accumulate") -> DataFrame:
     ]
     held = updates.groupBy("thread_id").agg(F.count(F.lit(1)).alias("_updates"), *latest)
     if growing:
-        told = updates.select("thread_id", F.explode(_parts(growing)).alias("p")).select("thread_id", "p.*")
-        reduced = told.groupBy("thread_id", "kind", "key").agg(
-            F.min("at").alias("first"), F.max_by("value", "at").alias("value")
-        )
-        grown = _grown(reduced, ["thread_id"], growing).withColumnRenamed("thread_id", "_thread")
+        told = state_entries(updates.select("thread_id", "step", *growing))
+        grown = reduce_entries(told).groupBy("thread_id").agg(*[c.alias(n) for n, c in _lists(growing).items()])
+        grown = grown.withColumnRenamed("thread_id", "_thread")
         held = held.join(grown, F.col("thread_id").eqNullSafe(F.col("_thread")), "left").withColumns(
             {c: F.coalesce(c, _none(c)) for c in growing}
         )

@@ -1,10 +1,14 @@
 """The streaming forms, run over the given tables as one arriving file.
 
-What the watermark has not passed yet is not told, and the SQL leaves it out too.
+A finished stream is drained by one more row, far beyond all others in time, so that the watermark
+passes them all; what is told of that row itself is left out.
 """
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkbrief.plans.reliability import (
     _TIMELINE_SQL,
@@ -18,9 +22,8 @@ from sparkbrief.plans.threads import THREAD_STATE_ACCUMULATE_SQL, _flat, _worker
 from sparkbrief.plans.traces import _STATUS_SQL, LATEST_JOB_STATUS_SQL
 from sparkbrief.sources.tables import table
 from sparkbrief.staging import stage_path
-from sparkbrief.streaming.folds import breaker_stream, ttl_stream
+from sparkbrief.streaming.folds import breaker_stream, fan_in_stream, ttl_stream
 from sparkbrief.streaming.tables import (
-    fan_in_stream,
     job_status_table,
     rate_limit_stream,
     thread_state_table,
@@ -29,8 +32,6 @@ from sparkbrief.streaming.tables import (
     written,
 )
 
-# Milliseconds that the watermark stays behind the newest row.
-DELAY_MS = 60_000
 _DELAY = "60 seconds"
 
 
@@ -42,14 +43,26 @@ def _arriving(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows
 
 
-_PASSED_SQL = f"((SELECT max(epoch_us(ts)) FROM events) // 1000 - {DELAY_MS}) * 1000"
+#: Key and time of the row that drains a stream.
+_DRAIN, _FAR = -(2**62), datetime(9999, 1, 1, tzinfo=timezone.utc)
+
+
+def _drained(rows: DataFrame, key: str) -> DataFrame:
+    """A stream followed by the row that drains it; its ``key`` is ``_DRAIN``."""
+    spark = rows.sparkSession
+    last = {key: _DRAIN, "ts": _FAR}
+    kind = StructType([rows.schema[c] for c in (key, "ts")])
+    folder = stage_path(spark, "drain")
+    spark.createDataFrame([tuple(last[f.name] for f in kind)], kind).write.parquet(folder)
+    return rows.unionByName(spark.readStream.schema(kind).parquet(folder), allowMissingColumns=True)
 
 
 def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
     calls = _arriving(spark, sf, "events").select(
         F.col("user_id").alias("key"), "ts", "event_id", (F.col("event_type") != "error").alias("ok")
     )
-    line = written(breaker_stream(calls, RULE, _DELAY), "stream-breaker")
+    calls = _drained(calls, "event_id")
+    line = written(breaker_stream(calls, RULE, _DELAY), "stream-breaker").filter(F.col("event_id") != _DRAIN)
     return line.select(
         F.col("key").alias("user_id"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
         "ok", "admitted", "state", F.col("opened_at").cast("timestamp_ntz").alias("opened_at"),
@@ -59,7 +72,7 @@ def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
 STREAM_BREAKER_SQL = f"""
 WITH RECURSIVE {_TIMELINE_SQL}
 SELECT user_id, event_id, ts, ok, admitted, state, CASE WHEN state = 'open' THEN last END AS opened_at
-FROM line WHERE n > 0 AND epoch_us(ts) <= {_PASSED_SQL}
+FROM line WHERE n > 0
 """
 
 
@@ -68,21 +81,19 @@ def stream_ttl_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("query"),
         F.lit(5).alias("num_results"), "ts", F.col("event_id").alias("lookup_id"),
     )
-    seen = written(ttl_stream(lookups, TTL_SECONDS, _DELAY), "stream-ttl")
+    lookups = _drained(lookups, "lookup_id")
+    seen = written(ttl_stream(lookups, TTL_SECONDS, _DELAY), "stream-ttl").filter(F.col("lookup_id") != _DRAIN)
     return seen.select(
         F.col("lookup_id").alias("event_id"), "query", "hit",
         F.col("stored_at").cast("timestamp_ntz").alias("stored_at"),
     )
 
 
-STREAM_TTL_DEDUP_SQL = f"""
-SELECT d.* FROM ({TTL_DEDUP_SQL}) d JOIN events e USING (event_id) WHERE epoch_us(e.ts) <= {_PASSED_SQL}
-"""
-
-
 def stream_rate_windows(spark: SparkSession, sf: str) -> DataFrame:
     accesses = _arriving(spark, sf, "events").select(F.col("user_id").alias("client"), "ts")
+    accesses = _drained(accesses, "client")
     counted = written(rate_limit_stream(accesses, DAILY_LIMIT, "1 day", _DELAY), "stream-rates")
+    counted = counted.filter(~F.col("client").eqNullSafe(F.lit(_DRAIN)))
     return counted.select(
         F.col("client").alias("user_id"),
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
@@ -91,11 +102,6 @@ def stream_rate_windows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-STREAM_RATE_WINDOWS_SQL = f"""
-SELECT * FROM ({RATE_LIMIT_WINDOWS_SQL}) WHERE epoch_us(window_start + INTERVAL 1 DAY) <= {_PASSED_SQL}
-"""
-
-
 def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
     changes = _arriving(spark, sf, "events").select(
         F.col("user_id").alias("job_id"),
@@ -135,24 +141,25 @@ def stream_fan_in(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("event_id DIV 3").alias("request_id"), "ts", (F.col("event_id") % 3).cast("int").alias("pos"),
         F.lit(3).alias("expected"), F.col("event_type").alias("result"),
     )
-    come = written(fan_in_stream(results, "1 hour", _DELAY), "stream-fan-in")
+    results = _drained(results, "request_id")
+    come = written(fan_in_stream(results, 3600, _DELAY), "stream-fan-in").filter(F.col("request_id") != _DRAIN)
     return come.select("request_id", F.concat_ws(",", "results").alias("results"), "complete")
 
 
-STREAM_FAN_IN_SQL = f"""
+STREAM_FAN_IN_SQL = """
 WITH results AS (
   SELECT event_id // 3 AS request_id, event_id, ts, event_type,
     coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_id // 3 ORDER BY ts)) >= 3600000000, true) AS starts
   FROM events),
 sessions AS (SELECT *, sum(starts::INT) OVER (PARTITION BY request_id ORDER BY ts) AS nth FROM results)
 SELECT request_id, string_agg(event_type, ',' ORDER BY event_id) AS results, count(*) = 3 AS complete
-FROM sessions GROUP BY request_id, nth HAVING max(epoch_us(ts)) + 3600000000 <= {_PASSED_SQL}
+FROM sessions GROUP BY request_id, nth
 """
 
 QUERIES = {
     "stream_breaker": (stream_breaker, STREAM_BREAKER_SQL),
-    "stream_ttl_dedup": (stream_ttl_dedup, STREAM_TTL_DEDUP_SQL),
-    "stream_rate_windows": (stream_rate_windows, STREAM_RATE_WINDOWS_SQL),
+    "stream_ttl_dedup": (stream_ttl_dedup, TTL_DEDUP_SQL),
+    "stream_rate_windows": (stream_rate_windows, RATE_LIMIT_WINDOWS_SQL),
     "stream_job_status": (stream_job_status, LATEST_JOB_STATUS_SQL),
     "stream_thread_state": (stream_thread_state, THREAD_STATE_ACCUMULATE_SQL),
     "stream_fan_in": (stream_fan_in, STREAM_FAN_IN_SQL),

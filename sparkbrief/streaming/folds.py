@@ -167,6 +167,108 @@ class _Cache(_InOrder):
         }
 
 
+class _Gather(StatefulProcessor):
+    """Results of one request: told as soon as all places have come, or when the wait is over."""
+
+    def __init__(self, gap_us: int):
+        self._gap_us = gap_us
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._come = handle.getMapState("come", "pos int", "result string")
+        # Of the open round: places expected, first and last time, whether it has been told, late results, its timer.
+        self._round = handle.getValueState("round", "expected int, first long, last long, told boolean, late int, timer long")
+
+    def _row(self, key, complete) -> dict:
+        come = sorted((k[0], v[0]) for k, v in self._come.iterator())
+        return {"request_id": key[0], "results": [r for _, r in come], "complete": complete, "late": 0}
+
+    def _close(self, key, held) -> list[dict]:
+        """What is left to tell at the end of a round, which is then forgotten."""
+        _, _, _, told, late, timer = held
+        out = []
+        if not told:
+            out.append(self._row(key, False))
+        elif late:
+            out.append({"request_id": key[0], "results": [], "complete": None, "late": late})
+        if timer is not None:
+            self._handle.deleteTimer(timer)
+        self._come.clear()
+        self._round.clear()
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        out: list[dict] = []
+        arrived = []
+        for batch in rows:
+            arrived += zip(*[batch[c].tolist() for c in ("us", "pos", "result", "expected")], strict=True)
+        held = self._round.get()
+        held = None if held is None else tuple(held)
+        for us, pos, result, expected in sorted(arrived, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or "")):
+            if held is not None and us - held[2] >= self._gap_us:
+                out += self._close(key, held)
+                held = None
+            if held is None:
+                held = (None, us, us, False, 0, None)
+            known, first, last, told, late, timer = held
+            if expected is not None and expected == expected:
+                known = int(expected) if known is None else max(known, int(expected))
+            place = (int(pos),)
+            before = self._come.getValue(place) if self._come.containsKey(place) else None
+            if told:
+                late += before is None or before[0] != result
+            elif before is None or (result is None or (before[0] is not None and result < before[0])):
+                self._come.updateValue(place, (result,))
+            held = (known, min(first, us), max(last, us), told, late, timer)
+            if not told and known is not None and sum(1 for _ in self._come.keys()) >= known:
+                out.append(self._row(key, True))
+                held = (*held[:3], True, *held[4:])
+        if held is not None:
+            due = (held[2] + self._gap_us + 999) // 1000
+            if held[5] != due:
+                if held[5] is not None:
+                    self._handle.deleteTimer(held[5])
+                self._handle.registerTimer(due)
+            self._round.update((*held[:5], due))
+        if out:
+            yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self._round.get()
+        if held is not None:
+            out = self._close(key, (*tuple(held)[:5], None))
+            if out:
+                yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def fan_in_stream(results: DataFrame, gap_seconds: float = 600, delay: str = "1 minute") -> DataFrame:
+    """Results of each request gathered in ``pos`` order: ``request_id, results, complete, late``.
+
+    ``results`` has ``request_id, ts, pos, expected, result``. Results of a request belong together while each follows
+    the last within the gap. They are told, ``complete``, in the micro-batch that brings the last expected place; if
+    one never comes, those that did are told once the watermark has passed the gap, not ``complete``. A null result is a
+    failed search: it has arrived, and keeps its place. A replayed result counts once, and of different results for
+    one place the least counts, null first. Results that differ from what has been told, or have a new place, are late:
+    at the end of the gap a row with no results and a null ``complete`` has their count. Without an expected number
+    a request waits for the gap. A row older than its request's open round joins it. A request's state is at most its places.
+    """
+    kind = results.schema["request_id"].dataType.simpleString()
+    return (
+        results.withWatermark("ts", delay)
+        .select("request_id", "ts", F.unix_micros("ts").alias("us"), "pos", F.col("result").cast("string"), "expected")
+        .groupBy("request_id")
+        .transformWithStateInPandas(
+            statefulProcessor=_Gather(round(gap_seconds * 1_000_000)),
+            outputStructType=f"request_id {kind}, results array<string>, complete boolean, late int",
+            outputMode="append",
+            timeMode="eventTime",
+        )
+    )
+
+
 def ttl_stream(lookups: DataFrame, ttl_seconds: float = CACHE_SECONDS, delay: str = "1 minute") -> DataFrame:
     """Streaming form of ``ttl_lookups`` (``query, num_results, ts, lookup_id``)."""
     told = (

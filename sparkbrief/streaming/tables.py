@@ -1,5 +1,8 @@
 """Streams into tables: rate-limit windows, gathered results, latest job status, thread state."""
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,12 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkbrief.operators.jobs import latest_status
 from sparkbrief.operators.limits import LIMIT, WINDOW
-from sparkbrief.operators.state import thread_state
+from sparkbrief.operators.state import FIELDS, assembled_state, merge_entries, reduce_entries, state_entries
 from sparkbrief.staging import stage_path
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+Merge = Callable[[DataFrame], DataFrame]
+
 
 def rate_limit_stream(
     accesses: DataFrame, limit: int = LIMIT, window: str = WINDOW, delay: str = "1 minute"
@@ -31,47 +36,6 @@ def rate_limit_stream(
     )
 
 
-def fan_in_stream(results: DataFrame, gap: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
-    """Results of each request gathered in ``pos`` order: ``request_id, results, complete``.
-
-    ``results`` has ``request_id, ts, pos, expected, result``. Results of a request belong together
-    while each follows the last within ``gap``; they are told once the watermark has passed that
-    wait, and are ``complete`` if as many places arrived as expected. A null result is a failed
-    search: it has arrived, and keeps its place. A replayed result counts once, whatever its place.
-    """
-    gathered = (
-        results.withWatermark("ts", delay)
-        .groupBy("request_id", F.session_window("ts", gap).alias("w"))
-        .agg(
-            F.max("expected").alias("expected"),
-            F.collect_set(F.struct("pos", "result")).alias("come"),  # one entry per different result
-        )
-    )
-    places = F.array_distinct(F.transform("come", lambda r: r["pos"]))
-    # Of different results for one place the least counts, so order of arrival does not.
-    first = F.transform(
-        F.array_sort(places),
-        lambda p: F.array_min(F.transform(F.filter("come", lambda r: r["pos"] == p), lambda r: r["result"])),
-    )
-    return gathered.select(
-        "request_id", first.alias("results"), (F.size(places) >= F.col("expected")).alias("complete")
-    )
-
-
-def _append_batches(stream: DataFrame, path: str, checkpoint: str, prepare) -> StreamingQuery:
-    """Each micro-batch replaces its own folder, so a replayed batch writes the same rows once."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return (
-        stream.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-
-
 def upsert_job_status(changes: DataFrame, path: str, checkpoint: str, every: int = 16) -> StreamingQuery:
     """Keep the newest change of each job; ``job_status_table`` reads the result.
 
@@ -79,24 +43,33 @@ def upsert_job_status(changes: DataFrame, path: str, checkpoint: str, every: int
     the newest change of all jobs so far under ``bases``, so a reader meets one base and few deltas.
     A replayed batch writes the same folders again.
     """
-    spark = changes.sparkSession
+    return _keep_newest(changes, path, checkpoint, every, latest_status, latest_status)
+
+
+def _keep_newest(
+    stream: DataFrame, path: str, checkpoint: str, every: int, told: Merge, merge: Merge, mode: str = "append"
+) -> StreamingQuery:
+    """Write ``told`` of each micro-batch as a delta and, every ``every``-th time, ``merge`` of all so far as a base."""
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        latest_status(batch).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
+        told(batch).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
         if number % every == every - 1:
             # An earlier try of this batch may have left its base: only older ones are read.
-            whole = _jobs(spark, path, before=number)
+            whole = _newest(spark, path, merge, before=number)
             whole.write.mode("overwrite").parquet(f"{path}/bases/base={number}")
 
-    return (
-        changes.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    with _rocksdb(spark):
+        return (
+            stream.writeStream.option("checkpointLocation", checkpoint)
+            .outputMode(mode)
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
 
 
-def _jobs(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+def _newest(spark: SparkSession, path: str, merge: Merge, before: int | None = None) -> DataFrame:
     deltas = spark.read.parquet(f"{path}/deltas")
     newest = None
     try:
@@ -106,31 +79,61 @@ def _jobs(spark: SparkSession, path: str, before: int | None = None) -> DataFram
     except AnalysisException:
         pass  # no base has been written yet
     if newest is None:
-        return latest_status(deltas.drop("batch"))
+        return merge(deltas.drop("batch"))
     held = bases.filter(F.col("base") == newest).drop("base")
-    return latest_status(held.unionByName(deltas.filter(F.col("batch") > newest).drop("batch")))
+    return merge(held.unionByName(deltas.filter(F.col("batch") > newest).drop("batch")))
 
 
 def job_status_table(spark: SparkSession, path: str) -> DataFrame:
-    return _jobs(spark, path)
+    return _newest(spark, path, latest_status)
+
+
+def upsert_thread_state(
+    updates: DataFrame, path: str, checkpoint: str, mode: str = "accumulate", every: int = 16
+) -> StreamingQuery:
+    """Keep the state of each thread; ``thread_state_table`` reads it, ``mode`` is as in ``thread_state``.
+
+    The state store holds a value per thread and agent, per thread and field, and per error. An update changes
+    the values it tells of, and only these are written, as a delta of the micro-batch; every ``every``-th batch
+    also writes a base of all. So an update costs what it holds, however long its thread is, and a reader meets
+    what the threads hold and few deltas. A replayed batch writes the same folders again.
+    """
+    fields = {c: updates.schema[c].dataType.simpleString() for c in FIELDS if c in updates.columns}
+    told = reduce_entries(state_entries(updates, mode))
+    # What the reader needs to know of the fields: written before the first batch is, the same on every start.
+    spark = updates.sparkSession
+    about = [(place, name, kind, mode) for place, (name, kind) in enumerate(fields.items())]
+    spark.createDataFrame(about, "place int, name string, type string, mode string").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/fields"
+    )
+    return _keep_newest(told, path, checkpoint, every, lambda batch: batch, merge_entries, "update")
 
 
-def upsert_thread_state(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the partial updates of each thread; ``thread_state_table`` merges them."""
-    return _append_batches(updates, path, checkpoint, lambda batch: batch)
+def thread_state_table(spark: SparkSession, path: str) -> DataFrame:
+    about = sorted(spark.read.parquet(f"{path}/fields").collect())
+    held = _newest(spark, path, merge_entries)
+    return assembled_state(held, {r["name"]: r["type"] for r in about}, about[0]["mode"])
 
 
-def thread_state_table(spark: SparkSession, path: str, mode: str = "accumulate") -> DataFrame:
-    return thread_state(spark.read.parquet(path).drop("batch"), mode)
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's own setting is put back."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
 
 
 def written(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now, and read back the table it wrote."""
     spark = stream.sparkSession
     root = stage_path(spark, name)
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
+    with _rocksdb(spark):
         query = (
             stream.writeStream.format("parquet")
             .option("path", f"{root}/rows")
@@ -138,10 +141,5 @@ def written(stream: DataFrame, name: str) -> DataFrame:
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")

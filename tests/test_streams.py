@@ -10,9 +10,8 @@ from sparkbrief.operators.cache import ttl_lookups
 from sparkbrief.operators.jobs import latest_status
 from sparkbrief.operators.limits import window_counts
 from sparkbrief.operators.state import thread_state
-from sparkbrief.streaming.folds import breaker_stream, ttl_stream
+from sparkbrief.streaming.folds import breaker_stream, fan_in_stream, ttl_stream
 from sparkbrief.streaming.tables import (
-    fan_in_stream,
     job_status_table,
     rate_limit_stream,
     thread_state_table,
@@ -165,18 +164,84 @@ def test_idle_keys_leave_the_state_and_come_back(spark, arriving):
     assert same_rows(told.filter("key <> 'end'"), breaker_timeline(spark.createDataFrame(calls, schema), rule)) == 6
 
 
-def test_thread_state_upsert(spark, arriving, tmp_path):
-    schema = "thread_id string, step long, completed_agents array<string>, errors array<string>, next_agent string"
-    rows = [
-        ("t", 0, ["research"], ["e"], "finance"), ("t", 1, ["finance"], None, None),
-        ("u", 0, ["finance"], None, "research"), ("t", 2, ["research"], ["f"], None),
-    ]
-    stream = arriving([rows[:2], rows[2:]], schema)
+THREADS = (
+    "thread_id string, step long, user_input string, completed_agents array<string>, agent_outputs map<string,string>, "
+    "errors array<string>, step_count int, next_agent string"
+)
+
+
+def thread_updates(rng, count):
+    """Updates of three threads, a null one among them, with equal and null steps."""
+    agents = ["research", "finance", "document"]
+    rows = []
+    for i in range(count):
+        step = None if rng.random() < 0.1 else i // 2
+        rows.append(
+            (
+                rng.choice(["t", "u", None]), step, f"q{i}" if rng.random() < 0.2 else None,
+                rng.sample(agents, rng.randint(0, 2)) or None, {rng.choice(agents): f"o{i}"} if rng.random() < 0.5 else None,
+                [f"e{rng.randint(0, 3)}" for _ in range(rng.randint(0, 2))] or None, i, rng.choice([None, "finance"]),
+            )
+        )
+    return rows
+
+
+@pytest.mark.parametrize("mode", ["overwrite", "accumulate"])
+def test_thread_state_upsert(spark, arriving, tmp_path, mode):
+    """Six micro-batches, bases among them; started again, nothing changes."""
+    # One update of a thread and step: which of two is newer is told for errors alone.
+    rows = list({(r[0], r[1]): r for r in thread_updates(random.Random(4), 60)}.values())
+    stream = arriving(in_batches(rows, 6, random.Random(2)), THREADS)
+    path = str(tmp_path / "threads")
+    for _ in range(2):
+        upsert_thread_state(stream, path, str(tmp_path / "checkpoint"), mode, every=2).awaitTermination()
+        expect = thread_state(spark.createDataFrame(rows, THREADS), mode)
+        assert same_rows(thread_state_table(spark, path), expect) == 3
+
+
+def test_thread_state_upsert_keeps_errors_of_one_step(spark, arriving, tmp_path):
+    schema = "thread_id string, step long, errors array<string>"
+    rows = [("t", 1, ["e1"]), ("t", 1, ["e2"]), ("t", None, ["x"]), ("t", None, ["y"]), ("t", None, ["x"]), ("u", 3, None)]
+    stream = arriving([rows[:1], rows[1:4], rows[4:]], schema)
     path = str(tmp_path / "threads")
     upsert_thread_state(stream, path, str(tmp_path / "checkpoint")).awaitTermination()
-    for mode in ("overwrite", "accumulate"):
-        expect = thread_state(spark.createDataFrame(rows, schema), mode)
-        assert same_rows(thread_state_table(spark, path, mode), expect) == 2
+    told = {r.thread_id: r.errors for r in thread_state_table(spark, path).collect()}
+    assert told == {"t": ["x", "x", "y", "e1", "e2"], "u": []}
+    assert same_rows(thread_state_table(spark, path), thread_state(spark.createDataFrame(rows, schema))) == 2
+
+
+def test_an_update_writes_only_what_it_tells(spark, arriving, tmp_path):
+    """A long thread's later batches write rows for what changes, not for what the thread holds."""
+    schema = "thread_id string, step long, errors array<string>"
+    rows = [("t", i, [f"e{i}"]) for i in range(300)]
+    path = str(tmp_path / "threads")
+    upsert_thread_state(arriving([rows[:298], rows[298:]], schema), path, str(tmp_path / "checkpoint")).awaitTermination()
+    written_rows = {r.batch: r["count"] for r in spark.read.parquet(f"{path}/deltas").groupBy("batch").count().collect()}
+    assert written_rows == {0: 299, 1: 3}  # errors, and the thread's own row
+    assert len(thread_state_table(spark, path).first().errors) == 300
+
+
+def test_fan_in_tells_at_completeness(spark, arriving):
+    """A whole request is told in the batch of its last place, with no watermark; late results are counted."""
+    schema = "request_id string, ts timestamp, pos int, expected int, result string"
+
+    def row(request, seconds, pos, expected, result):
+        return (request, T0 + timedelta(seconds=seconds), pos, expected, result)
+
+    batches = [
+        [row("a", 0, 1, 2, "y"), row("b", 0, 0, 2, "p"), row("n", 0, 0, None, "alone")],
+        [row("a", 5, 0, 2, "x")],
+        [row("a", 6, 0, 2, "x"), row("a", 7, 1, 2, "other"), row("a", 8, 2, 2, "more"), row("a", 5_000, 0, 2, "again")],
+    ]
+    told = written(fan_in_stream(arriving(batches, schema), 600), "t")
+    first = told.select("request_id", "results", "complete", "late").collect()
+    # The last batch moved the watermark beyond b's wait, and a's first round had ended before its fourth row.
+    assert sorted(map(repr, map(tuple, first))) == sorted(
+        map(repr, [("a", ["x", "y"], True, 0), ("a", [], None, 2), ("b", ["p"], False, 0), ("n", ["alone"], False, 0)])
+    )
+    drained = written(fan_in_stream(arriving([*batches, [("end", FAR, 0, 1, "z")]], schema), 600), "t")
+    got = [tuple(r) for r in drained.filter("request_id = 'a' and late = 0").orderBy("complete").collect()]
+    assert got == [("a", ["again"], False, 0), ("a", ["x", "y"], True, 0)]
 
 
 def test_late_rows_are_left_out(spark, arriving):
