@@ -44,7 +44,7 @@ def _arriving(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 #: Key and time of the row that drains a stream.
-_DRAIN, _FAR = -(2**62), datetime(9999, 1, 1, tzinfo=timezone.utc)
+_DRAIN, _FAR = -(2**62), datetime(2250, 1, 1, tzinfo=timezone.utc)
 
 
 def _drained(rows: DataFrame, key: str) -> DataFrame:

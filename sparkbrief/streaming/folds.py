@@ -10,7 +10,7 @@ state must.
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -21,6 +21,17 @@ from sparkbrief.operators.cache import CACHE_SECONDS, look_up
 FRAME_ROWS = 10_000
 
 
+def _named(*columns: str) -> Column:
+    """A key as JSON text, which is never null: pandas would read null among whole numbers as a fraction."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("named")
+
+
+def _names(stream: DataFrame, *columns: str) -> list[Column]:
+    """The key columns back from ``named``, with their types."""
+    kind = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in columns)
+    return [F.from_json("named", kind)[c].alias(c) for c in columns]
+
+
 class _InOrder(StatefulProcessor):
     """Holds rows until the watermark has passed them; subclasses fold one row at a time."""
 
@@ -116,28 +127,27 @@ class _Breaker(_InOrder):
         held, admitted = advance(held, us, ok, self._rule)
         opened = held[4] if held[0] == OPEN else -1
         return held, {
-            "key": key[0], "us": us, "event_id": event_id, "ok": ok,
+            "named": key[0], "us": us, "event_id": event_id, "ok": ok,
             "admitted": admitted, "state": held[0], "opened_us": opened,
         }
 
 
 def breaker_stream(calls: DataFrame, rule: BreakerRule = BreakerRule(), delay: str = "1 minute") -> DataFrame:
     """Streaming form of ``breaker_timeline`` (``key, ts, event_id, ok``)."""
-    key_type = calls.schema["key"].dataType.simpleString()
     told = (
         calls.withWatermark("ts", delay)
-        .select("key", "ts", F.unix_micros("ts").alias("us"), "event_id", "ok")
-        .groupBy("key")
+        .select(_named("key"), "ts", F.unix_micros("ts").alias("us"), "event_id", F.coalesce("ok", F.lit(False)).alias("ok"))
+        .groupBy("named")
         .transformWithStateInPandas(
             statefulProcessor=_Breaker(rule),
-            outputStructType=f"key {key_type}, us long, event_id long, ok boolean, "
+            outputStructType="named string, us long, event_id long, ok boolean, "
             "admitted boolean, state string, opened_us long",
             outputMode="append",
             timeMode="eventTime",
         )
     )
     return told.select(
-        "key",
+        *_names(calls, "key"),
         F.timestamp_micros("us").alias("ts"),
         "event_id",
         "ok",
@@ -162,7 +172,7 @@ class _Cache(_InOrder):
         us, lookup_id = row
         stored, hit = look_up(held[0], us, self._ttl_us)
         return (stored,), {
-            "query": key[0], "num_results": key[1], "us": us, "lookup_id": lookup_id,
+            "named": key[0], "us": us, "lookup_id": lookup_id,
             "hit": hit, "stored_us": stored,
         }
 
@@ -181,7 +191,7 @@ class _Gather(StatefulProcessor):
 
     def _row(self, key, complete) -> dict:
         come = sorted((k[0], v[0]) for k, v in self._come.iterator())
-        return {"request_id": key[0], "results": [r for _, r in come], "complete": complete, "late": 0}
+        return {"named": key[0], "results": [r for _, r in come], "complete": complete, "late": 0}
 
     def _close(self, key, held) -> list[dict]:
         """What is left to tell at the end of a round, which is then forgotten."""
@@ -190,7 +200,7 @@ class _Gather(StatefulProcessor):
         if not told:
             out.append(self._row(key, False))
         elif late:
-            out.append({"request_id": key[0], "results": [], "complete": None, "late": late})
+            out.append({"named": key[0], "results": [], "complete": None, "late": late})
         if timer is not None:
             self._handle.deleteTimer(timer)
         self._come.clear()
@@ -253,38 +263,40 @@ def fan_in_stream(results: DataFrame, gap_seconds: float = 600, delay: str = "1
     failed search: it has arrived, and keeps its place. A replayed result counts once, and of different results for
     one place the least counts, null first. Results that differ from what has been told, or have a new place, are late:
     at the end of the gap a row with no results and a null ``complete`` has their count. Without an expected number
-    a request waits for the gap. A row older than its request's open round joins it. A request's state is at most its places.
+    a request waits for the gap. A row older than its request's open round joins it, a null place is one like any other. A request's state is at most its places.
     """
-    kind = results.schema["request_id"].dataType.simpleString()
-    return (
+    told = (
         results.withWatermark("ts", delay)
-        .select("request_id", "ts", F.unix_micros("ts").alias("us"), "pos", F.col("result").cast("string"), "expected")
-        .groupBy("request_id")
+        .select(
+            _named("request_id"), "ts", F.unix_micros("ts").alias("us"), F.coalesce("pos", F.lit(-1)).alias("pos"),
+            F.col("result").cast("string").alias("result"), "expected",
+        )
+        .groupBy("named")
         .transformWithStateInPandas(
             statefulProcessor=_Gather(round(gap_seconds * 1_000_000)),
-            outputStructType=f"request_id {kind}, results array<string>, complete boolean, late int",
+            outputStructType="named string, results array<string>, complete boolean, late int",
             outputMode="append",
             timeMode="eventTime",
         )
     )
+    return told.select(*_names(results, "request_id"), "results", "complete", "late")
 
 
 def ttl_stream(lookups: DataFrame, ttl_seconds: float = CACHE_SECONDS, delay: str = "1 minute") -> DataFrame:
     """Streaming form of ``ttl_lookups`` (``query, num_results, ts, lookup_id``)."""
     told = (
         lookups.withWatermark("ts", delay)
-        .select("query", "num_results", "ts", F.unix_micros("ts").alias("us"), "lookup_id")
-        .groupBy("query", "num_results")
+        .select(_named("query", "num_results"), "ts", F.unix_micros("ts").alias("us"), "lookup_id")
+        .groupBy("named")
         .transformWithStateInPandas(
             statefulProcessor=_Cache(round(ttl_seconds * 1_000_000)),
-            outputStructType="query string, num_results int, us long, lookup_id long, hit boolean, stored_us long",
+            outputStructType="named string, us long, lookup_id long, hit boolean, stored_us long",
             outputMode="append",
             timeMode="eventTime",
         )
     )
     return told.select(
-        "query",
-        "num_results",
+        *_names(lookups, "query", "num_results"),
         F.timestamp_micros("us").alias("ts"),
         "lookup_id",
         "hit",

@@ -59,14 +59,13 @@ def _keep_newest(
             whole = _newest(spark, path, merge, before=number)
             whole.write.mode("overwrite").parquet(f"{path}/bases/base={number}")
 
-    with _rocksdb(spark):
-        return (
-            stream.writeStream.option("checkpointLocation", checkpoint)
-            .outputMode(mode)
-            .trigger(availableNow=True)
-            .foreachBatch(write)
-            .start()
-        )
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .outputMode(mode)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
 
 
 def _newest(spark: SparkSession, path: str, merge: Merge, before: int | None = None) -> DataFrame:
@@ -117,7 +116,7 @@ def thread_state_table(spark: SparkSession, path: str) -> DataFrame:
 
 @contextmanager
 def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB; the session's own setting is put back."""
+    """Streams that run inside keep their state in RocksDB; the session's own setting is put back."""
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
@@ -141,5 +140,5 @@ def written(stream: DataFrame, name: str) -> DataFrame:
             .trigger(availableNow=True)
             .start()
         )
-    query.awaitTermination()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")

@@ -67,6 +67,18 @@ def test_breaker_stream_equals_batch(spark, arriving):
     assert same_rows(told, expect) == 200
 
 
+def test_null_keys_are_keys_like_any_other(spark, arriving):
+    rows = [(None if i % 3 else i % 2, T0 + timedelta(seconds=7 * i), i, i % 5 == 0) for i in range(60)]
+    schema = "key long, ts timestamp, event_id long, ok boolean"
+    batches = in_batches(rows, 3, random.Random(1)) + [[(99, FAR, 999, True)]]
+    told = written(breaker_stream(arriving(batches, schema), BreakerRule(2, 30)), "t").filter("event_id <> 999")
+    assert same_rows(told, breaker_timeline(spark.createDataFrame(rows, schema), BreakerRule(2, 30))) == 60
+    schema = "request_id long, ts timestamp, pos int, expected int, result string"
+    rows = [(None, T0, 0, 2, "a"), (7, T0, 0, 1, "b"), (None, T0, None, 2, "c"), (8, T0, 0, None, "d")]
+    told = written(fan_in_stream(arriving([rows], schema), 600), "t")
+    assert sorted(map(repr, map(tuple, told.collect()))) == sorted(map(repr, [(None, ["c", "a"], True, 0), (7, ["b"], True, 0)]))
+
+
 def test_rows_across_batches_are_reordered(spark, arriving):
     """A row that comes a batch late, yet within the delay, is folded in its place."""
     schema = "key string, ts timestamp, event_id long, ok boolean"
