@@ -10,18 +10,15 @@ from pyspark.sql import functions as F
 from sparkbrief.functions.text import strip
 
 
-_MARK = "#end#"
-
-
 def json_value(content: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing else; null otherwise.
 
-    A parser by itself stops behind the first value and lets any text follow it. Read as a list
-    that a mark closes, the text must fill exactly the place before the mark.
+    A parser by itself stops behind the first value and lets any text follow it. Read as a list that the
+    text's own digest closes, which no text can hold, the text must fill exactly the place before it.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), content, F.lit(f',"{_MARK}"]')))
-    marked = F.try_variant_get(listed, "$[1]", "string") == _MARK
-    alone = marked & F.try_variant_get(listed, "$[2]", "variant").isNull() & ~content.contains(_MARK)
+    mark = F.sha2(content, 256)
+    listed = F.try_parse_json(F.concat(F.lit("["), content, F.lit(',"'), mark, F.lit('"]')))
+    alone = F.try_variant_get(listed, "$[1]", "string") == mark
     return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
 
 

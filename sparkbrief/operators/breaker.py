@@ -13,6 +13,9 @@ from sparkbrief.operators.chains import reached_from
 from sparkbrief.operators.ordered import HOT_ROWS, asof, cut_runs, scan_runs, split_hot
 
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
+# What an unsearched query and a result beyond the probes are told as.
+OPEN_ERROR = "CircuitBreaker OPEN"
+PROBES_ERROR = "breaker[%s] HALF_OPEN（試探中），已達上限"
 
 
 @dataclass(frozen=True)
@@ -244,7 +247,39 @@ def guard_searches(
     return met.select(
         *requests.columns,
         state.alias("state"),
-        F.when(state == OPEN, F.lit("CircuitBreaker OPEN")).alias("error"),
+        F.when(state == OPEN, F.lit(OPEN_ERROR)).alias("error"),
+    )
+
+
+def search_loop(
+    attempts: DataFrame, rule: BreakerRule = BreakerRule(), hot_rows: int = HOT_ROWS, run_rows: int | None = None
+) -> DataFrame:
+    """Searches that feed the breakers which guard them: each attempt with ``state, outcome, error``.
+
+    ``attempts`` has ``key, ts, event_id, ok, error``: what a search gives if it runs, and its own error if it
+    fails; a key's attempts follow each other by (ts, event_id). Whether one runs hangs on all before it, which is
+    the fold of ``breaker_timeline``: an open breaker refuses (``refused``, nothing is counted). Half open, a search
+    beyond the probes does run, but its outcome counts for nothing: a good result is thrown away (``lost``), a failure
+    keeps its error. Else it is ``found`` or ``failed`` and counted. ``state`` is the breaker's after it. Other columns stay.
+    """
+    line = breaker_timeline(attempts, rule, hot_rows, run_rows)
+    line = line.select(F.col("key").alias("_key"), F.col("event_id").alias("_event"), "admitted", F.col("state").alias("_after"))
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("event_id") == F.col("_event"))
+    good = F.coalesce("ok", F.lit(False))
+    outcome = (
+        F.when(~F.col("admitted") & (F.col("_after") == OPEN), "refused")
+        .when(~good, "failed")
+        .when(~F.col("admitted"), "lost")
+        .otherwise("found")
+    )
+    told = (
+        F.when(outcome == "refused", F.lit(OPEN_ERROR))
+        .when(outcome == "lost", F.format_string(PROBES_ERROR, F.coalesce(F.col("key").cast("string"), F.lit(""))))
+        .when(outcome == "failed", F.col("error"))
+    )
+    rest = [c for c in attempts.columns if c not in ("error", "state", "outcome")]
+    return attempts.join(line, same).select(
+        *rest, F.col("_after").alias("state"), outcome.alias("outcome"), told.alias("error")
     )
 
 

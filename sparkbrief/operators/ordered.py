@@ -36,6 +36,19 @@ def split_hot(
     )
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: each row's place, from 0, in ``order``, which must tell all rows apart.
+
+    Parts of a range partitioning are numbered by themselves; one row per part carries what lies before it.
+    """
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = staged(laid.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    parts = laid.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per part
+    parts = parts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_add"))
+    return laid.join(parts, "_part").withColumn(name, F.col("_at") + F.col("_add")).drop("_part", "_at", "_add")
+
+
 def cut_runs(df: DataFrame, keys: list[str], order: list[str], rows: int, run_rows: int) -> DataFrame:
     """Rows in (key, order) cut into runs of about ``run_rows``; the run number is stored with them."""
     runs = max(1, math.ceil(rows / run_rows))

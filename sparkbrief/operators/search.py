@@ -7,8 +7,11 @@ then bring in no documents of their own. They still count for the documents
 that the rarer words bring in.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from sparkbrief.functions import tokens
 from sparkbrief.staging import staged
@@ -20,6 +23,8 @@ B = 0.75
 # Word weights are whole millionths, so that a sum does not depend on its order.
 WEIGHT_UNIT = 1_000_000
 
+Reader = Callable[[DataFrame], tuple[DataFrame, DataFrame | None, int, int]]
+
 
 def _postings(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, length, tid, tf) for the words asked for; counted in the scan's tasks before any shuffle."""
@@ -32,8 +37,8 @@ def _postings(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def _saturation(average: float) -> Column:
-    tf, length = F.col("tf").cast("double"), F.col("length").cast("double")
+def _saturation(average: float, tf: str = "tf", length: str = "length") -> Column:
+    tf, length = F.col(tf).cast("double"), F.col(length).cast("double")
     return tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length / F.lit(average)))
 
 
@@ -52,6 +57,23 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int = HITS_PER_QUERY)
 
     ``corpus`` has ``doc_id`` and ``body``. Equal scores are ordered by doc_id.
     """
+
+    def read(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+        postings = staged(_postings(corpus, vocabulary), "postings")
+        length = F.coalesce(F.size(tokens(F.col("body"))), F.lit(0))
+        counted = corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("words")).first()
+        return postings, None, counted["n"], counted["words"]
+
+    return ranked_hits(queries, read, corpus.schema["doc_id"].dataType, k)
+
+
+def ranked_hits(queries: DataFrame, read: Reader, id_type: DataType, k: int = HITS_PER_QUERY) -> DataFrame:
+    """``search_topk`` over the postings that ``read`` gives for a vocabulary (``term, tid``).
+
+    It gives postings (``doc_id, length, tid, tf``), the same in blocks (``tid, most_tf, least_length, rows``) or None,
+    and the counts of documents and of words of the corpus. With blocks, a word brings in no documents of a
+    block that could not reach the last hit even with all other words of the query at their bounds.
+    """
     asked = staged(
         queries.select("query").distinct().withColumn("qid", F.monotonically_increasing_id()),
         "queries",
@@ -62,15 +84,13 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int = HITS_PER_QUERY)
     )
     numbered = spoken.select("term").distinct().withColumn("tid", F.monotonically_increasing_id())
     vocabulary = staged(numbered, "vocabulary")
-    postings = staged(_postings(corpus, vocabulary), "postings")
-    length = F.coalesce(F.size(tokens(F.col("body"))), F.lit(0))
-    counted = corpus.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("words")).first()
-    if not counted["words"]:
-        nothing = F.lit(None).cast(corpus.schema["doc_id"].dataType)
+    postings, blocks, documents, words = read(vocabulary)
+    if not words:
+        nothing = F.lit(None).cast(id_type)
         return asked.select(
             "query", F.lit(1).alias("rank"), nothing.alias("doc_id"), F.lit(0).cast("long").alias("score")
         ).filter(F.lit(False))
-    documents, average = counted["n"], counted["words"] / counted["n"]
+    average = words / documents
     by_document = postings.select("doc_id", "tid", _saturation(average).alias("part"))
 
     frequency = by_document.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
@@ -96,7 +116,7 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int = HITS_PER_QUERY)
             .agg((F.first("start") + F.coalesce(F.sum(_weight(documents, F.col("part"))), F.lit(0))).alias("score"))
         )
 
-    word = F.struct("tid", "df")
+    word = F.struct("tid", "df", "bound")
     every = weighed.groupBy("qid").agg(F.collect_list(word).alias("words"))
     seeds = weighed.select("qid", F.explode("head").alias("doc_id")).distinct()
     seeds = seeds.join(every, "qid").withColumn("start", F.lit(0).cast("long"))
@@ -124,11 +144,20 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int = HITS_PER_QUERY)
         ),
         "split-words",
     )
-    leading = split.select("qid", "reach", "rest", F.explode("leading").alias("w"))
+    most = F.aggregate("leading", F.col("rest"), lambda a, w: a + w["bound"]).alias("most")
+    leading = split.select("qid", "reach", "rest", most, F.explode("leading").alias("w"))
+    leading = leading.select("qid", "reach", "rest", "most", "w.tid", "w.df", "w.bound")
+    if blocks is None:
+        met = leading.join(by_document, "tid")
+    else:
+        # A document that is dropped here for one word falls short as a whole, whatever its other words add.
+        highest = _weight(documents, _saturation(average, "most_tf", "least_length"))
+        worth = leading.join(blocks, "tid").filter(F.col("most") - F.col("bound") + highest >= F.col("reach"))
+        met = worth.select("qid", "reach", "rest", "tid", "df", F.inline("rows"))
+        met = met.withColumn("part", _saturation(average))
     # Nor can a document whose leading words fall short even with all the others at their bounds.
     candidates = (
-        leading.select("qid", "reach", "rest", "w.tid", "w.df")
-        .join(by_document, "tid")
+        met
         .groupBy("qid", "doc_id", "reach", "rest")
         .agg(F.sum(_weight(documents, F.col("part"))).alias("start"))
         .filter(F.col("start") + F.col("rest") >= F.col("reach"))

@@ -1,15 +1,16 @@
 """Searches behind breakers: what the breakers let through, searched and gathered."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkbrief.functions import breaker_key
-from sparkbrief.operators.breaker import OPEN, breaker_timeline, guard_searches
+from sparkbrief.operators.breaker import OPEN, breaker_timeline, guard_searches, search_loop
+from sparkbrief.operators.ordered import numbered
 from sparkbrief.operators.requests import expand
 from sparkbrief.operators.research import failed, gather
 from sparkbrief.operators.search import search_topk
 from sparkbrief.plans.reliability import _LINE_SQL, _READ_SQL, REPORT_AT, RULE
-from sparkbrief.plans.search import _HITS_SQL, _requests
+from sparkbrief.plans.search import _EXPANDED_SQL, _HITS_SQL, _requests
 from sparkbrief.sources.tables import corpus, spread, table
 from sparkbrief.staging import staged
 
@@ -27,9 +28,7 @@ def _subqueries(spark: SparkSession, sf: str) -> DataFrame:
 
 def _past_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Every event is a past search of some subquery: the breakers' keys are dealt out over the events."""
-    # A row per key of the benchmark; numbered on one task.
-    keys = _subqueries(spark, sf).select("key").distinct().withColumn("nth", F.row_number().over(Window.orderBy("key")) - 1)
-    keys = staged(keys, "keys")
+    keys = staged(numbered(_subqueries(spark, sf).select("key").distinct(), ["key"], "nth"), "keys")
     count = max(1, keys.count())
     return (
         table(spark, sf, "events")
@@ -99,4 +98,30 @@ SELECT item_id, CAST(count(*) AS INTEGER) AS subqueries, count(*) FILTER (WHERE
 FROM met LEFT JOIN found USING (item_id) GROUP BY item_id
 """
 
-QUERIES = {"guarded_search": (guarded_search, GUARDED_SEARCH_SQL)}
+def guarded_loop(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a search behind its breaker, which it feeds; keys with many are cut into runs."""
+    attempts = _past_calls(spark, sf).withColumn("error", F.concat(F.lit("search failed: "), F.col("event_id").cast("string")))
+    return search_loop(staged(attempts, "attempts"), RULE, hot_rows=400, run_rows=2_000).select(
+        "event_id", "key", "state", "outcome", "error"
+    )
+
+
+GUARDED_LOOP_SQL = f"""
+WITH RECURSIVE {_EXPANDED_SQL},
+keyed AS (SELECT DISTINCT 'ddg_search:' || substring(query, 1, 20) AS key FROM expanded),
+numbered AS (
+  SELECT key AS user_id, event_id, ts, event_type <> 'error' AS ok,
+    row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n
+  FROM events JOIN (SELECT key, row_number() OVER (ORDER BY encode(key)) - 1 AS nth FROM keyed)
+    ON event_id % (SELECT count(*) FROM keyed) = nth),
+{_LINE_SQL},
+told AS (
+  SELECT event_id, user_id AS key, state, CASE WHEN NOT admitted AND state = 'open' THEN 'refused' WHEN NOT ok THEN 'failed'
+    WHEN NOT admitted THEN 'lost' ELSE 'found' END AS outcome
+  FROM line WHERE n > 0)
+SELECT *, CASE outcome WHEN 'refused' THEN 'CircuitBreaker OPEN' WHEN 'failed' THEN 'search failed: ' || event_id
+  WHEN 'lost' THEN 'breaker[' || key || '] HALF_OPEN（試探中），已達上限' END AS error
+FROM told
+"""
+
+QUERIES = {"guarded_loop": (guarded_loop, GUARDED_LOOP_SQL), "guarded_search": (guarded_search, GUARDED_SEARCH_SQL)}

@@ -7,8 +7,9 @@ from sparkbrief.functions import strip
 from sparkbrief.operators.requests import expand
 from sparkbrief.operators.research import research_report
 from sparkbrief.operators.search import search_topk
+from sparkbrief.operators.search_index import extend_index, search_index
 from sparkbrief.sources.tables import corpus, spread, table
-from sparkbrief.staging import staged
+from sparkbrief.staging import stage_path, staged
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,6 +57,17 @@ def search_topk_query(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(hits, "query").select("item_id", "pos", "rank", "doc_id", "score")
 
 
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search over a stored index, which the documents enter in two deltas."""
+    asked = expand(_requests(spark, sf)).select("item_id", "pos", "query")
+    documents = corpus(spread(table(spark, sf, "documents")))
+    path = stage_path(spark, "index")
+    for half in (0, 1):
+        extend_index(documents.filter(F.pmod("doc_id", F.lit(2)) == half), path)
+    hits = search_index(spark, asked, path)
+    return asked.join(hits, "query").select("item_id", "pos", "rank", "doc_id", "score")
+
+
 _HITS_SQL = rf"""
 {_EXPANDED_SQL},
 doc_words AS (
@@ -164,5 +176,6 @@ FROM listed LEFT JOIN gathered USING (item_id) LEFT JOIN flat USING (item_id)
 QUERIES = {
     "subquery_expansion": (subquery_expansion, SUBQUERY_EXPANSION_SQL),
     "search_topk": (search_topk_query, SEARCH_TOPK_SQL),
+    "search_indexed": (search_indexed, SEARCH_TOPK_SQL),
     "search_report": (search_report, SEARCH_REPORT_SQL),
 }

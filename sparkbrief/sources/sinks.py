@@ -54,7 +54,8 @@ def write_thread_states(states: DataFrame, path: str, buckets: int = 64) -> None
     if _exists(spark, path):
         held = spark.read.parquet(path)
         touched = held.join(placed.select("bucket").distinct(), "bucket", "left_semi")
-        merged = placed.unionByName(touched.join(placed, "thread_id", "left_anti"), allowMissingColumns=True)
+        same = touched["thread_id"].eqNullSafe(placed["thread_id"])  # a null id is one like any other
+        merged = placed.unionByName(touched.join(placed, same, "left_anti"), allowMissingColumns=True)
         merged = staged(merged, "merged-states")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
@@ -66,10 +67,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def read_thread_state(spark, path: str, thread_id: str, buckets: int = 64) -> DataFrame:
-    bucket = F.pmod(F.xxhash64(F.lit(thread_id)), F.lit(buckets)).cast("int")
+def read_thread_state(spark, path: str, thread_id: str | None, buckets: int = 64) -> DataFrame:
+    bucket = F.pmod(F.xxhash64(F.lit(thread_id).cast("string")), F.lit(buckets)).cast("int")
     states = spark.read.parquet(path)
-    return states.filter((F.col("bucket") == bucket) & (F.col("thread_id") == thread_id)).drop("bucket")
+    return states.filter((F.col("bucket") == bucket) & F.col("thread_id").eqNullSafe(F.lit(thread_id))).drop("bucket")
 
 
 def write_log_lines(logs: DataFrame, path: str, mode: str = "append") -> None:

@@ -10,6 +10,7 @@ from sparkbrief.operators.breaker import (
     advance,
     breaker_timeline,
     guard_searches,
+    search_loop,
     status_report,
 )
 
@@ -162,3 +163,67 @@ def test_status_report_and_guard(spark):
         "r3": ("closed", None),
         "r4": ("closed", None),
     }
+
+
+class _Guard:
+    """One breaker as a service would hold it: a search asks it, runs, and reports."""
+
+    def __init__(self, rule):
+        self.rule, self.state, self.failures, self.successes, self.probes, self.last = rule, "closed", 0, 0, 0, 0.0
+
+    def read(self, now):
+        if self.state == "open" and now - self.last >= self.rule.recovery_seconds:
+            self.state, self.probes, self.successes = "half_open", 0, 0
+        return self.state
+
+    def report(self, now, ok):
+        """False if the outcome is not let in."""
+        if self.read(now) == "half_open":
+            if self.probes >= self.rule.half_open_max_calls:
+                return False
+            self.probes += 1
+        if ok and self.state == "half_open":
+            self.successes += 1
+            if self.successes >= self.rule.success_threshold:
+                self.state, self.failures, self.probes, self.successes = "closed", 0, 0, 0
+        elif ok:
+            self.failures = 0
+        else:
+            self.failures += 1
+            self.last = now
+            if self.state == "half_open" or self.failures >= self.rule.failure_threshold:
+                self.state, self.probes, self.successes = "open", 0, 0
+        return True
+
+    def search(self, key, now, ok, error):
+        if self.read(now) == "open":
+            return "refused", "CircuitBreaker OPEN"
+        if not ok:
+            self.report(now, False)
+            return "failed", error
+        if not self.report(now, True):
+            return "lost", f"breaker[{key}] HALF_OPEN（試探中），已達上限"
+        return "found", None
+
+
+@pytest.mark.parametrize("rule", [BreakerRule(2, 30, 3, 2), BreakerRule(3, 20, 1, 3), BreakerRule(1, 15, 2, 2)])
+@pytest.mark.parametrize("hot_rows", [5_000_000, 20])
+@pytest.mark.filterwarnings("ignore:too few probes")
+def test_search_loop_equals_one_breaker_at_a_time(spark, rule, hot_rows):
+    rng = random.Random(6)
+    rows, at = [], 0
+    for i in range(400):
+        at += rng.choice([0, 1, 5, 12])
+        ok = rng.choice([True, True, False, None])
+        rows.append((rng.choice(["k", "k", "k", "q", None]), T0 + timedelta(seconds=at), i, ok, None if ok else f"err {i}", f"x{i}"))
+    frame = spark.createDataFrame(rows, "key string, ts timestamp, event_id long, ok boolean, error string, state string")
+    guards, expect = {}, {}
+    for key, ts, i, ok, error, _ in rows:
+        guard = guards.setdefault(key, _Guard(rule))
+        told = guard.search(key or "", (ts - T0).total_seconds(), bool(ok), error)
+        expect[i] = (*told, guard.state)
+    found = {r.event_id: (r.outcome, r.error, r.state) for r in search_loop(frame, rule, hot_rows, 15).collect()}
+    assert found == expect
+    assert {"refused", "failed", "found"} <= {o for o, _, _ in expect.values()}
+    if rule.half_open_max_calls < rule.success_threshold:
+        assert "lost" in {o for o, _, _ in expect.values()}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkbrief.functions import json_object, round2
+from sparkbrief.functions.jsontext import json_field, json_value
 from sparkbrief.operators.breaker import BreakerRule, breaker_timeline, guard_searches
 from sparkbrief.operators.cache import serve_from_cache, ttl_lookups
 from sparkbrief.operators.infer import batch_infer
@@ -15,6 +16,7 @@ from sparkbrief.operators.logs import parse_lines
 from sparkbrief.operators.positions import numbers_json, params_from_text, position_levels, validated_params
 from sparkbrief.operators.requests import subqueries
 from sparkbrief.operators.responses import decision, document_output, finance_output
+from sparkbrief.operators.state import thread_state
 from sparkbrief.sources.sinks import read_thread_state, write_thread_states
 
 T0 = datetime(2024, 1, 1, tzinfo=UTC).replace(tzinfo=None)
@@ -169,3 +171,32 @@ def test_states_of_other_threads_stay(spark, tmp_path):
     write_thread_states(spark.createDataFrame([("b", "2"), ("d", "2")], schema), path, buckets=2)
     assert {r.thread_id: r.final_answer for r in spark.read.parquet(path).collect()} == {"a": "1", "b": "2", "c": "1", "d": "2"}
     assert read_thread_state(spark, path, "b", buckets=2).first().final_answer == "2"
+
+
+def test_null_thread_has_one_state(spark, tmp_path):
+    path = str(tmp_path / "states")
+    schema = "thread_id string, final_answer string"
+    write_thread_states(spark.createDataFrame([(None, "1"), ("a", "1")], schema), path, buckets=2)
+    write_thread_states(spark.createDataFrame([(None, "2")], schema), path, buckets=2)
+    assert sorted(map(str, (r.final_answer for r in spark.read.parquet(path).collect()))) == ["1", "2"]
+    assert read_thread_state(spark, path, None, buckets=2).first().final_answer == "2"
+
+
+def test_json_may_hold_any_text(spark):
+    """Nothing inside a value makes it bad; text behind a value still does."""
+    texts = [
+        '{"a":"#end#"}', '"#end#"', '{"a":1}', "[1,2]", " 7 ", '{"a":1},2', '{"a":1}],[2', '{"a":1} x', '1,"#end#"],[2', "", None,
+        "1,2", "]", '"]["',
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    good = {r.i for r in rows.filter(json_value(F.col("t")).isNotNull()).collect()}
+    assert good == {0, 1, 2, 3, 4, 13}
+    assert rows.filter("i = 0").select(json_field(json_object(F.col("t")), "a")).first()[0] == "#end#"
+
+
+def test_errors_of_one_step_all_count(spark):
+    schema = "thread_id string, step long, completed_agents array<string>, errors array<string>"
+    rows = [("t", 1, None, ["e1"]), ("t", 1, ["a"], ["e2"]), ("t", None, None, ["x"]), ("t", None, ["b"], ["x", "y"]), ("u", 0, None, None)]
+    states = {r.thread_id: r for r in thread_state(spark.createDataFrame(rows, schema)).collect()}
+    assert states["t"].errors == ["x", "x", "y", "e1", "e2"] and states["t"].completed_agents == ["b", "a"]
+    assert states["u"].errors == [] and states["u"].completed_agents == []
