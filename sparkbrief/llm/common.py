@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,9 +87,10 @@ def bitmap(hashes: DataFrame, most_longs: int) -> Callable[[Column], Column]:
     top = longs.bit_length() - 1
     bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
     place = F.shiftrightunsigned("hash", 64 - top).cast("int").alias("at")
-    rows = distinct.select(place, bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
-    held = {r["at"]: str(r["bits"]) for r in rows}
-    bits = F.split(F.lit(",".join(held.get(i, "0") for i in range(longs))), ",").cast("array<bigint>")
+    rows = distinct.select(place, bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    held = np.zeros(longs, np.int64)
+    held[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    bits = F.split(F.lit(",".join(map(str, held.tolist()))), ",").cast("array<bigint>")
 
     def among(code: Column) -> Column:
         return F.getbit(F.get(bits, F.shiftrightunsigned(code, 64 - top).cast("int")), code.bitwiseAND(63).cast("int")) == 1
