@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkbrief.staging import staged
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 4_000_000
 BATCH_ROWS = 1_000
@@ -96,3 +98,30 @@ def bitmap(hashes: DataFrame, most_longs: int) -> Callable[[Column], Column]:
         return F.getbit(F.get(bits, F.shiftrightunsigned(code, 64 - top).cast("int")), code.bitwiseAND(63).cast("int")) == 1
 
     return among
+
+
+def sieve(hashes: DataFrame, most_longs: int) -> Callable[..., DataFrame]:
+    """``rows(df, code)``: the rows of ``df`` whose 64-bit ``code`` may be among ``hashes(hash)``; all that are stay.
+
+    The same bits as ``bitmap``, as a table of at most ``most_longs`` longs (a power of two) that is broadcast, so
+    that they are in no plan's text, copies of which the driver keeps. ``rows(df, code, among=False)`` gives the others.
+    """
+    distinct = hashes.select("hash").distinct()
+    longs = 1 << 10
+    while longs < min(most_longs, distinct.count() * 8):
+        longs *= 2
+    top = longs.bit_length() - 1
+
+    def at(code: Column) -> Column:
+        return F.shiftrightunsigned(code, 64 - top).cast("int")
+
+    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
+    bits = distinct.select(at(F.col("hash")).alias("_at"), bit.alias("bit")).groupBy("_at").agg(F.bit_or("bit").alias("_bits"))
+    bits = staged(bits, "bits")
+
+    def rows(df: DataFrame, code: Column, among: bool = True) -> DataFrame:
+        marked = df.withColumn("_at", at(code)).join(F.broadcast(bits), "_at", "inner" if among else "left")
+        hit = F.coalesce(F.getbit("_bits", code.bitwiseAND(63).cast("int")) == 1, F.lit(False))
+        return marked.filter(hit if among else ~hit).drop("_at", "_bits")
+
+    return rows

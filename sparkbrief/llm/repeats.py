@@ -29,17 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbrief.llm.common import arrow_map, bitmap, doc_key
+from sparkbrief.llm.common import arrow_map, doc_key, sieve
 from sparkbrief.staging import discard, staged
 
 SPAN = 400
 GRAM = 128
 PASSAGE = 200  # bytes that passages of more than 50 words have, nearly always
-PASSAGE_GRAM = 32
+PASSAGE_GRAM = 64  # in proportion to the gram of the full length; shorter ones are shared by chance
 BLOCK = 16
-# Longs of the bitmaps of shared grams (1 MB) and of documents (128 KB); with more of them they only let more rows
-# through. They are literals of a plan, and the driver keeps texts of plans, so those that occur often are small.
-GRAM_LONGS, DOC_LONGS = 1 << 17, 1 << 14
+MOST_LONGS = 1 << 17  # of the broadcast bits of shared grams and of documents (1 MB); beyond it they let more rows through
 SEGMENT = 1 << 18  # bytes of text whose names a task holds at once; longer texts are cut with overlap
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _PLACE = 22  # bits for a place in a segment
@@ -166,8 +164,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     lists = wanted.groupBy("_id", "_key").agg(
         F.collect_list(F.struct("lo", "hi", "at", "gram", "open")).alias("runs")  # at most the document's runs
     )
-    among = bitmap(wanted.select(F.col("_key").alias("hash")), DOC_LONGS)
-    joined = docs.filter(among(F.col("_key"))).join(lists, ["_id", "_key"])
+    among = sieve(wanted.select(F.col("_key").alias("hash")), MOST_LONGS)
+    joined = among(docs, F.col("_key")).join(lists, ["_id", "_key"])
 
     def make(part: pa.RecordBatch) -> dict[str, list]:
         rows: list[tuple] = []
@@ -257,8 +255,8 @@ def repeated_ranges(
     # Written first, so that the join below has plain exchanges on both sides, which can be split at hot grams.
     twice = staged(twice, "shared-grams")
     # Grams are the least of their windows, so their bits are uneven: hashed once more.
-    among = bitmap(twice.select(F.xxhash64("gram").alias("hash")), GRAM_LONGS)
-    runs = staged(every.filter(among(F.xxhash64("gram"))).join(twice, "gram", "left_semi"), "shared-runs")
+    among = sieve(twice.select(F.xxhash64("gram").alias("hash")), MOST_LONGS)
+    runs = staged(among(every, F.xxhash64("gram")).join(twice, "gram", "left_semi"), "shared-runs")
     discard(every)
     same = runs.groupBy("gram", "u1", "u2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_key", "lo", "hi", "at")).alias("one")
@@ -337,10 +335,10 @@ def _range_lists(docs: DataFrame, span: int, gram: int, block: int) -> DataFrame
 
 def _with_ranges(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """``docs`` with ``_ranges``; only texts that may have some are shuffled."""
-    among = bitmap(lists.select(F.col("_key").alias("hash")), DOC_LONGS)(F.col("_key"))
-    joined = docs.filter(among).join(lists.drop("_longest"), ["_id", "_key"], "left")
+    among = sieve(lists.select(F.col("_key").alias("hash")), MOST_LONGS)
+    joined = among(docs, F.col("_key")).join(lists.drop("_longest"), ["_id", "_key"], "left")
     none = F.lit(None).cast(lists.schema["_ranges"].dataType)
-    return joined.unionByName(docs.filter(~among).withColumn("_ranges", none))
+    return joined.unionByName(among(docs, F.col("_key"), among=False).withColumn("_ranges", none))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -364,7 +362,7 @@ def repeated_spans(
     texts = rows.select("_id", "_key", "text")
     halves = _range_lists(texts, span // 2, half_gram, block)
     long = halves.filter(F.col("_longest") >= span).select(F.col("_key").alias("hash"))
-    lists = _range_lists(texts.filter(bitmap(long, DOC_LONGS)(F.col("_key"))), span, gram, block)
+    lists = _range_lists(sieve(long, MOST_LONGS)(texts, F.col("_key")), span, gram, block)
 
     def make(part: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
