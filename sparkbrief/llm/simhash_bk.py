@@ -43,7 +43,11 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     else:
         shifted = [tokens[i:] for i in range(words)]
         raw = b"".join([digest(b" ".join(z), SEED) for z in zip(*shifted, strict=False)])
-    parts = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8)
+    return fold_parts(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8))
+
+
+def fold_parts(parts: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, 8 bytes a row; 0 if there is none."""
     counts = np.bincount((parts + _PLACES).ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(parts)).tobytes(), "big")
 
@@ -253,7 +257,15 @@ def near_duplicates_removed(docs: DataFrame, radius: int = 3, words: int = 3) ->
     It is the row with the least ``doc_id`` (a null id comes last, equal ids go by a hash of the
     text); of rows that repeat that id and text one stays.
     """
-    groups = staged(simhash_groups(docs, radius, words), "groups")
+    return one_of_each(docs, simhash_groups(docs, radius, words))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs``, all columns, with the row of the least ``doc_id`` of each ``_component``.
+
+    ``groups(doc_id, text_key, _component)`` has a row for each of ``docs``; ties as in ``near_duplicates_removed``.
+    """
+    groups = staged(groups, "groups")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     best = groups.groupBy("_component").agg(F.min(key).alias("best"), F.count(F.lit(1)).alias("n"))
     best = staged(best.filter("n > 1").select("_component", "best"), "kept")

@@ -8,8 +8,8 @@ from sparkbrief.llm.repeats import PASSAGE
 
 from .conftest import SF, texts_of
 from .test_decontaminate import slow as slow_hits
+from .test_near_copies import slow_sets
 from .test_repeats import slow as slow_repeats
-from .test_simhash import slow_fingerprint, slow_sets
 
 NAMES = [n for n in queries() if n.startswith("op") and n[2].isdigit()]
 
@@ -39,7 +39,7 @@ def test_stages_against_brute_force(spark, given, tmp_path):
         if name == "language":
             expected = {i: t for i, t in before if t and any(c.isalpha() for c in t)}
         elif name == "near_duplicates":
-            sets = slow_sets([slow_fingerprint(t) for _, t in before])
+            sets = slow_sets([t for _, t in before])
             least = {}
             for (i, _), s in zip(before, sets, strict=True):
                 least[s] = min(least.get(s, i), i)
