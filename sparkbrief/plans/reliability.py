@@ -14,6 +14,7 @@ from sparkbrief.operators.cache import serve_from_cache, ttl_lookups, with_fresh
 from sparkbrief.operators.limits import admit, window_counts
 from sparkbrief.operators.outcomes import failure_streaks
 from sparkbrief.operators.retries import retry_audit
+from sparkbrief.operators.reuse import lru_lookups
 from sparkbrief.sources.tables import outcomes_of_events, table
 from sparkbrief.staging import staged
 
@@ -221,6 +222,25 @@ SELECT event_id, query, hit, stored_at FROM line
 """
 
 
+def lru_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Lookups that a cache of 128 entries would have served, and how many other keys came between."""
+    seen = lru_lookups(_lookups(spark, sf))
+    return seen.select(F.col("lookup_id").alias("event_id"), "query", "distance", "hit")
+
+
+LRU_CACHE_SQL = """
+WITH numbered AS (
+  SELECT event_id, user_id || ':' || event_type AS query, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+uses AS (SELECT *, lag(n) OVER (PARTITION BY query ORDER BY n) AS prev FROM numbered),
+told AS (
+  SELECT a.event_id, a.query, a.prev, count(b.n) AS others
+  FROM uses a LEFT JOIN uses b ON b.n > a.prev AND b.n < a.n AND coalesce(b.prev, 0) < a.prev
+  GROUP BY ALL)
+SELECT event_id, query, CASE WHEN prev IS NOT NULL THEN others END AS distance, prev IS NOT NULL AND others < 128 AS hit
+FROM told
+"""
+
+
 def ttl_cache_join(spark: SparkSession, sf: str) -> DataFrame:
     """All other events served by what the user's latest purchase stored; the rest is searched anew."""
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -357,6 +377,7 @@ QUERIES = {
     "breaker_status": (breaker_status, BREAKER_STATUS_SQL),
     "breaker_keys": (breaker_keys, BREAKER_KEYS_SQL),
     "ttl_dedup": (ttl_dedup, TTL_DEDUP_SQL),
+    "lru_cache": (lru_cache, LRU_CACHE_SQL),
     "ttl_cache_join": (ttl_cache_join, TTL_CACHE_JOIN_SQL),
     "rate_limit_windows": (rate_limit_windows, RATE_LIMIT_WINDOWS_SQL),
     "rate_limit_admit": (rate_limit_admit, RATE_LIMIT_ADMIT_SQL),
