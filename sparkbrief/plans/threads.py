@@ -31,7 +31,8 @@ from sparkbrief.operators.state import (
     running_state,
     thread_state,
 )
-from sparkbrief.sources.sinks import append_job_changes, finished, queued, running, write_thread_states
+from sparkbrief.sources.sinks import append_job_changes, finished, queued, running
+from sparkbrief.sources.states import thread_states, write_thread_states
 from sparkbrief.sources.tables import read_job_changes, table
 from sparkbrief.staging import stage_path, staged
 
@@ -557,7 +558,7 @@ def state_sink(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark, "state-sink")
     write_thread_states(thread_state(updates.filter(F.col("step") < 2)), path)
     write_thread_states(thread_state(updates.filter(F.col("thread_id") % 2 == 0)), path)
-    return _flat(spark.read.parquet(path))
+    return _flat(thread_states(spark, path))
 
 
 STATE_SINK_SQL = f"""

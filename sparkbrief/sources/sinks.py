@@ -1,12 +1,10 @@
-"""Writers: job change log, thread states, JSON log lines."""
+"""Writers: job change log, JSON log lines. Thread states have a module of their own, ``states``."""
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkbrief.operators.logs import format_lines
 from sparkbrief.schemas import JOB_CHANGE
-from sparkbrief.staging import staged
 
 
 def queued(requests: DataFrame) -> DataFrame:
@@ -38,40 +36,5 @@ def append_job_changes(changes: DataFrame, path: str) -> None:
     changes.select(*JOB_CHANGE.names).write.mode("append").parquet(path)
 
 
-def _bucketed(states: DataFrame, buckets: int) -> DataFrame:
-    return states.withColumn("bucket", F.pmod(F.xxhash64("thread_id"), F.lit(buckets)).cast("int"))
-
-
-def write_thread_states(states: DataFrame, path: str, buckets: int = 64) -> None:
-    """Put states into a bounded number of folders by thread hash; threads not among them stay.
-
-    A thread's new state replaces its old one. Only the folders that get a new state are written
-    anew: what they held is merged, staged, and swapped in by a dynamic overwrite.
-    """
-    spark = states.sparkSession
-    placed = staged(_bucketed(states, buckets), "new-states")
-    merged = placed
-    if _exists(spark, path):
-        held = spark.read.parquet(path)
-        touched = held.join(placed.select("bucket").distinct(), "bucket", "left_semi")
-        same = touched["thread_id"].eqNullSafe(placed["thread_id"])  # a null id is one like any other
-        merged = placed.unionByName(touched.join(placed, same, "left_anti"), allowMissingColumns=True)
-        merged = staged(merged, "merged-states")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
-
-
-def read_thread_state(spark, path: str, thread_id: str | None, buckets: int = 64) -> DataFrame:
-    bucket = F.pmod(F.xxhash64(F.lit(thread_id).cast("string")), F.lit(buckets)).cast("int")
-    states = spark.read.parquet(path)
-    return states.filter((F.col("bucket") == bucket) & F.col("thread_id").eqNullSafe(F.lit(thread_id))).drop("bucket")
-
-
 def write_log_lines(logs: DataFrame, path: str, mode: str = "append") -> None:
     format_lines(logs).write.mode(mode).text(path)

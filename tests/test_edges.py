@@ -17,7 +17,7 @@ from sparkbrief.operators.positions import numbers_json, params_from_text, posit
 from sparkbrief.operators.requests import subqueries
 from sparkbrief.operators.responses import decision, document_output, finance_output
 from sparkbrief.operators.state import thread_state
-from sparkbrief.sources.sinks import read_thread_state, write_thread_states
+from sparkbrief.sources.states import read_thread_state, thread_states, write_thread_states
 
 T0 = datetime(2024, 1, 1, tzinfo=UTC).replace(tzinfo=None)
 BIG = 9_007_199_254_740_993  # no double holds it
@@ -169,8 +169,8 @@ def test_states_of_other_threads_stay(spark, tmp_path):
     schema = "thread_id string, final_answer string"
     write_thread_states(spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], schema), path, buckets=2)
     write_thread_states(spark.createDataFrame([("b", "2"), ("d", "2")], schema), path, buckets=2)
-    assert {r.thread_id: r.final_answer for r in spark.read.parquet(path).collect()} == {"a": "1", "b": "2", "c": "1", "d": "2"}
-    assert read_thread_state(spark, path, "b", buckets=2).first().final_answer == "2"
+    assert {r.thread_id: r.final_answer for r in thread_states(spark, path).collect()} == {"a": "1", "b": "2", "c": "1", "d": "2"}
+    assert read_thread_state(spark, path, "b").first().final_answer == "2"
 
 
 def test_null_thread_has_one_state(spark, tmp_path):
@@ -178,8 +178,8 @@ def test_null_thread_has_one_state(spark, tmp_path):
     schema = "thread_id string, final_answer string"
     write_thread_states(spark.createDataFrame([(None, "1"), ("a", "1")], schema), path, buckets=2)
     write_thread_states(spark.createDataFrame([(None, "2")], schema), path, buckets=2)
-    assert sorted(map(str, (r.final_answer for r in spark.read.parquet(path).collect()))) == ["1", "2"]
-    assert read_thread_state(spark, path, None, buckets=2).first().final_answer == "2"
+    assert sorted(map(str, (r.final_answer for r in thread_states(spark, path).collect()))) == ["1", "2"]
+    assert read_thread_state(spark, path, None).first().final_answer == "2"
 
 
 def test_json_may_hold_any_text(spark):

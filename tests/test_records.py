@@ -16,11 +16,10 @@ from sparkbrief.sources.sinks import (
     append_job_changes,
     finished,
     queued,
-    read_thread_state,
     running,
     write_log_lines,
-    write_thread_states,
 )
+from sparkbrief.sources.states import read_thread_state, write_thread_states
 from sparkbrief.sources.tables import (
     read_job_changes,
     read_log_lines,
