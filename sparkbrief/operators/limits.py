@@ -32,6 +32,8 @@ def admit(
     has to order a crowded window.
     """
     windowed = _windowed(accesses, window)
+    if limit < 1:
+        return windowed.withColumn("admitted", F.lit(False))
     first = Window.partitionBy("client", "window_start").orderBy("ts", request)
     full = (
         windowed.select("client", "window_start", "ts", request)

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from sparkbrief.plans.reliability import (
     _TIMELINE_SQL,
     DAILY_LIMIT,
+    RATE_LIMIT_ADMIT_SQL,
     RATE_LIMIT_WINDOWS_SQL,
     RULE,
     TTL_DEDUP_SQL,
@@ -22,6 +23,7 @@ from sparkbrief.plans.threads import THREAD_STATE_ACCUMULATE_SQL, _flat, _worker
 from sparkbrief.plans.traces import _STATUS_SQL, LATEST_JOB_STATUS_SQL
 from sparkbrief.sources.tables import table
 from sparkbrief.staging import stage_path
+from sparkbrief.streaming.admission import admit_stream
 from sparkbrief.streaming.folds import breaker_stream, fan_in_stream, ttl_stream
 from sparkbrief.streaming.tables import (
     job_status_table,
@@ -102,6 +104,18 @@ def stream_rate_windows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_rate_admit(spark: SparkSession, sf: str) -> DataFrame:
+    accesses = _arriving(spark, sf, "events").select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("request_key"))
+    accesses = _drained(accesses, "request_key")
+    judged = written(admit_stream(accesses, DAILY_LIMIT, "1 day", _DELAY), "stream-admit").filter(F.col("request_key") != _DRAIN)
+    return judged.select(
+        F.col("request_key").alias("event_id"),
+        F.col("client").alias("user_id"),
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        "admitted",
+    )
+
+
 def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
     changes = _arriving(spark, sf, "events").select(
         F.col("user_id").alias("job_id"),
@@ -160,6 +174,7 @@ QUERIES = {
     "stream_breaker": (stream_breaker, STREAM_BREAKER_SQL),
     "stream_ttl_dedup": (stream_ttl_dedup, TTL_DEDUP_SQL),
     "stream_rate_windows": (stream_rate_windows, RATE_LIMIT_WINDOWS_SQL),
+    "stream_rate_admit": (stream_rate_admit, RATE_LIMIT_ADMIT_SQL),
     "stream_job_status": (stream_job_status, LATEST_JOB_STATUS_SQL),
     "stream_thread_state": (stream_thread_state, THREAD_STATE_ACCUMULATE_SQL),
     "stream_fan_in": (stream_fan_in, STREAM_FAN_IN_SQL),

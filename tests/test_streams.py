@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sparkbrief.operators.breaker import BreakerRule, breaker_timeline
 from sparkbrief.operators.cache import ttl_lookups
 from sparkbrief.operators.jobs import latest_status
-from sparkbrief.operators.limits import window_counts
+from sparkbrief.operators.limits import admit, window_counts
 from sparkbrief.operators.state import thread_state
+from sparkbrief.streaming.admission import admit_stream
 from sparkbrief.streaming.folds import breaker_stream, fan_in_stream, ttl_stream
 from sparkbrief.streaming.tables import (
     job_status_table,
@@ -264,3 +265,26 @@ def test_late_rows_are_left_out(spark, arriving):
     ]
     told = written(rate_limit_stream(arriving(batches, schema)), "t").filter("client <> 'end'")
     assert sorted(r.window_start.minute for r in told.select(F.col("window_start")).collect()) == [9, 30]
+
+
+@pytest.mark.parametrize("limit", [0, 3])
+def test_admission_stream_equals_batch(spark, arriving, limit):
+    rng = random.Random(9)
+    # Two in three rows are one client's; times and numbers do not agree in order; clients and requests may be null.
+    numbers = rng.sample(range(2**53, 2**53 + 500), 150)
+    rows = [
+        (rng.choice([1, 1, 1, 1, 2, None]), T0 + timedelta(seconds=i // 2), None if i == 70 else numbers[i]) for i in range(150)
+    ]
+    schema = "client long, ts timestamp, request_key long"
+    batches = in_batches(rows, 3, rng) + [[(99, FAR, -1)]]
+    told = written(admit_stream(arriving(batches, schema), limit, "20 seconds"), "t").filter("client is null or client <> 99")
+    assert same_rows(told, admit(spark.createDataFrame(rows, schema), limit, "20 seconds")) == 150
+
+
+def test_admission_of_text_keys_and_late_first_requests(spark, arriving):
+    schema = "client string, ts timestamp, request_key string"
+    second = [("c", T0 + timedelta(seconds=s), f"r{s}") for s in (30, 20)]
+    earlier = [("c", T0 + timedelta(seconds=10), "r10"), (None, T0, "é")]
+    batches = [second, earlier, [("end", FAR, "x")]]
+    told = written(admit_stream(arriving(batches, schema), 2), "t").filter("client is null or client <> 'end'")
+    assert {r.request_key: r.admitted for r in told.collect()} == {"r10": True, "r20": True, "r30": False, "é": True}
