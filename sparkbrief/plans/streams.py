@@ -38,8 +38,10 @@ _DELAY = "60 seconds"
 
 
 def _arriving(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table as a stream; it may be one file or a folder of files."""
     schema = table(spark, sf, name).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # A pattern, as a stream takes one file only as the match of one.
+    rows = spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/{name}.parque[t]")
     if "ts" in rows.columns:
         rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     return rows

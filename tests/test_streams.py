@@ -10,6 +10,7 @@ from sparkbrief.operators.cache import ttl_lookups
 from sparkbrief.operators.jobs import latest_status
 from sparkbrief.operators.limits import admit, window_counts
 from sparkbrief.operators.state import thread_state
+from sparkbrief.plans.streams import _arriving
 from sparkbrief.streaming.admission import admit_stream
 from sparkbrief.streaming.folds import breaker_stream, fan_in_stream, ttl_stream
 from sparkbrief.streaming.tables import (
@@ -288,3 +289,16 @@ def test_admission_of_text_keys_and_late_first_requests(spark, arriving):
     batches = [second, earlier, [("end", FAR, "x")]]
     told = written(admit_stream(arriving(batches, schema), 2), "t").filter("client is null or client <> 'end'")
     assert {r.request_key: r.admitted for r in told.collect()} == {"r10": True, "r20": True, "r30": False, "é": True}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_is_read_as_a_file_or_a_folder_of_files(spark, tmp_path, files):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "conv_id long, text string")
+    rows.repartition(files).write.parquet(str(tmp_path / "conversations.parquet"))
+    rows.limit(1).write.parquet(str(tmp_path / "other.parquet"))
+    if files == 1:
+        (file,) = (tmp_path / "conversations.parquet").glob("part-*.parquet")
+        (tmp_path / "sf").mkdir()
+        os.link(file, tmp_path / "sf" / "conversations.parquet")
+    sf = str(tmp_path / "sf" if files == 1 else tmp_path)
+    assert same_rows(written(_arriving(spark, sf, "conversations"), "t"), rows) == 60
