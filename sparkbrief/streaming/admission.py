@@ -1,5 +1,6 @@
 """Which requests of a stream a limit admits, told once and never taken back."""
 
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,52 +10,58 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from sparkbrief.operators.limits import LIMIT, WINDOW
-from sparkbrief.streaming.folds import FRAME_ROWS, _named, _names
+from sparkbrief.streaming.folds import _bucket, _frames, _named, _names, _Rows, _rows_of
 
-_ROW = ("us", "known", "request")
+_ROW = ["named", "us", "known", "request"]
+BUCKETS = 64  # groups of keyed state that a window's clients are dealt to
 
 
 class _Admission(StatefulProcessor):
-    """Holds the first requests of one client's window, at most ``limit``; those behind them are told at once."""
+    """Holds each client's first requests in one window, at most ``limit``; those behind them are told at once."""
 
-    def __init__(self, limit: int, kind: str):
+    def __init__(self, limit: int):
         self._limit = limit
-        self._kind = kind
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._first = handle.getListState("first", f"us long, known boolean, request {self._kind}")
+        self._first = _Rows(handle, "first")
 
-    def _told(self, key, rows: list[tuple], admitted: bool) -> Iterator[pd.DataFrame]:
-        for start in range(0, len(rows), FRAME_ROWS):
-            frame = pd.DataFrame(rows[start : start + FRAME_ROWS], columns=list(_ROW))
-            yield frame.assign(named=key[0], admitted=admitted)
+    def _told(self, rows: list[tuple], admitted: bool) -> Iterator[pd.DataFrame]:
+        for frame in _frames(rows, _ROW):
+            yield frame.assign(admitted=admitted)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        before = [tuple(r) for r in self._first.get()]
-        first, end = before, None
+        first: dict[str, list] = {}
+        held = self._first.read()
+        for named, *rest in held:
+            first.setdefault(named, []).append(tuple(rest))
+        end = None
         for batch in rows:  # as Arrow brings them, so a crowded window is never held whole
-            arrived = zip(*[batch[c].tolist() for c in _ROW], strict=True)
+            refused = []
+            for named, *rest in _rows_of(batch, _ROW):
+                own = first.setdefault(named, [])
+                insort(own, tuple(rest))
+                if len(own) > self._limit:
+                    # Whatever still comes can only push it further back.
+                    refused.append((named, *own.pop()))
             end = int(batch["end_ms"].iloc[0]) if len(batch) else end
-            ranked = sorted([*first, *arrived])
-            first = ranked[: self._limit]
-            # Whatever still comes can only push these further back.
-            yield from self._told(key, ranked[self._limit :], False)
-        if first and first != before:
-            self._first.put(first)
-        if first and not before:
+            yield from self._told(refused, False)
+        now = [(named, *rest) for named, own in first.items() for rest in own]
+        if now != held:
+            self._first.put(now)
+        if now and not held:
             self._handle.registerTimer(end)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._told(key, [tuple(r) for r in self._first.get()], True)
-        self._first.clear()
+        yield from self._told(self._first.read(), True)
+        self._first.put([])
 
     def close(self) -> None:
         pass
 
 
 def admit_stream(
-    accesses: DataFrame, limit: int = LIMIT, window: str = WINDOW, delay: str = "1 minute"
+    accesses: DataFrame, limit: int = LIMIT, window: str = WINDOW, delay: str = "1 minute", buckets: int = BUCKETS
 ) -> DataFrame:
     """Streaming form of ``limits.admit``: ``client, ts, request_key, window_start, admitted``.
 
@@ -74,10 +81,11 @@ def admit_stream(
             F.col("request_key").isNotNull().alias("known"),
             F.coalesce(F.col("request_key").cast(kind), nothing).alias("request"),
         )
-        .groupBy("named")
+        .withColumn("bucket", _bucket(buckets))
+        .groupBy("end_ms", "bucket")
         .transformWithStateInPandas(
-            statefulProcessor=_Admission(limit, kind),
-            outputStructType=f"us long, known boolean, request {kind}, named string, admitted boolean",
+            statefulProcessor=_Admission(limit),
+            outputStructType=f"named string, us long, known boolean, request {kind}, admitted boolean",
             outputMode="append",
             timeMode="eventTime",
         )

@@ -4,9 +4,10 @@ Rows of a micro-batch come in no order, and a later batch may bring an earlier
 row. Rows therefore wait in state until the watermark has passed them, and are
 then folded in (time, id) order. Rows behind the watermark are dropped by Spark
 and counted in the query's progress. A key's rows meet in one task, as keyed
-state must.
+state must; keys are dealt to buckets, and a bucket's keys are folded together.
 """
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,9 @@ from sparkbrief.operators.cache import CACHE_SECONDS, look_up
 
 
 FRAME_ROWS = 10_000
+#: Keys are dealt to this many groups of keyed state, since each group costs calls between Spark and Python.
+#: A running stream's checkpoint holds the groups by number, so another number needs a new checkpoint.
+BUCKETS = 1024
 
 
 def _named(*columns: str) -> Column:
@@ -32,87 +36,157 @@ def _names(stream: DataFrame, *columns: str) -> list[Column]:
     return [F.from_json("named", kind)[c].alias(c) for c in columns]
 
 
-class _InOrder(StatefulProcessor):
-    """Holds rows until the watermark has passed them; subclasses fold one row at a time."""
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("named"), F.lit(buckets)).cast("int").alias("bucket")
 
-    held_schema: str
-    start: tuple
-    row_schema: str
+
+def _id(stream: DataFrame, column: str) -> list[Column]:
+    """A whole number in two columns without nulls: whether it is known, and the number."""
+    return [F.col(column).isNotNull().alias("known"), F.coalesce(F.col(column).cast("long"), F.lit(0)).alias("id")]
+
+
+def _rows_of(batch: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    return list(zip(*[batch[c].tolist() for c in columns], strict=True))
+
+
+class _Rows:
+    """Rows of a bucket in state, packed in chunks: a chunk is one value to Spark, whatever the number of its rows."""
+
+    def __init__(self, handle, name: str):
+        self._chunks = handle.getListState(name, "chunk binary")
+
+    def read(self) -> list[tuple]:
+        return [row for (chunk,) in self._chunks.get() for row in pickle.loads(bytes(chunk))]
+
+    def _packed(self, rows: list[tuple]) -> list[tuple]:
+        return [(pickle.dumps(rows[a : a + FRAME_ROWS]),) for a in range(0, len(rows), FRAME_ROWS)]
+
+    def append(self, rows: list[tuple]) -> None:
+        if rows:
+            self._chunks.appendList(self._packed(rows))
+
+    def put(self, rows: list[tuple]) -> None:
+        if rows:
+            self._chunks.put(self._packed(rows))
+        else:
+            self._chunks.clear()
+
+
+class _Bucket(StatefulProcessor):
+    """Keyed state of a bucket of keys, with one timer for all of them."""
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self.row_schema)
-        # The folded value, and the time of the key's one timer.
-        self._kept = handle.getValueState("kept", f"{self.held_schema}, timer long")
+        self._timer = handle.getValueState("timer", "ms long")
+
+    def _wake(self, ms: int | None, only_earlier: bool = False) -> None:
+        """Have the bucket's timer at ``ms`` (None: no timer), or leave it if it is no later."""
+        before = self._timer.get()
+        before = None if before is None else before[0]
+        if before == ms or (only_earlier and before is not None and before <= ms):
+            return
+        if before is not None:
+            self._handle.deleteTimer(before)
+        if ms is None:
+            self._timer.clear()
+        else:
+            self._handle.registerTimer(ms)
+            self._timer.update((ms,))
 
-    def fold(self, key: tuple, held: tuple, row: tuple) -> tuple[tuple, dict]:
+    def _woken(self, ms: int | None) -> None:
+        """After the timer went off, which has removed it: set the next one."""
+        if ms is None:
+            self._timer.clear()
+        else:
+            self._handle.registerTimer(ms)
+            self._timer.update((ms,))
+
+    def close(self) -> None:
+        pass
+
+
+def _frames(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(rows), FRAME_ROWS):
+        yield pd.DataFrame(rows[start : start + FRAME_ROWS], columns=columns)
+
+
+def _timer_for(us: int) -> int:
+    return (us + 999) // 1000
+
+
+class _InOrder(_Bucket):
+    """Holds rows until the watermark has passed them; subclasses fold one row of a key at a time."""
+
+    row_columns: list[str]  # after the key: time in microseconds, then what orders rows of one time
+    told_columns: list[str]
+    start: tuple
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self._waiting = _Rows(handle, "waiting")
+        self._kept = _Rows(handle, "kept")  # keys and their folded values
+
+    def fold(self, held: tuple, row: tuple) -> tuple[tuple, tuple]:
+        """One row: the value after it, and what is told beside the row's own columns."""
         raise NotImplementedError
 
     def ends(self, held: tuple) -> int | None:
         """From what time on a key's folded value means no more than a fresh start; None: not by time alone."""
         raise NotImplementedError
 
-    def _read(self) -> tuple[tuple, int | None]:
-        kept = self._kept.get()
-        return (self.start, None) if kept is None else (tuple(kept[:-1]), kept[-1])
-
-    def _timer_for(self, us: int) -> int:
-        """A timer for the key's earliest waiting row."""
-        ms = (us + 999) // 1000
-        self._handle.registerTimer(ms)
-        return ms
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        arrived = []
+        earliest = None
         for batch in rows:
-            columns = [batch[c].tolist() for c in self.row_columns()]
-            arrived += zip(*columns, strict=True)
-        if arrived:
-            self._waiting.appendList(arrived)
-            held, timer = self._read()
-            earliest = min(arrived)[0]
-            if timer is None or (earliest + 999) // 1000 < timer:
-                if timer is not None:
-                    self._handle.deleteTimer(timer)
-                self._kept.update((*held, self._timer_for(earliest)))
+            arrived = _rows_of(batch, ["named", *self.row_columns])
+            self._waiting.append(arrived)
+            for row in arrived:
+                if earliest is None or row[1] < earliest:
+                    earliest = row[1]
+        if earliest is not None:
+            self._wake(_timer_for(earliest), only_earlier=True)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(r) for r in self._waiting.get())
-        ready = [r for r in waiting if r[0] <= passed]
-        later = waiting[len(ready):]
-        if later:
-            self._waiting.put(later)
-        else:
-            self._waiting.clear()
-        held, _ = self._read()
+        waiting = self._waiting.read()
+        ready = sorted(r for r in waiting if r[1] <= passed)
+        held = dict(self._kept.read())
         out = []
         for row in ready:
-            held, told = self.fold(key, held, row)
-            out.append(told)
-        ends = None if later else self.ends(held)
-        if later:
-            self._kept.update((*held, self._timer_for(later[0][0])))
-        elif ends is None:
-            self._kept.update((*held, None))
-        elif ends <= passed:
-            self._kept.clear()  # the key leaves the state; its next row starts anew
-        else:
-            self._kept.update((*held, self._timer_for(ends)))
-        for start in range(0, len(out), FRAME_ROWS):
-            yield pd.DataFrame(out[start : start + FRAME_ROWS])
-
-    def row_columns(self) -> list[str]:
-        return [part.split()[0] for part in self.row_schema.split(", ")]
-
-    def close(self) -> None:
-        pass
+            held[row[0]], told = self.fold(held.get(row[0], self.start), row[1:])
+            out.append((*row, *told))
+        due = None
+        if len(ready) < len(waiting):
+            later = [r for r in waiting if r[1] > passed]
+            due = min(r[1] for r in later)
+            if ready:
+                self._waiting.put(later)
+        elif waiting:
+            self._waiting.put([])
+        kept = {}
+        for named, value in held.items():
+            ends = self.ends(value)
+            if ends is None or ends > passed:  # others leave the state; their next row starts anew
+                kept[named] = value
+                if ends is not None and (due is None or ends < due):
+                    due = ends
+        if out or len(kept) < len(held):
+            self._kept.put(list(kept.items()))
+        self._woken(None if due is None else _timer_for(due))
+        yield from _frames(out, self.told_columns)
+
+
+def _in_order(rows: DataFrame, processor: _InOrder, told: str, delay: str, buckets: int) -> DataFrame:
+    """``rows(named, ts, us, ...)`` through a processor; rows without a time are never passed, so they are left out."""
+    known = rows.withWatermark("ts", delay).filter(F.col("us").isNotNull())
+    return known.withColumn("bucket", _bucket(buckets)).groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=told, outputMode="append", timeMode="eventTime"
+    )
 
 
 class _Breaker(_InOrder):
-    row_schema = "us long, event_id long, ok boolean"
-    held_schema = "state string, failures long, successes long, probes long, last long"
+    row_columns = ["us", "known", "id", "ok"]
+    told_columns = ["named", *row_columns, "admitted", "state", "opened_us"]
     start = START
 
     def __init__(self, rule: BreakerRule):
@@ -122,34 +196,26 @@ class _Breaker(_InOrder):
         state, failures, *_ = held
         return 0 if state == CLOSED and failures == 0 else None
 
-    def fold(self, key, held, row):
-        us, event_id, ok = row
+    def fold(self, held, row):
+        us, _, _, ok = row
         held, admitted = advance(held, us, ok, self._rule)
-        opened = held[4] if held[0] == OPEN else -1
-        return held, {
-            "named": key[0], "us": us, "event_id": event_id, "ok": ok,
-            "admitted": admitted, "state": held[0], "opened_us": opened,
-        }
+        return held, (admitted, held[0], held[4] if held[0] == OPEN else -1)
 
 
-def breaker_stream(calls: DataFrame, rule: BreakerRule = BreakerRule(), delay: str = "1 minute") -> DataFrame:
+def breaker_stream(
+    calls: DataFrame, rule: BreakerRule = BreakerRule(), delay: str = "1 minute", buckets: int = BUCKETS
+) -> DataFrame:
     """Streaming form of ``breaker_timeline`` (``key, ts, event_id, ok``)."""
-    told = (
-        calls.withWatermark("ts", delay)
-        .select(_named("key"), "ts", F.unix_micros("ts").alias("us"), "event_id", F.coalesce("ok", F.lit(False)).alias("ok"))
-        .groupBy("named")
-        .transformWithStateInPandas(
-            statefulProcessor=_Breaker(rule),
-            outputStructType="named string, us long, event_id long, ok boolean, "
-            "admitted boolean, state string, opened_us long",
-            outputMode="append",
-            timeMode="eventTime",
-        )
+    rows = calls.select(
+        _named("key"), "ts", F.unix_micros("ts").alias("us"), *_id(calls, "event_id"),
+        F.coalesce("ok", F.lit(False)).alias("ok"),
     )
+    kind = "named string, us long, known boolean, id long, ok boolean, admitted boolean, state string, opened_us long"
+    told = _in_order(rows, _Breaker(rule), kind, delay, buckets)
     return told.select(
         *_names(calls, "key"),
         F.timestamp_micros("us").alias("ts"),
-        "event_id",
+        F.when(F.col("known"), F.col("id")).alias("event_id"),
         "ok",
         "admitted",
         "state",
@@ -158,8 +224,8 @@ def breaker_stream(calls: DataFrame, rule: BreakerRule = BreakerRule(), delay: s
 
 
 class _Cache(_InOrder):
-    row_schema = "us long, lookup_id long"
-    held_schema = "stored long"
+    row_columns = ["us", "known", "id"]
+    told_columns = ["named", *row_columns, "hit", "stored_us"]
     start = (None,)
 
     def __init__(self, ttl_us: int):
@@ -168,93 +234,86 @@ class _Cache(_InOrder):
     def ends(self, held):
         return held[0] + self._ttl_us
 
-    def fold(self, key, held, row):
-        us, lookup_id = row
-        stored, hit = look_up(held[0], us, self._ttl_us)
-        return (stored,), {
-            "named": key[0], "us": us, "lookup_id": lookup_id,
-            "hit": hit, "stored_us": stored,
-        }
+    def fold(self, held, row):
+        stored, hit = look_up(held[0], row[0], self._ttl_us)
+        return (stored,), (hit, stored)
+
+
+_UNTOLD = -(2**62)  # no number of expected places
 
 
-class _Gather(StatefulProcessor):
-    """Results of one request: told as soon as all places have come, or when the wait is over."""
+class _Gather(_Bucket):
+    """Results of requests: told as soon as all places of one have come, or when its wait is over."""
+
+    told_columns = ["named", "results", "complete", "late"]
 
     def __init__(self, gap_us: int):
         self._gap_us = gap_us
 
     def init(self, handle) -> None:
-        self._handle = handle
-        self._come = handle.getMapState("come", "pos int", "result string")
-        # Of the open round: places expected, first and last time, whether it has been told, late results, its timer.
-        self._round = handle.getValueState("round", "expected int, first long, last long, told boolean, late int, timer long")
+        super().init(handle)
+        # Of each open round: its request, places expected, first and last time, whether it has been told, late results,
+        # and what came for which place.
+        self._rounds = _Rows(handle, "rounds")
 
-    def _row(self, key, complete) -> dict:
-        come = sorted((k[0], v[0]) for k, v in self._come.iterator())
-        return {"named": key[0], "results": [r for _, r in come], "complete": complete, "late": 0}
+    def _row(self, named, come, complete) -> tuple:
+        return named, [come[p] for p in sorted(come)], complete, 0
 
-    def _close(self, key, held) -> list[dict]:
-        """What is left to tell at the end of a round, which is then forgotten."""
-        _, _, _, told, late, timer = held
-        out = []
+    def _close(self, named, held) -> list[tuple]:
+        """What is left to tell at the end of a round."""
+        _, _, _, told, late, come = held
         if not told:
-            out.append(self._row(key, False))
-        elif late:
-            out.append({"named": key[0], "results": [], "complete": None, "late": late})
-        if timer is not None:
-            self._handle.deleteTimer(timer)
-        self._come.clear()
-        self._round.clear()
-        return out
+            return [self._row(named, come, False)]
+        return [(named, [], None, late)] if late else []
+
+    def _due(self, held) -> int:
+        return _timer_for(held[2] + self._gap_us)
+
+    def _hold(self, rounds: dict) -> int | None:
+        self._rounds.put(list(rounds.items()))
+        return min(map(self._due, rounds.values()), default=None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        out: list[dict] = []
+        out: list[tuple] = []
         arrived = []
         for batch in rows:
-            arrived += zip(*[batch[c].tolist() for c in ("us", "pos", "result", "expected")], strict=True)
-        held = self._round.get()
-        held = None if held is None else tuple(held)
-        for us, pos, result, expected in sorted(arrived, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or "")):
+            arrived += _rows_of(batch, ["named", "us", "pos", "result", "expected"])
+        rounds = dict(self._rounds.read())
+        for named, us, pos, result, expected in sorted(arrived, key=lambda r: (*r[:3], r[3] is not None, r[3] or "")):
+            held = rounds.get(named)
             if held is not None and us - held[2] >= self._gap_us:
-                out += self._close(key, held)
+                out += self._close(named, held)
                 held = None
             if held is None:
-                held = (None, us, us, False, 0, None)
-            known, first, last, told, late, timer = held
-            if expected is not None and expected == expected:
-                known = int(expected) if known is None else max(known, int(expected))
-            place = (int(pos),)
-            before = self._come.getValue(place) if self._come.containsKey(place) else None
+                held = (_UNTOLD, us, us, False, 0, {})
+            known, first, last, told, late, come = held
+            known = max(known, expected)
             if told:
-                late += before is None or before[0] != result
-            elif before is None or (result is None or (before[0] is not None and result < before[0])):
-                self._come.updateValue(place, (result,))
-            held = (known, min(first, us), max(last, us), told, late, timer)
-            if not told and known is not None and sum(1 for _ in self._come.keys()) >= known:
-                out.append(self._row(key, True))
-                held = (*held[:3], True, *held[4:])
-        if held is not None:
-            due = (held[2] + self._gap_us + 999) // 1000
-            if held[5] != due:
-                if held[5] is not None:
-                    self._handle.deleteTimer(held[5])
-                self._handle.registerTimer(due)
-            self._round.update((*held[:5], due))
-        if out:
-            yield pd.DataFrame(out)
+                late += pos not in come or come[pos] != result
+            elif pos not in come or (result is None or (come[pos] is not None and result < come[pos])):
+                come[pos] = result
+            if not told and known != _UNTOLD and len(come) >= known:
+                out.append(self._row(named, come, True))
+                told = True
+            rounds[named] = (known, min(first, us), max(last, us), told, late, come)
+        self._wake(self._hold(rounds))
+        yield from _frames(out, self.told_columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = self._round.get()
-        if held is not None:
-            out = self._close(key, (*tuple(held)[:5], None))
-            if out:
-                yield pd.DataFrame(out)
-
-    def close(self) -> None:
-        pass
-
-
-def fan_in_stream(results: DataFrame, gap_seconds: float = 600, delay: str = "1 minute") -> DataFrame:
+        passed = timerValues.getCurrentWatermarkInMs()
+        out, rounds = [], {}
+        for named, held in self._rounds.read():
+            if self._due(held) <= passed:
+                out += self._close(named, held)
+            else:
+                rounds[named] = held
+        self._woken(self._hold(rounds))
+        yield from _frames(out, self.told_columns)
+
+
+def fan_in_stream(
+    results: DataFrame, gap_seconds: float = 600, delay: str = "1 minute", buckets: int = BUCKETS
+) -> DataFrame:
     """Results of each request gathered in ``pos`` order: ``request_id, results, complete, late``.
 
     ``results`` has ``request_id, ts, pos, expected, result``. Results of a request belong together while each follows
@@ -267,11 +326,15 @@ def fan_in_stream(results: DataFrame, gap_seconds: float = 600, delay: str = "1
     """
     told = (
         results.withWatermark("ts", delay)
+        .filter(F.col("ts").isNotNull())
         .select(
-            _named("request_id"), "ts", F.unix_micros("ts").alias("us"), F.coalesce("pos", F.lit(-1)).alias("pos"),
-            F.col("result").cast("string").alias("result"), "expected",
+            _named("request_id"), "ts", F.unix_micros("ts").alias("us"),
+            F.coalesce(F.col("pos").cast("long"), F.lit(-1)).alias("pos"),
+            F.col("result").cast("string").alias("result"),
+            F.coalesce(F.col("expected").cast("long"), F.lit(_UNTOLD)).alias("expected"),
         )
-        .groupBy("named")
+        .withColumn("bucket", _bucket(buckets))
+        .groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=_Gather(round(gap_seconds * 1_000_000)),
             outputStructType="named string, results array<string>, complete boolean, late int",
@@ -282,23 +345,19 @@ def fan_in_stream(results: DataFrame, gap_seconds: float = 600, delay: str = "1
     return told.select(*_names(results, "request_id"), "results", "complete", "late")
 
 
-def ttl_stream(lookups: DataFrame, ttl_seconds: float = CACHE_SECONDS, delay: str = "1 minute") -> DataFrame:
+def ttl_stream(
+    lookups: DataFrame, ttl_seconds: float = CACHE_SECONDS, delay: str = "1 minute", buckets: int = BUCKETS
+) -> DataFrame:
     """Streaming form of ``ttl_lookups`` (``query, num_results, ts, lookup_id``)."""
-    told = (
-        lookups.withWatermark("ts", delay)
-        .select(_named("query", "num_results"), "ts", F.unix_micros("ts").alias("us"), "lookup_id")
-        .groupBy("named")
-        .transformWithStateInPandas(
-            statefulProcessor=_Cache(round(ttl_seconds * 1_000_000)),
-            outputStructType="named string, us long, lookup_id long, hit boolean, stored_us long",
-            outputMode="append",
-            timeMode="eventTime",
-        )
+    rows = lookups.select(
+        _named("query", "num_results"), "ts", F.unix_micros("ts").alias("us"), *_id(lookups, "lookup_id")
     )
+    kind = "named string, us long, known boolean, id long, hit boolean, stored_us long"
+    told = _in_order(rows, _Cache(round(ttl_seconds * 1_000_000)), kind, delay, buckets)
     return told.select(
         *_names(lookups, "query", "num_results"),
         F.timestamp_micros("us").alias("ts"),
-        "lookup_id",
+        F.when(F.col("known"), F.col("id")).alias("lookup_id"),
         "hit",
         F.timestamp_micros("stored_us").alias("stored_at"),
     )

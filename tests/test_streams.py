@@ -302,3 +302,26 @@ def test_a_table_is_read_as_a_file_or_a_folder_of_files(spark, tmp_path, files):
         os.link(file, tmp_path / "sf" / "conversations.parquet")
     sf = str(tmp_path / "sf" if files == 1 else tmp_path)
     assert same_rows(written(_arriving(spark, sf, "conversations"), "t"), rows) == 60
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_streams_with_many_keys_to_a_bucket_equal_batch(spark, arriving, buckets):
+    """40 keys share few groups of state, across batches; one id is unknown, others need all their digits."""
+    rng = random.Random(12)
+    ids = rng.sample(range(2**60, 2**60 + 999), 200)
+    schema = "query long, num_results int, ts timestamp, lookup_id long"
+    rows = [(rng.randrange(40), 5, T0 + timedelta(seconds=4 * i), None if i == 9 else ids[i]) for i in range(200)]
+    stream = arriving(in_batches(rows, 4, rng) + [[(-1, 5, FAR, -1)]], schema)
+    told = written(ttl_stream(stream, 300, buckets=buckets), "t").filter("query >= 0")
+    assert same_rows(told, ttl_lookups(spark.createDataFrame(rows, schema), 300)) == 200
+    schema = "client long, ts timestamp, request_key long"
+    rows = [(q, ts, i) for q, _, ts, i in rows]
+    stream = arriving(in_batches(rows, 4, rng) + [[(-1, FAR, -1)]], schema)
+    told = written(admit_stream(stream, 2, "5 minutes", buckets=buckets), "t").filter("client >= 0")
+    assert same_rows(told, admit(spark.createDataFrame(rows, schema), 2, "5 minutes")) == 200
+    schema = "request_id long, ts timestamp, pos int, expected int, result string"
+    rows = [(i, T0 + timedelta(seconds=10 * p + i), p, 3, f"{i}/{p}") for i in range(30) for p in range(3 if i % 4 else 2)]
+    rng.shuffle(rows)
+    told = written(fan_in_stream(arriving([rows[:40], rows[40:], [(-1, FAR, 0, 1, "x")]], schema), buckets=buckets), "t")
+    got = {(r.request_id, tuple(r.results), r.complete) for r in told.filter("request_id >= 0").collect()}
+    assert got == {(i, tuple(f"{i}/{p}" for p in range(3 if i % 4 else 2)), i % 4 > 0) for i in range(30)}
