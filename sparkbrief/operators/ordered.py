@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sparkbrief.staging import staged
 
 HOT_ROWS = 5_000_000
+PART_ROWS = 250_000
 RUN = "_run"
 
 
@@ -50,10 +51,21 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def cut_runs(df: DataFrame, keys: list[str], order: list[str], rows: int, run_rows: int) -> DataFrame:
-    """Rows in (key, order) cut into runs of about ``run_rows``; the run number is stored with them."""
+    """Rows in (key, order) cut into runs of about ``run_rows``; the run number is stored with them.
+
+    A range partitioning samples rows by its number of parts, and each part is a task, so parts are of at least
+    ``PART_ROWS``; a part is cut into runs by its rows' places. Run numbers ascend in (key, order).
+    """
     runs = max(1, math.ceil(rows / run_rows))
-    ranged = df.repartitionByRange(runs, *keys, *order)
-    return staged(ranged.withColumn(RUN, F.spark_partition_id()), "runs")
+    parts = max(1, min(runs, math.ceil(rows / PART_ROWS)))
+    ranged = df.repartitionByRange(parts, *keys, *order)
+    if parts == runs:
+        return staged(ranged.withColumn(RUN, F.spark_partition_id().cast("long")), "runs")
+    # The part's number is in the upper bits, the row's place in the lower ones.
+    laid = ranged.sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)
+    within = F.floor(place / F.lit(run_rows)).cast("long")
+    return staged(laid.withColumn(RUN, F.col("_at") - place + within).drop("_at"), "runs")
 
 
 def _window(by: list[str], order: list[str], inclusive: bool, backward: bool):
