@@ -1,9 +1,9 @@
 """A stored index for text search: postings by term in blocks, extended by deltas.
 
-A block holds about ``BLOCK`` postings of one term, with the greatest count and the least document length
-among them, which bound what any of them can weigh whatever the corpus' average length becomes. A term's
+A block holds at most ``BLOCK`` postings of one term, with the greatest count and the least document length
+among them, which bound what any of them can weigh whatever the corpus' average length becomes. A frequent term's
 postings are dealt to blocks by how dense the term is in the document, so that the blocks' bounds differ and
-weak ones can be skipped; a frequent term has many blocks, none of them large. Files are
+weak ones can be skipped; it has many blocks, none of them large. Blocks are cut where the documents lie. Files are
 split by a hash of the term and sorted by it, so a search reads only what may hold its words.
 """
 
@@ -11,11 +11,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbrief.functions import tokens
+from sparkbrief.operators.postings import BLOCK, posting_blocks
 from sparkbrief.operators.search import HITS_PER_QUERY, ranked_hits
 from sparkbrief.staging import staged
 
-BLOCK = 128
 BUCKETS = 64
 
 
@@ -42,29 +41,12 @@ def extend_index(corpus: DataFrame, path: str, buckets: int = BUCKETS) -> int:
     number = 0
     if known is not None:
         number, buckets = known.agg(F.max("delta") + 1, F.max("buckets")).first()
-    words = corpus.select("doc_id", tokens(F.col("body")).alias("words"))
-    lengths = words.select("doc_id", F.coalesce(F.size("words"), F.lit(0)).alias("length"), "words")
-    postings = (
-        lengths.select("doc_id", "length", F.explode("words").alias("term"))
-        .groupBy("term", "doc_id", "length")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    # Classes of density, a power of two apart; each of a term's classes is dealt to blocks by a hash.
-    dense = F.least(F.lit(15), F.floor(F.log2(F.col("length") / F.col("tf")))).cast("int").alias("density")
-    postings = staged(postings.select("*", dense), "index-postings")
-    sizes = postings.groupBy("term", "density").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = postings.join(sizes, ["term", "density"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    blocks = placed.groupBy("term", "density", "block").agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.max("tf").alias("most_tf"),
-        F.min("length").alias("least_length"),
-        F.collect_list(F.struct("doc_id", "length", "tf")).alias("rows"),
-    )
-    blocks = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).drop("density", "block")
-    laid = blocks.repartition("bucket").sortWithinPartitions("bucket", "term")
+    blocks = staged(posting_blocks(corpus, BLOCK), "index-parts")
+    of_terms = blocks.filter("term is not null").withColumn("bucket", _bucket(F.col("term"), buckets))
+    laid = of_terms.repartition("bucket").sortWithinPartitions("bucket", "term")
     laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks/delta={number}")
-    counts = lengths.agg(
-        F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("words")
+    counts = blocks.filter("term is null").agg(
+        F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("most_tf"), F.lit(0)).alias("words")
     )
     kind = corpus.schema["doc_id"].dataType.simpleString()
     counts = counts.withColumns({"buckets": F.lit(buckets), "id_type": F.lit(kind)})
