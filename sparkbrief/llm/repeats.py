@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbrief.llm.common import arrow_map, doc_key, sieve
+from sparkbrief.llm.common import MOST_LONGS, arrow_map, doc_key, sieve
 from sparkbrief.staging import discard, staged
 
 SPAN = 400
@@ -37,7 +37,6 @@ GRAM = 128
 PASSAGE = 200  # bytes that passages of more than 50 words have, nearly always
 PASSAGE_GRAM = 64  # in proportion to the gram of the full length; shorter ones are shared by chance
 BLOCK = 16
-MOST_LONGS = 1 << 17  # of the broadcast bits of shared grams and of documents (1 MB); beyond it they let more rows through
 SEGMENT = 1 << 18  # bytes of text whose names a task holds at once; longer texts are cut with overlap
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _PLACE = 22  # bits for a place in a segment
@@ -256,7 +255,8 @@ def repeated_ranges(
     twice = staged(twice, "shared-grams")
     # Grams are the least of their windows, so their bits are uneven: hashed once more.
     among = sieve(twice.select(F.xxhash64("gram").alias("hash")), MOST_LONGS)
-    runs = staged(among(every, F.xxhash64("gram")).join(twice, "gram", "left_semi"), "shared-runs")
+    # Grams are distinct there, so this keeps what a semi join would, which the optimizer moves below the sieve.
+    runs = staged(among(every, F.xxhash64("gram")).join(twice, "gram"), "shared-runs")
     discard(every)
     same = runs.groupBy("gram", "u1", "u2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_key", "lo", "hi", "at")).alias("one")

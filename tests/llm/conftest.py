@@ -75,3 +75,20 @@ def plain(frame) -> list[dict]:
 
 def texts_of(frame) -> list[tuple]:
     return [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
+
+
+def joins_of(frame) -> list[str]:
+    """The joins of the optimized plan, the last one first."""
+    return [x for x in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+
+
+def record_staged(monkeypatch, module) -> list[tuple]:
+    """What the module stages from now on: name, the frame that is written, the table that it becomes."""
+    seen, staged = [], module.staged
+
+    def spy(df, name):
+        seen.append((name, df, staged(df, name)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(module, "staged", spy)
+    return seen

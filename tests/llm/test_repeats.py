@@ -8,7 +8,7 @@ import pytest
 from sparkbrief.llm import repeats
 from sparkbrief.llm.repeats import PASSAGE, PASSAGE_GRAM, Names, least_places, repeated_spans, without_repeats
 
-from .conftest import plain, texts_of
+from .conftest import joins_of, plain, record_staged, texts_of
 
 
 def slow(rows, span):
@@ -112,3 +112,15 @@ def test_least_places():
     for width in (1, 2, 7, 50, 200):
         expected = [i + int(np.argmin(values[i : i + width])) for i in range(200 - width + 1)]
         assert least_places(values, width).tolist() == expected
+
+
+def test_runs_whose_gram_is_unique_are_dropped_before_the_shuffle(spark, monkeypatch):
+    """The join with the broadcast bits comes first; a semi join after it would be moved below it."""
+    seen = record_staged(monkeypatch, repeats)
+    draw = random.Random(5)
+    rows = [(i, "".join(draw.choices("abcdefgh", k=300))) for i in range(20)]
+    rows += [(20, rows[0][1][50:] + "x"), (21, "y" + rows[1][1][:250])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(docs, 60, gram=16)
+    plans = [joins_of(df) for name, df, _ in seen if name == "shared-runs"]
+    assert plans and all(len(x) == 2 and "strategy=broadcast" in x[1] and "Semi" not in x[0] for x in plans)
